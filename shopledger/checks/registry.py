@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +39,3 @@ def check(name: str, sql: str | None = None):
         return build
 
     return add
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (a local one only in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "shopledger")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,8 +13,9 @@ from ..operators import normalize as n
 from ..operators import orders as o
 from ..operators import sales as s
 from ..sources import readers, writers
-from .registry import check, scratch
-from .tables import POLICY, REPORT, SCOPE, ZONE, canonical, facts, labelled, mapping, raw_lines, raw_view, source_rows, table
+from ..sources.stage import fresh_path as scratch
+from .registry import check
+from .tables import POLICY, REPORT, SCOPE, ZONE, canonical, facts, fresh_labels, labelled, mapping, paired, raw_lines, raw_view, source_rows, table
 
 LINE, TOTAL, PRICE, BOTH = (mapping(m) for m in ("line_amount", "order_amount", "quantity_unit_price", "both"))
 
@@ -23,15 +24,10 @@ def rows(spark, d, mode="line_amount"):
     return n.normalize(canonical(spark, d, mode), mapping(mode))
 
 
-def paired(spark, d, mode="line_amount"):
-    marks = o.raw_duplicates(raw_view(spark, d)).select("source_row_id", "duplicate_candidate")
-    return rows(spark, d, mode).join(marks, "source_row_id")
-
-
 def resolved(spark, d, mode="line_amount", scope=SCOPE):
+    """Stored normalised rows with duplicate marks, and the orders resolved from them."""
     base = paired(spark, d, mode)
-    state = o.order_state(base, mapping(mode), POLICY, scope)
-    return base, state, o.complete_customers(o.finalize_orders(state, mapping(mode), POLICY))
+    return base, o.resolve_orders(base, mapping(mode), POLICY, scope)
 
 
 # --- sources -------------------------------------------------------------------------------------
@@ -375,8 +371,8 @@ def order_sql(base: str) -> str:
 
 @check("b11_primary_reason", f"SELECT source_row_id, primary_reason FROM {order_sql('norm')}")
 def _(spark, d):
-    base, state, orders = resolved(spark, d)
-    return o.row_audit(base, state, orders, POLICY, SCOPE).select("source_row_id", "primary_reason")
+    base, orders = resolved(spark, d)
+    return o.row_audit(base, orders, POLICY, SCOPE).select("source_row_id", "primary_reason")
 
 
 @check("b12_item_types", "SELECT item_id, item_type, type_source FROM types")
@@ -517,19 +513,19 @@ FIN_TOTAL = final_with("norm_total", "CAST(NULL AS DECIMAL(18,2))", "order_amoun
 
 @check("d04_finalize_orders", f"SELECT order_id, amount_source, amount_reason, rf_reason, rfm_reason, CAST(amount AS DOUBLE) AS amount FROM {FIN}")
 def _(spark, d):
-    _, _, orders = resolved(spark, d)
-    return orders.select("order_id", "amount_source", "amount_reason", "rf_reason", "rfm_reason", "amount")
+    _, orders = resolved(spark, d)
+    return o.selected(orders).select("order_id", "amount_source", "amount_reason", "rf_reason", "rfm_reason", "amount")
 
 
 @check("d04_order_totals_once", f"SELECT order_id, amount_source, amount_reason, CAST(amount AS DOUBLE) AS amount FROM {FIN_TOTAL}")
 def _(spark, d):
-    _, _, orders = resolved(spark, d, "order_amount")
-    return orders.select("order_id", "amount_source", "amount_reason", "amount")
+    _, orders = resolved(spark, d, "order_amount")
+    return o.selected(orders).select("order_id", "amount_source", "amount_reason", "amount")
 
 
 @check("j10_complete_customers", f"SELECT order_id, customer_id, rfm_reason FROM {FIN} WHERE rfm_reason = 'incomplete_customer_amount'")
 def _(spark, d):
-    _, _, orders = resolved(spark, d)
+    _, orders = resolved(spark, d)
     return orders.filter("rfm_reason = 'incomplete_customer_amount'").select("order_id", "customer_id", "rfm_reason")
 
 
@@ -538,8 +534,8 @@ SELECT customer_id, count(*) AS orders, CAST(max(event_time) AS VARCHAR) AS last
 FROM {FIN} WHERE rf_reason = 'included' GROUP BY customer_id
 """)
 def _(spark, d):
-    _, _, orders = resolved(spark, d)
-    return o.customer_metrics(orders.filter("rf_reason = 'included'"))
+    _, orders = resolved(spark, d)
+    return o.customer_metrics(o.selected(orders).filter("rf_reason = 'included'"))
 
 
 AUDIT = f"""(SELECT r.*, f.rf_reason AS o_rf, f.rfm_reason AS o_rfm, f.amount_reason AS o_amount, f.basket_incomplete AS o_basket
@@ -555,8 +551,8 @@ SELECT source_row_id, order_id, item_id, primary_reason,
 FROM {AUDIT}
 """)
 def _(spark, d):
-    base, state, orders = resolved(spark, d)
-    return o.row_audit(base, state, orders, POLICY, SCOPE).drop("issues")
+    base, orders = resolved(spark, d)
+    return o.row_audit(base, orders, POLICY, SCOPE).drop("issues")
 
 
 @check("d06_reason_counts", f"""
@@ -568,8 +564,8 @@ SELECT view, reason, count(*) AS rows FROM (SELECT unnest(['common', 'rf', 'rfm'
   FROM {AUDIT}) GROUP BY ALL
 """)
 def _(spark, d):
-    base, state, orders = resolved(spark, d)
-    return o.reason_counts(o.row_audit(base, state, orders, POLICY, SCOPE))
+    base, orders = resolved(spark, d)
+    return o.reason_counts(o.row_audit(base, orders, POLICY, SCOPE))
 
 
 @check("d07_issue_counts", """
@@ -619,8 +615,8 @@ SELECT count(*) AS selected_orders, count(*) FILTER (WHERE rf_reason = 'included
 FROM {FIN}
 """)
 def _(spark, d):
-    base, _, orders = resolved(spark, d)
-    found = o.capabilities(orders, o.basket_items(base, orders, POLICY, SCOPE), LINE, POLICY)
+    base, orders = resolved(spark, d)
+    found = o.capabilities(o.selected(orders), o.basket_items(base, orders, POLICY, SCOPE), LINE, POLICY)
     return found.select(
         "selected_orders", "rf_orders", "rf_customers", "rfm_orders", "rfm_customers", "amount_orders", "incomplete_baskets",
         "complete_baskets", "unique_items", "max_basket_size", "rf_span_days", "rf_codes", "rfm_codes", "association_codes",
@@ -629,7 +625,7 @@ def _(spark, d):
 
 for _view in ("rf", "rfm", "amount"):
     def _build(spark, d, view=_view):
-        _, _, orders = resolved(spark, d)
+        _, orders = resolved(spark, d)
         return o.order_views(orders)[f"{view}_orders"]
 
     check(f"d09_{_view}_orders", f"""
@@ -643,7 +639,7 @@ for _view in ("rf", "rfm", "amount"):
 SELECT order_id, item_id, CASE WHEN NOT time_invalid THEN CAST(event_time AS VARCHAR) END AS event_time, customer_id FROM {BASKET}
 """)
 def _(spark, d):
-    base, _, orders = resolved(spark, d)
+    base, orders = resolved(spark, d)
     return o.basket_items(base, orders, POLICY, SCOPE)
 
 
@@ -691,12 +687,12 @@ def _(spark, d):
 
 @check("u02_replace_overlap", "SELECT version_id, source_row_id, item_id, CAST(day AS VARCHAR) AS date, reason FROM lab")
 def _(spark, d):
-    return s.sales_audit(labelled(spark, d))
+    return s.sales_audit(fresh_labels(spark, d))
 
 
 @check("d14_reason_histogram", "SELECT reason, count(*) AS rows FROM lab GROUP BY ALL")
 def _(spark, d):
-    return s.reason_histogram(labelled(spark, d))
+    return s.reason_histogram(fresh_labels(spark, d))
 
 
 @check("d14_quality_block", """
@@ -706,7 +702,7 @@ FROM lab_keep
 """)
 def _(spark, d):
     kept = Report(**{**REPORT.__dict__, "merge_mode": "append", "duplicates": "keep"})
-    return s.quality_block(labelled(spark, d, report=kept))
+    return s.quality_block(fresh_labels(spark, d, report=kept))
 
 
 @check("u03_currencies", """

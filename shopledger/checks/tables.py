@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..config import FIELDS, Mapping, Policy, Report, Scope
 from ..operators.normalize import normalize
-from ..operators.sales import append, daily_fact, item_names, label
+from ..operators.orders import raw_duplicates
+from ..operators.sales import daily_fact, item_names, label
 from ..sources.readers import canonicalize
+from ..sources.stage import staged
 
 STATUS = {"N": "forward", "A": "forward", "R": "return", "C": "cancelled"}
 ZONE = "Europe/London"
@@ -115,25 +117,52 @@ def canonical(spark: SparkSession, sf_dir: str, mode: str = "line_amount") -> Da
     return canonicalize(raw_view(spark, sf_dir), mapping(mode))
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Tables that several queries read are derived and written once per session."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        _STORED[key] = staged(build(), str(key[1]))
+    return _STORED[key]
+
+
+def paired(spark: SparkSession, sf_dir: str, mode: str = "line_amount") -> DataFrame:
+    """Normalised rows of the whole table with their raw duplicate marks."""
+    def build():
+        rows = normalize(canonical(spark, sf_dir, mode), mapping(mode))
+        marks = raw_duplicates(raw_view(spark, sf_dir)).select("source_row_id", "duplicate_candidate")
+        return rows.join(marks, "source_row_id")
+
+    return stored(spark, ("rows", sf_dir, mode), build)
+
+
 def source_rows(spark: SparkSession, sf_dir: str, mode: str = "line_amount") -> DataFrame:
     """Two overlapping sources: v1 up to February 2001, v2 from January 2001 on."""
-    lines = raw_lines(spark, sf_dir)
-    setting = mapping(mode)
-    parts = []
-    for number, version, inside in (
-        (1, "v1", F.col("order_day") < F.lit(date(2001, 3, 1))),
-        (2, "v2", F.col("order_day") >= F.lit(date(2001, 1, 1))),
-    ):
-        raw = lines.filter(inside).withColumns({"version_id": F.lit(version), "source_no": F.lit(number)})
-        rows = normalize(canonicalize(raw, setting, keep=("version_id", "source_no")), setting)
-        parts.append((rows, setting))
-    return append(parts)
-
-
-def labelled(spark: SparkSession, sf_dir: str, mode: str = "line_amount", report: Report = REPORT) -> DataFrame:
+    def build():
+        lines = raw_lines(spark, sf_dir)
+        version = F.explode(F.array_compact(F.array(
+            F.when(F.col("order_day") < F.lit(date(2001, 3, 1)), F.struct(F.lit("v1").alias("v"), F.lit(1).alias("n"))),
+            F.when(F.col("order_day") >= F.lit(date(2001, 1, 1)), F.struct(F.lit("v2").alias("v"), F.lit(2).alias("n"))),
+        )))
+        raw = lines.withColumn("_s", version).withColumns({"version_id": F.col("_s.v"), "source_no": F.col("_s.n")})
+        setting = mapping(mode)
+        return normalize(canonicalize(raw, setting, keep=("version_id", "source_no")), setting)
+
+    return stored(spark, ("sources", sf_dir, mode), build)
+
+
+def fresh_labels(spark: SparkSession, sf_dir: str, mode: str = "line_amount", report: Report = REPORT) -> DataFrame:
+    """Rows of both sources, labelled in this query."""
     return label(source_rows(spark, sf_dir, mode), mapping(mode), report)
 
 
+def labelled(spark: SparkSession, sf_dir: str, mode: str = "line_amount") -> DataFrame:
+    """The labelled rows of the shared report."""
+    return stored(spark, ("labels", sf_dir, mode), lambda: fresh_labels(spark, sf_dir, mode))
+
+
 def facts(spark: SparkSession, sf_dir: str, mode: str = "line_amount") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labelled rows, daily fact and item names of the shared report."""
     rows = labelled(spark, sf_dir, mode)

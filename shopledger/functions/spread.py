@@ -12,39 +12,20 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # a key with this many rows is spread
-HOT_KEYS = 1_000  # the k-th most frequent key holds at most 1/k of the rows: no skew beyond this
 SALTS = 64
 
 
-def attach(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: Sequence[str],
-    weight: str,
-    spread_by: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Left join one-row-per-key facts to rows, splitting the most frequent keys over many tasks.
+def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join one-row-per-key facts to rows so that a hot key can be split at run time.
 
-    ``weight`` is the fact column with the number of rows of the key. Only the (at most HOT_KEYS) most
-    frequent keys are broadcast and salted; every other key takes the ordinary shuffle join.
+    Facts usually come from an aggregation by the same keys, whose layout the join would reuse; adaptive
+    execution can then not split a skewed partition. The extra key (always 0) makes both sides pass an
+    exchange of their own: the smaller one, and the one that adaptive skew handling needs.
     """
-    hot = F.broadcast(
-        facts.filter(F.col(weight) >= hot_rows)
-        .orderBy(F.col(weight).desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    # A null key matches nothing, but would still send all its rows to one task.
-    spread = any_of([F.coalesce(F.col("_hot"), F.lit(False)), *[F.col(k).isNull() for k in keys]])
-    salted_rows = rows.join(hot, list(keys), "left").withColumn(
-        "_salt",
-        F.when(spread, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_facts = facts.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_rows.join(salted_facts, [*keys, "_salt"], "left").drop("_salt")
+    apart = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    left = rows.withColumn("_apart", apart)
+    right = facts.withColumn("_apart", apart)
+    return left.join(right, [*keys, "_apart"], "left").drop("_apart")
 
 
 def mark_repeats(

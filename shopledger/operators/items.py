@@ -197,7 +197,6 @@ def abc(items: DataFrame) -> DataFrame:
     total = F.col("_sum_total")
     banded = ranks.filter((F.col("_gap_total") == 0) & (total > 0)).select(
         "_v",
-        F.col("_n").alias("_ties"),
         (F.col("_v").cast("double") / total.cast("double")).alias("amount_share"),
         (F.col("_n_before") + 1).alias("amount_rank"),
         ((F.col("_sum_before") + F.col("_sum")).cast("double") / total.cast("double")).alias("cumulative_share"),
@@ -207,7 +206,7 @@ def abc(items: DataFrame) -> DataFrame:
         .otherwise("C")
         .alias("contribution_band"),
     )
-    return attach(exact, banded, ["_v"], "_ties", ["item_id"]).drop("_v", "_ties")
+    return attach(exact, banded, ["_v"]).drop("_v")
 
 
 def total_of(values: Column) -> Column:

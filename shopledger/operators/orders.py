@@ -147,7 +147,10 @@ def order_state(rows: DataFrame, mapping: Mapping, policy: Policy, scope: Scope
 
 
 def finalize_orders(state: DataFrame, mapping: Mapping, policy: Policy) -> DataFrame:
-    """Decide each selected order's amount, where it comes from and why it is missing."""
+    """Decide each order's amount, where it comes from and why it is missing.
+
+    Orders without a selected row stay in the table (the audit needs their flags); see ``selected``.
+    """
     mode = mapping.amount_mode
     total, partial = F.col("total"), F.col("selected_rows") < F.col("effective_source_rows")
     complete = F.col("selected_lines_complete")
@@ -172,7 +175,7 @@ def finalize_orders(state: DataFrame, mapping: Mapping, policy: Policy) -> DataF
         source, amount = F.lit(mode), F.col("selected_line_sum")
     off = F.coalesce(F.col("lines_complete") & (F.col("line_sum") != total), F.lit(False))
     disputed = F.col("lines_differ") | F.col("total_conflict") | F.col("total_invalid") | off
-    selected = state.filter(F.col("selected_rows") > 0).withColumns({"_reason": reason, "_disputed": disputed})
+    judged = state.withColumns({"_reason": reason, "_disputed": disputed})
     checked = F.col("_reason")
     if not policy.accept_selected_amount_source:
         checked = F.when((checked == "included") & F.col("_disputed"), "amount_source_conflict").otherwise(checked)
@@ -181,7 +184,7 @@ def finalize_orders(state: DataFrame, mapping: Mapping, policy: Policy) -> DataF
         .when(F.col("time_invalid"), "invalid_time")
         .otherwise("included")
     )
-    resolved = selected.withColumns({
+    resolved = judged.withColumns({
         "amount_source": F.when(F.col("_reason") == "included", source).otherwise("none"),
         "amount_reason": checked,
         "rf_reason": rf,
@@ -195,26 +198,31 @@ def finalize_orders(state: DataFrame, mapping: Mapping, policy: Policy) -> DataF
 
 def incomplete_customers(orders: DataFrame) -> DataFrame:
     """Customers with at least one order whose amount is not usable."""
-    per = orders.filter("rf_reason = 'included'").groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("customer_orders"), F.bool_or(F.col("amount_reason") != "included").alias("bad")
+    per = orders.filter("rf_reason = 'included' and selected_rows > 0").groupBy("customer_id").agg(
+        F.bool_or(F.col("amount_reason") != "included").alias("bad")
     )
-    return per.filter("bad").select("customer_id", "customer_orders")
+    return per.filter("bad").select("customer_id")
 
 
 def complete_customers(orders: DataFrame) -> DataFrame:
     """Orders with the RFM reason corrected for customers whose amounts are incomplete."""
     bad = incomplete_customers(orders).withColumn("_incomplete", F.lit(True))
-    joined = attach(orders, bad, ["customer_id"], "customer_orders", ["order_id"])
-    hit = F.col("_incomplete") & (F.col("rf_reason") == "included")
+    joined = attach(orders, bad, ["customer_id"])
+    hit = F.col("_incomplete") & (F.col("rf_reason") == "included") & (F.col("selected_rows") > 0)
     return joined.withColumn(
         "rfm_reason", F.when(hit, "incomplete_customer_amount").otherwise(F.col("rfm_reason"))
-    ).drop("_incomplete", "customer_orders")
+    ).drop("_incomplete")
 
 
 def resolve_orders(rows: DataFrame, mapping: Mapping, policy: Policy, scope: Scope = Scope()) -> DataFrame:
     return complete_customers(finalize_orders(order_state(rows, mapping, policy, scope), mapping, policy))
 
 
+def selected(orders: DataFrame) -> DataFrame:
+    """The orders that keep at least one row."""
+    return orders.filter("selected_rows > 0")
+
+
 def scoped_amount(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Full order total only if all its lines are kept, else the sum of kept lines if none is missing."""
     kept = lines.groupBy("order_id").agg(
@@ -235,11 +243,10 @@ def customer_metrics(orders: DataFrame) -> DataFrame:
     )
 
 
-def row_audit(rows: DataFrame, state: DataFrame, orders: DataFrame, policy: Policy, scope: Scope = Scope()) -> DataFrame:
+def row_audit(rows: DataFrame, orders: DataFrame, policy: Policy, scope: Scope = Scope()) -> DataFrame:
     """Every source row with its reason in each of the five views."""
-    reasons = orders.select("order_id", "rf_reason", "rfm_reason", "amount_reason")
-    facts = state.select("order_id", "conflict", "basket_incomplete", "source_rows").join(reasons, "order_id", "left")
-    joined = attach(rows, facts, ["order_id"], "source_rows", ["source_row_id"])
+    facts = orders.select("order_id", "conflict", "basket_incomplete", "rf_reason", "rfm_reason", "amount_reason")
+    joined = attach(rows, facts, ["order_id"])
     primary = primary_reason(policy, scope, F.col("conflict"))
     joined = joined.withColumn("primary_reason", primary)
     kept = F.col("primary_reason") == "included"
@@ -277,7 +284,7 @@ def order_views(orders: DataFrame) -> dict[str, DataFrame]:
         "source_rows", "effective_source_rows", "selected_rows", "partial_order",
     ]
     return {
-        f"{view}_orders": orders.filter(F.col(f"{view}_reason") == "included").select(*columns)
+        f"{view}_orders": selected(orders).filter(F.col(f"{view}_reason") == "included").select(*columns)
         for view in ("rf", "rfm", "amount")
     }
 
@@ -287,12 +294,10 @@ def basket_items(rows: DataFrame, orders: DataFrame, policy: Policy, scope: Scop
     chosen = rows.filter(
         (primary_reason(policy, scope, F.lit(False)) == "included") & F.col("item_id").isNotNull()
     ).select("order_id", "item_id").distinct()
-    sizes = chosen.groupBy("order_id").agg(F.count(F.lit(1)).alias("items"))
-    whole = orders.filter(~F.col("basket_incomplete") & F.col("has_items")).select(
+    whole = selected(orders).filter(~F.col("basket_incomplete") & F.col("has_items")).select(
         "order_id", "customer_id", F.when(~F.col("time_invalid"), F.col("event_time")).alias("event_time")
     )
-    facts = whole.join(sizes, "order_id").withColumn("_whole", F.lit(True))
-    joined = attach(chosen, facts, ["order_id"], "items", ["item_id"])
+    joined = attach(chosen, whole.withColumn("_whole", F.lit(True)), ["order_id"])
     return joined.filter("_whole").select("order_id", "item_id", "event_time", "customer_id")
 
 
@@ -317,7 +322,7 @@ def capabilities(
     sizes = baskets.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
     basket = sizes.agg(
         F.count(F.lit(1)).alias("complete_baskets"),
-        F.count_if("n = 1").alias("singleton_baskets"),
+        F.count_if(F.col("n") == 1).alias("singleton_baskets"),
         F.coalesce(F.max("n"), F.lit(0)).alias("max_basket_size"),
     )
     items = baskets.select("item_id").distinct().agg(F.count(F.lit(1)).alias("unique_items"))

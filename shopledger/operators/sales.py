@@ -107,7 +107,7 @@ def label(rows: DataFrame, mapping: Mapping, report: Report) -> DataFrame:
     else:
         marked = marked.withColumn("replaced", F.lit(False))
     conflicts = order_conflicts(rows, mapping, report)
-    marked = attach(marked, conflicts, ["version_id", "order_id"], "order_rows", ["source_row_id"])
+    marked = attach(marked, conflicts, ["version_id", "order_id"])
     day = F.col("day")
     outside = day > F.lit(report.month_end)
     if report.coverage_end:

@@ -63,7 +63,7 @@ def union_parts(*parts: DataFrame) -> DataFrame:
 
 def explode_baskets(df: DataFrame, row_id: str, column: str, sep: str = "|") -> DataFrame:
     """One row per listed item: basket_id is the row, source_row_id is ``row:position``."""
-    items = F.transform(F.split(F.col(column), "\\" + sep if sep == "|" else sep), F.trim)
+    items = F.transform(F.split(F.col(column), "[" + sep + "]"), lambda x: F.trim(x))
     faulty = F.exists(items, lambda x: x == "") | F.col(column).isNull()
     checked = F.when(faulty, F.raise_error(F.lit("empty_basket_item"))).otherwise(items)
     return df.select(F.col(row_id).alias("basket_id"), F.posexplode(checked).alias("pos", "item_id")).select(
