@@ -741,10 +741,10 @@ def _(spark, d):
 @check("j08_drill", """
 SELECT l.version_id, l.source_row_id, CAST(l.quantity AS DOUBLE) AS quantity, CAST(l.line_amount AS DOUBLE) AS line_amount,
   CAST(NULL AS DOUBLE) AS unit_price, CAST(event_time AS VARCHAR) AS event_time, reason
-FROM lab l WHERE item_id = 'Brand#7' AND day = DATE '2001-06-10' ORDER BY version_id, source_row_id LIMIT 100
+FROM lab l WHERE item_id = 'Brand#25' AND day = DATE '2001-06-09' ORDER BY version_id, source_row_id LIMIT 100
 """)
 def _(spark, d):
     base = source_rows(spark, d)
     audit = s.sales_audit(s.label(base, LINE, REPORT))
-    return s.drill(audit, base, "Brand#7", date(2001, 6, 10))
+    return s.drill(audit, base, "Brand#25", date(2001, 6, 9))
 

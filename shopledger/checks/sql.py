@@ -190,6 +190,98 @@ FROM (SELECT *, CAST(sign(top) AS BIGINT) * (abs(top) // bottom
                     sum(amount_missing) = 0 AS ok
                   FROM daily WHERE day BETWEEN DATE '2001-05-01' AND DATE '2001-06-30' GROUP BY item_id)))
 """
+BLOCKS["wref"] = """
+SELECT * EXCLUDE (seen), CASE WHEN len(seen) >= 6 THEN list_aggregate(seen, 'median') END AS reference,
+  CASE WHEN len(seen) >= 6 THEN list_aggregate(list_transform(seen, lambda x: abs(x - list_aggregate(seen, 'median'))), 'median') END AS mad
+FROM (SELECT *, list(quantity) FILTER (WHERE quantity IS NOT NULL) OVER (PARTITION BY item_id, dayofweek(day) ORDER BY t
+        RANGE BETWEEN 84 PRECEDING AND 1 PRECEDING) AS seen FROM grid)
+"""
+BLOCKS["measured"] = """
+SELECT item_id, t, day, quantity AS actual, reference, mad, quantity - reference AS difference,
+  greatest(3.0, 0.7 * greatest(reference, mean28, 1.0), 4.4478 * mad) AS threshold,
+  coalesce(k28 = 28 AND n28 = 28 AND quantity IS NOT NULL AND reference IS NOT NULL AND sold_before >= 8, FALSE) AS probe_ok,
+  coalesce(k28 = n28 AND quantity IS NOT NULL AND sold_history >= 8, FALSE) AS legacy_ok,
+  abs(quantity - list_aggregate(past28, 'median')) > greatest(3.0, 0.7 * greatest(mean28, 1.0)) AS legacy_substantial,
+  (quantity - reference) / greatest(reference, mean28, 1.0) AS v0,
+  abs(quantity - reference) / greatest(1.0, mad * 1.4826) AS v1, std28 / greatest(reference, mean28, 1.0) AS v2,
+  quantity / greatest(mean28, 1.0) AS l0, mean7 / greatest(mean28, 1.0) AS l1, std28 / greatest(mean28, 1.0) AS l2
+FROM (SELECT *, count(*) OVER b28 AS n28, count(quantity) OVER b28 AS k28, avg(quantity) OVER b28 AS mean28,
+        stddev_pop(quantity) OVER b28 AS std28, avg(quantity) OVER b7 AS mean7,
+        list(quantity) FILTER (WHERE quantity IS NOT NULL) OVER b28 AS past28,
+        count(*) FILTER (WHERE quantity > 0) OVER (PARTITION BY item_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sold_before,
+        count(*) FILTER (WHERE quantity > 0 AND day < DATE '2001-06-01') OVER (PARTITION BY item_id) AS sold_history
+      FROM wref WINDOW b28 AS (PARTITION BY item_id ORDER BY t ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING),
+        b7 AS (PARTITION BY item_id ORDER BY t ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+"""
+BLOCKS["anoms"] = """
+SELECT item_id, day AS date, actual, round(reference, 3) AS reference, round(difference, 3) AS difference,
+  abs(round(difference, 3)) / threshold AS strength, abs(round(difference, 3)) > greatest(10.0, 3 * threshold) AS extreme
+FROM measured WHERE probe_ok AND day >= DATE '2001-06-01' AND abs(difference) > threshold
+"""
+BLOCKS["series"] = """
+SELECT item_id, list(quantity ORDER BY day) AS q, count(*) FILTER (WHERE quantity > 0) AS active FROM grid
+WHERE day >= DATE '2001-06-01' GROUP BY item_id
+"""
+BLOCKS["weeks4"] = """
+SELECT item_id, any_value(g.sel) AS sel, bool_or(quantity IS NULL) AS gap,
+  sum(quantity) FILTER (WHERE w = 0) AS w1, sum(quantity) FILTER (WHERE w = 1) AS w2, sum(quantity) FILTER (WHERE w = 2) AS w3,
+  sum(quantity) FILTER (WHERE w = 3) AS w4, max(quantity) FILTER (WHERE w = 3) AS peak,
+  avg(quantity) FILTER (WHERE w = 0 AND NOT odd) * 7 AS a1, avg(quantity) FILTER (WHERE w = 1 AND NOT odd) * 7 AS a2,
+  avg(quantity) FILTER (WHERE w = 2 AND NOT odd) * 7 AS a3, avg(quantity) FILTER (WHERE w = 3 AND NOT odd) * 7 AS a4,
+  least(count(*) FILTER (WHERE w = 0 AND NOT odd), count(*) FILTER (WHERE w = 1 AND NOT odd),
+        count(*) FILTER (WHERE w = 2 AND NOT odd), count(*) FILTER (WHERE w = 3 AND NOT odd)) AS least_normal
+FROM (SELECT g.item_id, g.quantity, date_diff('day', DATE '2001-06-03', g.day) // 7 AS w, a.date IS NOT NULL AS odd,
+        count(*) FILTER (WHERE g.quantity > 0) OVER (PARTITION BY g.item_id) AS sel
+      FROM grid g LEFT JOIN anoms a ON a.item_id = g.item_id AND a.date = g.day WHERE g.day >= DATE '2001-06-03') g GROUP BY item_id
+"""
+BLOCKS["trends"] = """
+SELECT item_id, CASE WHEN w4 > w1 THEN 'growth' ELSE 'decline' END AS signal, w1 AS week1, w2 AS week2, w3 AS week3, w4 AS week4,
+  abs(w4 - w1) AS quantity_impact
+FROM weeks4 WHERE NOT gap AND sel >= 14 AND least(w1, w2, w3, w4) > 0 AND abs(w4 - w1) >= 3 AND abs(w4 / w1 - 1) >= 0.25 AND least_normal >= 5
+  AND ((w1 < w2 AND w2 < w3 AND w3 < w4 AND a1 < a2 AND a2 < a3 AND a3 < a4 AND peak <= w4 / 2)
+    OR (w1 > w2 AND w2 > w3 AND w3 > w4 AND a1 > a2 AND a2 > a3 AND a3 > a4))
+"""
+BLOCKS["spikes"] = """
+SELECT item_id, 'spike' AS signal, date, baseline, actual, actual - greatest(baseline, reference) AS quantity_impact
+FROM (SELECT p.item_id, p.date, p.actual, p.reference, i.quantity AS month, list_aggregate(h, 'median') AS baseline,
+        list_avg(h) AS mean, list_aggregate(h, 'stddev_pop') AS std, len(h) AS n, len(list_filter(h, lambda x: x > 0)) AS selling
+      FROM (SELECT x.*, (SELECT list(g.quantity ORDER BY g.day DESC)[1:21] FROM grid g WHERE g.item_id = x.item_id AND g.day >= DATE '2001-06-01'
+              AND g.day < x.date AND g.quantity IS NOT NULL AND NOT EXISTS (SELECT 1 FROM anoms o WHERE o.item_id = g.item_id AND o.date = g.day)) AS h
+            FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY actual - reference DESC, date) AS r, count(*) OVER (PARTITION BY item_id) AS c
+                  FROM anoms WHERE actual > reference AND reference >= 0) x WHERE r = 1 AND c <= 2) p
+      JOIN items i ON i.item_id = p.item_id)
+WHERE n >= 14 AND selling >= n / 2 AND baseline > 0 AND mean > 0 AND std / mean <= 0.75 AND actual >= 3 * greatest(baseline, reference)
+  AND actual - greatest(baseline, reference) >= greatest(3, month * 0.2)
+"""
+BLOCKS["bands"] = """
+SELECT item_id, amount / total AS amount_share, CAST(before_n + 1 AS BIGINT) AS amount_rank, (before + own) / total AS cumulative_share,
+  CASE WHEN n < 5 THEN NULL WHEN before < total * 0.8 THEN 'A' WHEN before < total * 0.95 THEN 'B' ELSE 'C' END AS contribution_band
+FROM (SELECT i.item_id, i.amount, coalesce((SELECT sum(CAST(b.amount AS DECIMAL(28,2))) FROM items b WHERE b.amount > i.amount), 0) AS before,
+        (SELECT sum(CAST(b.amount AS DECIMAL(28,2))) FROM items b WHERE b.amount = i.amount) AS own,
+        (SELECT count(*) FROM items b WHERE b.amount > i.amount) AS before_n,
+        (SELECT sum(CAST(b.amount AS DECIMAL(28,2))) FROM items b) AS total, (SELECT count(*) FROM items) AS n,
+        (SELECT count(*) FROM items WHERE amount IS NULL) AS gaps FROM items i)
+WHERE gaps = 0 AND total > 0
+"""
+BLOCKS["weekly_change"] = """
+SELECT item_id, CASE WHEN gap THEN 'missing_records' WHEN before > 0 THEN 'available' ELSE 'no_baseline' END AS status,
+  CASE WHEN NOT gap THEN now END AS current_quantity, CASE WHEN NOT gap THEN before END AS previous_quantity,
+  CASE WHEN NOT gap AND before > 0 THEN (now - before) / before END AS early_change, CASE WHEN NOT gap THEN abs(now - before) END AS early_units
+FROM (SELECT item_id, bool_or(quantity IS NULL) AS gap, sum(quantity) FILTER (WHERE day >= DATE '2001-06-24') AS now,
+        sum(quantity) FILTER (WHERE day < DATE '2001-06-24') AS before FROM grid WHERE day >= DATE '2001-06-17' GROUP BY item_id)
+"""
+BLOCKS["flagged"] = """
+SELECT *, list_filter([CASE WHEN quiet AND contribution_band = 'A' AND amount > 0 THEN 'contribution' END,
+    CASE WHEN moved AND change > 0 THEN 'growth' END, CASE WHEN moved AND change < 0 THEN 'decline' END,
+    CASE WHEN anomaly_days > 0 THEN 'anomaly' END], lambda x: x IS NOT NULL) AS flags
+FROM (SELECT i.item_id, i.name, i.category, i.quantity, i.amount, w.status, b.contribution_band, coalesce(a.n, 0) AS anomaly_days,
+        CASE WHEN w.status = 'available' THEN (w.current_quantity - w.previous_quantity) / w.previous_quantity END AS change,
+        coalesce(w.status = 'available' AND abs((w.current_quantity - w.previous_quantity) / w.previous_quantity) >= 0.25
+                 AND abs(w.current_quantity - w.previous_quantity) >= 3, FALSE) AS moved,
+        NOT coalesce(abs(early_change) >= 0.25 AND early_units >= 3, FALSE) AND a.n IS NULL AS quiet
+      FROM items i LEFT JOIN weekly_change w ON w.item_id = i.item_id LEFT JOIN bands b ON b.item_id = i.item_id
+      LEFT JOIN (SELECT item_id, count(*) AS n FROM anoms GROUP BY 1) a ON a.item_id = i.item_id)
+"""
 
 
 def query(text: str) -> str:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FIELDS, Mapping, Policy, Report, Scope
+from ..operators.anomaly import measured_days, rule_anomalies
+from ..operators.items import item_day_grid
 from ..operators.normalize import normalize
 from ..operators.orders import raw_duplicates
 from ..operators.sales import daily_fact, item_names, label
@@ -167,3 +169,17 @@ def facts(spark: SparkSession, sf_dir: str, mode: str = "line_amount") -> tuple[
     """Labelled rows, daily fact and item names of the shared report."""
     rows = labelled(spark, sf_dir, mode)
     return rows, daily_fact(rows, mapping(mode)), item_names(rows)
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense item days of the shared report's calendar."""
+    def build():
+        _, daily, names = facts(spark, sf_dir)
+        return item_day_grid(daily, names, REPORT, UNKNOWN)
+
+    return stored(spark, ("grid", sf_dir), build)
+
+
+def anomaly_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of the month that break the simple rule; stands for the anomaly list where no model may enter."""
+    return stored(spark, ("anomalies", sf_dir), lambda: rule_anomalies(measured_days(grid(spark, sf_dir), REPORT), REPORT))

@@ -28,25 +28,30 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, [*keys, "_apart"], "left").drop("_apart")
 
 
+def row_print(columns: Sequence[str]) -> Column:
+    """SHA-256 over the columns; null differs from every text."""
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]), 256)
+
+
 def mark_repeats(
-    rows: DataFrame, identity: Sequence[str | Column], order: Sequence[str], name: str, salts: int = SALTS
+    rows: DataFrame, identity: Sequence[str], order: Sequence[str], name: str, salts: int = SALTS
 ) -> DataFrame:
-    """Flag every copy of a row but the first by ``order``.
+    """Flag every copy of a row but the first by ``order`` (a unique key of the rows).
 
-    Copies are ranked inside (fingerprint, salt), then only the salt winners meet per fingerprint, so
-    a group of copies of any size stays spread over ``salts`` tasks.
+    Only prints and keys are shuffled to find the copies. Copies are ranked inside (print, salt), then
+    the salt winners meet per print, so a group of copies of any size stays spread over ``salts`` tasks.
     """
-    print_ = F.sha2(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}), 256)
-    marked = rows.withColumn("_print", print_).withColumn(
-        "_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
-    )
+    narrow = rows.select(*order, row_print(identity).alias("_print"))
+    twice = narrow.groupBy("_print").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
+    among = attach(narrow, twice, ["_print"]).filter(F.col("_copies").isNotNull())
+    salted = among.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     local = Window.partitionBy("_print", "_salt").orderBy(*order)
-    marked = marked.withColumn("_local", F.row_number().over(local))
-    meeting = F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_salt"))
+    ranked = salted.withColumn("_local", F.row_number().over(local))
+    ranked = ranked.withColumn("_meet", F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_salt")))
     final = Window.partitionBy("_print", "_meet").orderBy(*order)
-    marked = marked.withColumn("_meet", meeting).withColumn("_final", F.row_number().over(final))
-    repeated = (F.col("_local") > 1) | (F.col("_final") > 1)
-    return marked.withColumn(name, repeated).drop("_print", "_salt", "_local", "_meet", "_final")
+    ranked = ranked.withColumn("_final", F.row_number().over(final))
+    later = ranked.filter((F.col("_local") > 1) | (F.col("_final") > 1)).select(*order, F.lit(True).alias(name))
+    return rows.join(later, list(order), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def value_bucket(c: Column) -> Column:
