@@ -358,13 +358,13 @@ def _(spark, d):
 
 
 @check("d25_order_concentration", """
-WITH per AS (SELECT a.item_id, a.date, a.actual, l.version_id, l.order_id, CAST(sum(l.quantity) AS DOUBLE) AS q, count(*) AS rows
+SELECT * FROM (WITH per AS (SELECT a.item_id, a.date, a.actual, l.version_id, l.order_id, CAST(sum(l.quantity) AS DOUBLE) AS q, count(*) AS rows
     FROM anoms a JOIN lab l ON l.item_id = a.item_id AND l.day = a.date AND l.reason = 'included' GROUP BY ALL),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, date ORDER BY q DESC, version_id DESC, order_id DESC) AS r FROM per),
   event AS (SELECT item_id, date, actual, count(*) AS orders, sum(rows)::BIGINT AS rows, sum(q) AS total, max(q) FILTER (WHERE r = 1) AS top,
     max(q) FILTER (WHERE r = 2) AS second FROM ranked GROUP BY ALL)
 SELECT item_id, CAST(date AS VARCHAR) AS date, actual, orders, rows, top, CASE WHEN top / actual < 0.8 THEN second END AS second FROM event
-WHERE abs(total - actual) < 0.000001 AND CASE WHEN top / actual >= 0.8 THEN top >= 3 ELSE coalesce(second, 0) >= 3 AND (top + coalesce(second, 0)) / actual >= 0.8 END
+WHERE abs(total - actual) < 0.000001 AND CASE WHEN top / actual >= 0.8 THEN top >= 3 ELSE coalesce(second, 0) >= 3 AND (top + coalesce(second, 0)) / actual >= 0.8 END)
 """)
 def _(spark, d):
     return e.order_concentration(labelled(spark, d), anomaly_days(spark, d), LINE)

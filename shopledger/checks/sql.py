@@ -282,6 +282,100 @@ FROM (SELECT i.item_id, i.name, i.category, i.quantity, i.amount, w.status, b.co
       FROM items i LEFT JOIN weekly_change w ON w.item_id = i.item_id LEFT JOIN bands b ON b.item_id = i.item_id
       LEFT JOIN (SELECT item_id, count(*) AS n FROM anoms GROUP BY 1) a ON a.item_id = i.item_id)
 """
+BLOCKS["fgrid"] = BLOCKS["grid"].replace(" AND c.day <> DATE '2001-03-15'", "")
+BLOCKS["origins"] = "SELECT CAST(667 + 7 * i AS INTEGER) AS origin FROM range(0, 35) r(i)"
+BLOCKS["past"] = """
+SELECT * FROM (SELECT item_id, origin, any_value(first) AS first,
+  count(*) FILTER (WHERE t >= first AND t < origin + 7 AND quantity IS NULL) AS gaps,
+  list(quantity ORDER BY t) FILTER (WHERE t < origin AND quantity IS NOT NULL) AS past,
+  list([quantity, pos + 1, pos] ORDER BY t) FILTER (WHERE t < origin AND quantity > 0) AS sold,
+  coalesce(sum(quantity) FILTER (WHERE t >= origin AND t < origin + 7), 0) AS actual,
+  coalesce(sum(quantity) FILTER (WHERE t >= origin - 7 AND t < origin), 0) AS last_week,
+  coalesce(sum(quantity) FILTER (WHERE t >= origin - 28 AND t < origin), 0) / 4 AS four_week_mean,
+  count(*) FILTER (WHERE t >= origin - 28 AND t < origin AND quantity <> 0) AS selling
+  FROM (SELECT *, min(CASE WHEN quantity IS NOT NULL THEN t END) OVER (PARTITION BY item_id) AS first,
+          CAST(count(quantity) OVER (PARTITION BY item_id ORDER BY t) - 1 AS DOUBLE) AS pos FROM fgrid), origins GROUP BY item_id, origin)
+WHERE gaps = 0 AND origin >= first + 28
+"""
+BLOCKS["btest"] = """
+SELECT item_id, origin, (CASE WHEN selling < 14 THEN 'intermittent' ELSE 'regular' END)
+    || (CASE WHEN four_week_mean / 7 < 5 THEN '_small' ELSE '_large' END) AS stratum, actual, last_week, four_week_mean,
+  greatest(0.0, 7 * list_reduce(past, lambda a, x: a + 0.2 * (x - a))) AS exponential_smoothing,
+  CASE WHEN len(sold) > 0 THEN greatest(0.0, 0.95 * est[1] / est[2] * 7) ELSE 0.0 END AS croston_sba,
+  CASE WHEN origin < 751 THEN 'validation' WHEN origin < 891 THEN 'calibration' ELSE 'test' END AS split
+FROM (SELECT *, list_reduce(sold, lambda a, x: [a[1] + 0.1 * (x[1] - a[1]), a[2] + 0.1 * (x[3] - a[3] - a[2]), x[3]]) AS est FROM past)
+"""
+BLOCKS["errs"] = """
+SELECT item_id, origin, split, stratum, actual, unnest(['last_week', 'four_week_mean', 'exponential_smoothing', 'croston_sba']) AS method,
+  unnest([1, 2, 3, 4]) AS place, abs(unnest([last_week, four_week_mean, exponential_smoothing, croston_sba]) - actual) AS off,
+  unnest([last_week, four_week_mean, exponential_smoothing, croston_sba]) - actual AS bias FROM btest
+"""
+BLOCKS["sums"] = """
+SELECT stratum, method, place, sum(off) AS off, count(*) AS n, count(DISTINCT origin) AS origins FROM errs WHERE split = 'validation' GROUP BY ALL
+UNION ALL SELECT 'all', method, place, sum(off), count(*), count(DISTINCT origin) FROM errs WHERE split = 'validation' GROUP BY ALL
+"""
+BLOCKS["base1"] = "SELECT method AS baseline, off / n AS all_mae FROM sums WHERE stratum = 'all' AND place <= 2 ORDER BY off / n, place LIMIT 1"
+BLOCKS["cand"] = """
+SELECT stratum, method AS candidate, mae AS candidate_mae, n, origins FROM (SELECT *, off / n AS mae,
+  row_number() OVER (PARTITION BY stratum ORDER BY off / n, place) AS r FROM sums WHERE stratum LIKE 'intermittent%' OR stratum = 'all' OR place < 4) WHERE r = 1
+"""
+BLOCKS["chosen"] = """
+SELECT c.*, b.baseline, b.all_mae, s.off / s.n AS baseline_mae,
+  s.off > 0 AND c.candidate_mae <= 0.95 * s.off / s.n AND (c.stratum <> 'all' OR NOT EXISTS (
+    SELECT 1 FROM sums x JOIN sums y ON y.stratum = x.stratum WHERE x.stratum <> 'all' AND x.n >= 30 AND x.method = c.candidate
+      AND y.method = b.baseline AND x.off / x.n > 1.05 * y.off / y.n)) AS passed
+FROM cand c, base1 b JOIN sums s ON s.method = b.baseline WHERE s.stratum = c.stratum
+"""
+BLOCKS["policy"] = """
+SELECT stratum, baseline, candidate, candidate_mae, baseline_mae, passed AS validation_adopted,
+  CASE WHEN adopted AND passed THEN candidate ELSE baseline END AS selected, adopted AS policy_adopted
+FROM (SELECT *, bool_or(passed AND candidate <> baseline) OVER () AND (SELECT sum(s.off) / sum(s.n) FROM chosen k JOIN sums s ON s.stratum = k.stratum
+    AND s.method = CASE WHEN NOT (k.n >= 30 AND k.origins >= 6) THEN (SELECT CASE WHEN passed THEN candidate ELSE baseline END FROM chosen WHERE stratum = 'all')
+      WHEN k.passed THEN k.candidate ELSE k.baseline END WHERE k.stratum <> 'all') <= 0.95 * all_mae AS adopted
+  FROM chosen WHERE stratum = 'all' OR (n >= 30 AND origins >= 6))
+"""
+BLOCKS["picked"] = """
+SELECT b.*, coalesce(p.selected, (SELECT selected FROM policy WHERE stratum = 'all')) AS selected_method,
+  CASE coalesce(p.selected, (SELECT selected FROM policy WHERE stratum = 'all')) WHEN 'last_week' THEN last_week WHEN 'four_week_mean' THEN four_week_mean
+    WHEN 'exponential_smoothing' THEN exponential_smoothing ELSE croston_sba END AS chosen_value
+FROM btest b LEFT JOIN policy p ON p.stratum = b.stratum
+"""
+BLOCKS["bpairs"] = """
+SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS order_id, p_brand AS item_id FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+BLOCKS["btimes"] = """
+SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderdate AS tm, CAST(o_custkey AS VARCHAR) AS customer_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+"""
+BLOCKS["bcuts"] = """
+SELECT max(tm) FILTER (WHERE r = least(n - 1, floor(n * 0.6::DOUBLE))) AS c0, max(tm) FILTER (WHERE r = least(n - 1, floor(n * 0.8::DOUBLE))) AS c1
+FROM (SELECT tm, row_number() OVER (ORDER BY tm) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT tm FROM btimes))
+"""
+BLOCKS["bsplit"] = """
+SELECT order_id, tm, CASE WHEN tm < c0 THEN 'train' WHEN tm < c1 THEN 'validation' ELSE 'test' END AS split FROM btimes, bcuts
+"""
+BLOCKS["train"] = "SELECT p.* FROM bpairs p JOIN bsplit s ON s.order_id = p.order_id WHERE split = 'train'"
+BLOCKS["valid"] = "SELECT p.* FROM bpairs p JOIN bsplit s ON s.order_id = p.order_id WHERE split = 'validation'"
+BLOCKS["bneed"] = "SELECT count(DISTINCT order_id) AS total, ceil(greatest(0.005 * count(DISTINCT order_id), 20)) AS need FROM train"
+BLOCKS["sets"] = """
+SELECT [item_id] AS items, count(*) AS n FROM train GROUP BY item_id HAVING count(*) >= (SELECT need FROM bneed)
+UNION ALL SELECT [a.item_id, b.item_id], count(*) FROM train a JOIN train b ON b.order_id = a.order_id AND a.item_id < b.item_id
+  GROUP BY a.item_id, b.item_id HAVING count(*) >= (SELECT need FROM bneed)
+UNION ALL SELECT [a.item_id, b.item_id, c.item_id], count(*) FROM train a JOIN train b ON b.order_id = a.order_id AND a.item_id < b.item_id
+  JOIN train c ON c.order_id = a.order_id AND b.item_id < c.item_id GROUP BY a.item_id, b.item_id, c.item_id HAVING count(*) >= (SELECT need FROM bneed)
+"""
+BLOCKS["mined"] = """
+SELECT array_to_string(a, ' | ') AS antecedents, array_to_string(b, ' | ') AS consequents, a, b, n_ab, x.n AS n_a, y.n AS n_b, total AS denominator,
+  n_ab / total AS support, n_ab / x.n AS confidence, n_ab * total / (x.n * y.n) AS lift,
+  n_ab / total - x.n * y.n / (total * total) AS leverage,
+  greatest(0, (n_ab / x.n + zz / (2 * x.n)) / (1 + zz / x.n) - z * sqrt(n_ab / x.n * (1 - n_ab / x.n) / x.n + zz / (4 * x.n * x.n)) / (1 + zz / x.n)) AS confidence_lower,
+  least(1, (n_ab / x.n + zz / (2 * x.n)) / (1 + zz / x.n) + z * sqrt(n_ab / x.n * (1 - n_ab / x.n) / x.n + zz / (4 * x.n * x.n)) / (1 + zz / x.n)) AS confidence_upper
+FROM (SELECT a, list_sort(list_filter(items, lambda i: NOT list_contains(a, i))) AS b, n AS n_ab
+      FROM (SELECT items, n, unnest(CASE len(items) WHEN 2 THEN [[items[1]], [items[2]]] WHEN 3 THEN [[items[1]], [items[2]], [items[3]],
+        [items[1], items[2]], [items[1], items[3]], [items[2], items[3]]] ELSE [] END) AS a FROM sets)) s
+JOIN (SELECT items AS i1, n FROM sets) x ON x.i1 = s.a JOIN (SELECT items AS i2, n FROM sets) y ON y.i2 = s.b,
+  (SELECT CAST(total AS DOUBLE) AS total, 1.959963984540054::DOUBLE AS z, 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE AS zz FROM bneed)
+WHERE n_ab / x.n >= 0.1
+"""
 
 
 def query(text: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import FIELDS, Mapping, Policy, Report, Scope
 from ..operators.anomaly import measured_days, rule_anomalies
+from ..operators.baskets import baskets
 from ..operators.items import item_day_grid
 from ..operators.normalize import normalize
 from ..operators.orders import raw_duplicates
@@ -50,6 +51,7 @@ REPORT = Report(
     missing_dates=(date(2001, 3, 15),),
     item_types={"Brand#9": "accounting"},
 )
+FORECAST = Report(**{**REPORT.__dict__, "missing_dates": ()})
 POLICY = Policy(duplicates="drop_exact")
 SCOPE = Scope(date_start=date(1996, 1, 1), date_end=date(2001, 6, 30), currency="USD")
 UNKNOWN = REPORT.missing_dates
@@ -183,3 +185,31 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anomaly_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of the month that break the simple rule; stands for the anomaly list where no model may enter."""
     return stored(spark, ("anomalies", sf_dir), lambda: rule_anomalies(measured_days(grid(spark, sf_dir), REPORT), REPORT))
+
+
+def forecast_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build():
+        _, daily, names = facts(spark, sf_dir)
+        return item_day_grid(daily, names, FORECAST)
+
+    return stored(spark, ("forecast-grid", sf_dir), build)
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct brands per order, from the whole line table."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return stored(spark, ("pairs", sf_dir), lambda: baskets(
+        lines.select(F.col("l_orderkey").cast("string").alias("order_id"), F.col("p_brand").alias("item_id"))
+    ))
+
+
+def order_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order, time and customer of every order that has lines."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_semi").select(
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        F.col("o_custkey").cast("string").alias("customer_id"),
+        F.col("o_orderdate").alias("event_time"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
+    )

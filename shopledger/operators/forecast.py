@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Report
 from ..functions.spread import exact_quantiles
+from ..sources.stage import pinned
 
 # The compared methods in order of preference on equal error.
 METHODS = ("gradient_boosting", "last_week", "four_week_mean", "exponential_smoothing", "croston_sba")
@@ -336,6 +337,7 @@ def select_policy(backtest_rows: DataFrame, validation_count: int) -> DataFrame:
     sums = sums.withColumn("_k", F.lit(1)).join(one(fitted), "_k").filter(
         (F.col("method") != METHODS[0]) | F.col("gb")
     ).drop("_k", "gb")
+    sums = pinned(sums, 25)
     total = sums.groupBy("method").agg(
         F.lit("all").alias("stratum"), F.sum("off").alias("off"), F.sum("n").alias("n"), F.max("origins").alias("origins")
     )
@@ -389,11 +391,12 @@ def select_policy(backtest_rows: DataFrame, validation_count: int) -> DataFrame:
     gate = kept.agg(F.bool_or(F.col("choice") != F.col("baseline")).alias("changed"))
     kept = kept.withColumn("_k", F.lit(1)).join(one(mixed), "_k").join(one(gate), "_k").drop("_k")
     adopted = F.col("changed") & (F.col("policy_mae") <= 0.95 * F.col("all_mae"))
-    return kept.select(
+    result = kept.select(
         "stratum", "baseline", "candidate", "candidate_mae", "baseline_mae", "validation_adopted",
         F.when(adopted, F.col("choice")).otherwise(F.col("baseline")).alias("selected"),
         adopted.alias("policy_adopted"),
     )
+    return pinned(result, 5)
 
 
 def with_selection(rows: DataFrame, policy: DataFrame) -> DataFrame:
@@ -432,12 +435,12 @@ def calibration_ranges(rows: DataFrame, policy: DataFrame) -> DataFrame:
     recent = Window.partitionBy("stratum").orderBy(F.col("origin").desc())
     early = Window.partitionBy("stratum").orderBy("origin")
     ranked = blocks.withColumns({"_late": F.row_number().over(recent), "_early": F.row_number().over(early)})
-    radius = ranked.groupBy("stratum").agg(
+    radius = pinned(ranked.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("origins"),
         F.percentile("median", F.lit(0.9)).alias("radius"),  # at most 20 origins
         F.avg(F.when(F.col("_late") <= 5, F.col("median"))).alias("_late"),
         F.avg(F.when(F.col("_early") <= 10, F.col("median"))).alias("_early"),
-    )
+    ), 4)
     inside = F.avg((F.col("off") <= F.col("radius")).cast("double"))
     covered = calibration.join(F.broadcast(radius), "stratum").groupBy("stratum").agg(inside.alias("coverage"))
     held = (

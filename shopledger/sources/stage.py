@@ -28,3 +28,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame, bound: int) -> DataFrame:
+    """A table of at most ``bound`` rows, evaluated once; more rows are an error, never cut off."""
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
