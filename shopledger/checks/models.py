@@ -522,7 +522,7 @@ def _(spark, d):
 
 
 @check("k05_stock_reference", """
-SELECT item_id, '2001-07-01' AS start, '2001-07-07' AS "end", q AS quantity, ceil(greatest(0, q + reserve - available - incoming) / pack) * pack AS suggested_quantity
+SELECT item_id, '2001-07-01' AS start, '2001-07-07' AS "end", CAST(q AS DOUBLE) AS quantity, ceil(greatest(0, q + reserve - available - incoming) / pack) * pack AS suggested_quantity
 FROM (SELECT i.item_id, CAST(i.quantity AS DECIMAL(18,2)) AS q, 5 AS reserve, CAST(length(i.item_id) AS INTEGER) * 10 AS available, 2 AS incoming, CAST(2.5 AS DECIMAL(18,6)) AS pack FROM items i
   WHERE item_type NOT IN ('fee_service', 'accounting'))
 """)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DateType, DecimalType, DoubleType, FloatType, StringType, TimestampType
+from pyspark.sql.types import ArrayType, DateType, DecimalType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType
 
 from .sql import query
 
@@ -19,7 +19,7 @@ def tidy(df: DataFrame) -> DataFrame:
     shown = []
     for field in df.schema:
         c, kind = F.col(f"`{field.name}`"), field.dataType
-        if isinstance(kind, (DateType, TimestampType)):
+        if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
             c = c.cast("string")
         elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
             c = F.array_join(c, ",")

@@ -383,7 +383,7 @@ def query(text: str) -> str:
     wanted: list[str] = []
 
     def visit(body: str) -> None:
-        for name in re.findall(r"\b[a-z_0-9]+\b", body):
+        for name in re.findall(r"\b[a-z_0-9]+\b", re.sub(r"'[^']*'", "", body)):
             if name in BLOCKS and name not in wanted and name not in open_:
                 open_.append(name)
                 visit(BLOCKS[name])

@@ -106,7 +106,7 @@ def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequenc
         shared = spark.sparkContext.broadcast([(names.index(m), m[0], models[m]) for m in names if m in active])
 
         def partial(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            totals: dict[tuple, np.ndarray] = {}
+            totals: dict[int, np.ndarray] = {}
             for batch in batches:
                 for g, part in batch.groupby("grp"):
                     x = part[list(columns)].to_numpy(dtype=float)
@@ -114,12 +114,11 @@ def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequenc
                         if group != g:
                             continue
                         label, gap = _nearest(x, centres)
-                        for c in range(len(centres)):
-                            mine = label == c
-                            row = np.concatenate([[mine.sum(), gap[mine].sum()], x[mine].sum(0)])
-                            totals[number, c] = totals.get((number, c), 0) + row
+                        member = label[:, None] == np.arange(len(centres))
+                        sums = member.T @ np.column_stack([np.ones(len(x)), gap, x])
+                        totals[number] = totals.get(number, 0) + sums
             yield pd.DataFrame(
-                [(m, c, int(v[0]), *v[1:]) for (m, c), v in totals.items()],
+                [(m, c, int(v[0]), *v[1:]) for m, rows in totals.items() for c, v in enumerate(rows)],
                 columns=["model", "cluster", "n", "cost", *[f"s{i}" for i in range(width)]],
             )
 
@@ -132,7 +131,7 @@ def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequenc
             moved = models[name].copy()
             filled = part[part["n"] > 0]
             moved[filled["cluster"]] = filled[[f"s{i}" for i in range(width)]].to_numpy() / filled[["n"]].to_numpy()
-            if np.abs(moved - models[name]).max() < 1e-4:
+            if ((moved - models[name]) ** 2).sum() <= 1e-4:  # on features of about unit spread
                 active.discard(name)
             models[name] = moved
         if not active:
