@@ -1 +1,8 @@
 """Retail evidence analytics as Spark jobs: every operator maps DataFrames to a DataFrame."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so those need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

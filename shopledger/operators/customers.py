@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Analysis
 from ..functions.money import PRODUCT
 from ..functions.spread import exact_quantiles
+from ..sources.stage import staged
 
 SILHOUETTE_SAMPLE = 2000
 SUBSAMPLES = 5
@@ -47,13 +48,14 @@ def robust_scale(df: DataFrame, columns: Sequence[str], groups: Sequence[str] =
     logged = df.withColumns({c: F.log1p(F.col(c).cast("double")) for c in columns})
     keys = list(groups) or ["_k"]
     logged = logged if groups else logged.withColumn("_k", F.lit(1))
-    for c in columns:
+    scaled = logged
+    for c in columns:  # every statistic reads the same unscaled table
         stats = exact_quantiles(logged, c, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, keys)
         spread = F.col("_q3") - F.col("_q1")
-        logged = logged.join(F.broadcast(stats), keys).withColumn(
+        scaled = scaled.join(F.broadcast(stats), keys).withColumn(
             c, (F.col(c) - F.col("_q2")) / F.when(spread == 0, 1.0).otherwise(spread)
         ).drop("_q1", "_q2", "_q3")
-    return logged.drop("_k")
+    return scaled.drop("_k")
 
 
 def _sample_groups(features: DataFrame, key: str, seed: int) -> DataFrame:
@@ -77,12 +79,37 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distance.argmin(1), distance.min(1)
 
 
+def _start_models(spark, samples: dict[int, np.ndarray], names: list[tuple], seed: int) -> dict[tuple, np.ndarray]:
+    """Start centres of every model, settled on the bounded sample; one Spark task set for all."""
+    shared = spark.sparkContext.broadcast(samples)
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for number in batch["id"]:
+                g, k, r = names[number]
+                x = shared.value[g]
+                centres = _seed_centres(x, k, np.random.default_rng([seed, g + 1, k, r]))
+                for _ in range(20):
+                    member = _nearest(x, centres)[0][:, None] == np.arange(k)
+                    size = member.sum(0)
+                    moved = np.where(size[:, None] > 0, (member.T @ x) / np.maximum(size, 1)[:, None], centres)
+                    done, centres = ((moved - centres) ** 2).sum() <= 1e-6, moved
+                    if done:
+                        break
+                rows.append((int(number), centres.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["id", "centres"])
+
+    started = spark.range(0, len(names), 1, min(len(names), 64)).mapInPandas(start, "id long, centres array<double>")
+    return {names[r["id"]]: np.array(r["centres"]).reshape(names[r["id"]][1], -1) for r in started.collect()}
+
+
 def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequence[int], restarts: int, seed: int, iterations: int = 30) -> dict:
     """Fit every (group, k, restart) at once and keep the tightest restart of each (group, k).
 
     One pass per iteration serves all models: tasks return only sums per (model, cluster), so the
     shuffle and the driver see at most models · k rows. Start centres come from a bounded hashed
-    sample of each group. ``points``: (grp, key, columns).
+    sample of each group, so few passes over the whole table remain. ``points``: (grp, key, columns).
     """
     groups = list(range(FULL, SUBSAMPLES))
     smallest = Window.partitionBy("grp").orderBy("_h")
@@ -90,14 +117,9 @@ def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequenc
         points.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_r", F.row_number().over(smallest))
         .filter(F.col("_r") <= SILHOUETTE_SAMPLE).orderBy("grp", "_h").select("grp", *columns).toPandas()
     )
-    models: dict[tuple, np.ndarray] = {}
-    for g in groups:
-        x = sample.loc[sample["grp"] == g, list(columns)].to_numpy(dtype=float)
-        for k in ks:
-            for r in range(restarts):
-                if len(x) >= k:
-                    models[g, k, r] = _seed_centres(x, k, np.random.default_rng([seed, g + 1, k, r]))
-    names = list(models)
+    by_group = {g: sample.loc[sample["grp"] == g, list(columns)].to_numpy(dtype=float) for g in groups}
+    names = [(g, k, r) for g in groups for k in ks for r in range(restarts) if len(by_group[g]) >= k]
+    models = _start_models(points.sparkSession, by_group, names, seed)
     width = len(columns)
     spark = points.sparkSession
     active, cost = set(names), {}
@@ -203,6 +225,7 @@ def choose_k(features: DataFrame, columns: Sequence[str], params: Analysis = Ana
 
     A candidate is publishable when its smallest cluster, silhouette and stability pass the gates.
     """
+    features = staged(features, "features")
     counted = features.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     vectors = features.select(*columns).distinct().limit(params.k_max + 1).count()
     ks = [k for k in range(params.k_min, min(params.k_max, counted, vectors) + 1)]
@@ -210,9 +233,10 @@ def choose_k(features: DataFrame, columns: Sequence[str], params: Analysis = Ana
         empty = features.sparkSession.createDataFrame([], "k int, cluster_count long, min_cluster_size long, silhouette double, ari_median double, publishable boolean")
         return empty, features.select(key, F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("cluster"))
     keyed = features.withColumn(key, F.col(key).cast("string"))
-    points = robust_scale(_sample_groups(keyed, key, params.random_state), columns, ["grp"]).select("grp", key, *columns).persist()
+    scaled = robust_scale(_sample_groups(keyed, key, params.random_state), columns, ["grp"])
+    points = staged(scaled.select("grp", key, *columns), "points")
     centres = kmeans_many(points, key, columns, ks, params.n_init, params.random_state)
-    labels = assign(points, key, columns, centres).persist()
+    labels = staged(assign(points, key, columns, centres), "labels")
     full = labels.filter(F.col("grp") == FULL)
     sizes = full.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(
         F.count(F.lit(1)).alias("cluster_count"), F.min("n").alias("min_cluster_size")
