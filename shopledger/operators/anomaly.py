@@ -20,8 +20,9 @@ POOL_BLOCKS = 100  # the sample pool holds at most this many tree samples
 
 def _median(values: Column) -> Column:
     ordered, n = F.array_sort(values), F.size(values)
-    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.try_element_at(ordered, F.ceil((n + 1) / 2).cast("int"))
+    place = lambda half: F.greatest(half.cast("int"), F.lit(1))
+    low = F.try_element_at(ordered, place(F.floor((n + 1) / 2)))
+    high = F.try_element_at(ordered, place(F.ceil((n + 1) / 2)))
     return (low + high) / 2
 
 

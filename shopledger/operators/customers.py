@@ -188,7 +188,7 @@ def ari(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     columns = cells.groupBy(*by, "b").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias("_b"))
     inner = cells.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("_ab"), F.sum("n").alias("_n"))
     joined = inner.join(rows, list(by)).join(columns, list(by))
-    expected = F.col("_a") * F.col("_b") / two(F.col("_n"))
+    expected = F.coalesce(F.try_divide(F.col("_a") * F.col("_b"), two(F.col("_n"))), F.lit(0.0))
     top = (F.col("_a") + F.col("_b")) / 2
     value = F.when(top == expected, 1.0).otherwise((F.col("_ab") - expected) / (top - expected))
     return joined.select(*by, value.alias("ari"))

@@ -211,7 +211,8 @@ def trailing_features(grid: DataFrame) -> DataFrame:
     recent_gaps = F.array_sort(F.collect_list("_gap").over(sales.rowsBetween(-18, 0)))
     n = F.size("_gaps")
     middle = (
-        F.element_at("_gaps", F.floor((n + 1) / 2).cast("int")) + F.element_at("_gaps", F.ceil((n + 1) / 2).cast("int"))
+        F.try_element_at("_gaps", F.greatest(F.floor((n + 1) / 2).cast("int"), F.lit(1)))
+        + F.try_element_at("_gaps", F.greatest(F.ceil((n + 1) / 2).cast("int"), F.lit(1)))
     ) / 2
     marked = marked.withColumn("_gaps", F.when(F.col("_sold"), recent_gaps)).withColumn(
         "_median", F.when(n > 0, middle.cast("double"))
