@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -41,6 +42,7 @@ def main() -> None:
         started = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - started, 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
     total = round(sum(timings.values()), 3)
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": timings, "sf": os.path.basename(folder.rstrip("/"))}))
     spark.stop()

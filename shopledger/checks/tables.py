@@ -61,9 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores (single-file tables) before costly expressions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as text columns with faults, plus second copies of some lines."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = wide_scan(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
