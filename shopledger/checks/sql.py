@@ -7,7 +7,7 @@ import re
 BLOCKS: dict[str, str] = {}
 
 BLOCKS["lines"] = """
-SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, copy) AS source_row_id,
+SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)), copy) AS source_row_id,
   CAST(l_orderkey AS VARCHAR) AS order_id,
   CASE WHEN l_orderkey % 113 = 0 AND l_linenumber = 2 THEN NULL
        WHEN l_orderkey % 7 = 0 THEN ' ' || p_brand || ' ' ELSE p_brand END AS item_id,

@@ -86,7 +86,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     wall = "o_orderdate + make_interval(0, 0, 0, {day}, CAST(l_orderkey % 24 AS INT), 0, 0)"
     late = "CASE WHEN l_orderkey % 107 = 0 AND l_linenumber = 1 THEN 7 ELSE 0 END"
     return joined.selectExpr(
-        "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, _copy) AS source_row_id",
+        "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)), _copy) AS source_row_id",
         "CAST(l_orderkey AS STRING) AS order_id",
         "CASE WHEN l_orderkey % 113 = 0 AND l_linenumber = 2 THEN NULL"
         " WHEN l_orderkey % 7 = 0 THEN concat(' ', p_brand, ' ') ELSE p_brand END AS item_id",
