@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,28 +73,43 @@ def running(rows: DataFrame, groups: Sequence[str], slot: str, n: str, out: str)
     return rows.withColumn(out, F.coalesce(F.sum(n).over(before), F.lit(0)))
 
 
-class WordTable:
-    """Encodes words once per worker: bytes-keyed, bounded, refilled by one batched call.
+class WordTable(dict):
+    """What ``encode`` gives for a word, computed on first use; one per worker, of bounded size.
 
-    ``encode`` maps a list of words to a list of values. Words longer than ``longest`` characters are
-    encoded on each use, so that odd inputs cannot fill the memory; at ``limit`` entries it starts afresh.
+    Words longer than ``longest`` are encoded on each use, so that odd inputs cannot fill the memory; at ``limit``
+    entries it starts afresh.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 600_000, longest: int = 48):
+    def __init__(self, encode: Callable, limit: int = 1_000_000, longest: int = 48):
+        super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
-        self.known: dict[str, object] = {}
-
-    def take(self, words: Iterable[str]) -> dict[str, object]:
-        """A mapping that holds at least ``words``."""
-        wanted = set(words)
-        if len(self.known) + len(wanted) > self.limit:
-            self.known = {}
-        new = [w for w in wanted if w not in self.known]
-        if not new:
-            return self.known
-        values = list(self.encode(new))
-        short = {w: v for w, v in zip(new, values, strict=True) if len(w) <= self.longest}
-        self.known.update(short)
-        if len(short) == len(new):
-            return self.known
-        return {w: self.known[w] for w in wanted if w in self.known} | dict(zip(new, values, strict=True))
+
+    def __missing__(self, word):
+        value = self.encode(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
+        return value
+
+
+def source_key(source: Column) -> tuple[Column, Column]:
+    """Two columns without nulls that sort like the source by code point, null last."""
+    return source.isNull().alias("_null"), F.coalesce(source, F.lit("")).alias("_source")
+
+
+def ranked(rows: DataFrame, groups: Sequence[str], orders: Sequence[str], label: str) -> DataFrame:
+    """``rows`` with ``_rank`` (from 1) in their group by ``orders`` and the group's ``_n``; no group sits in one task.
+
+    Rows are dealt by ranges of (groups, orders) and stored, each range is ranked by itself, and the counts per
+    (range, group) give the offsets. ``groups`` must hold no nulls; ``orders`` should decide all but equal rows.
+    """
+    placed = written(rows.repartitionByRange(*groups, *orders).withColumn("_part", F.spark_partition_id()), label)
+    counts = placed.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_c"))
+    # one row per range and group that it meets
+    per = Window.partitionBy(*(groups or [F.lit(0)]))
+    before = per.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", *groups, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(per).alias("_n"))
+    inside = Window.partitionBy("_part", *groups).orderBy(*orders)
+    joined = placed.withColumn("_r", F.row_number().over(inside)).join(offsets, ["_part", *groups])
+    return joined.withColumn("_rank", F.col("_r") + F.col("_before")).drop("_r", "_before", "_part")

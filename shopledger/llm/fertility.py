@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import math
+import struct
 
 import numpy as np
 import pandas as pd
@@ -74,27 +75,22 @@ class Meter:
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
         self.words = WordTable(self.encode)
 
-    def encode(self, words: list[str]):
-        ids = self.model.encode([w.decode("utf-8") for w in words], num_threads=1)
-        return [(xxhash.xxh64_intdigest(w), np.array(x, np.uint16).tobytes()) for w, x in zip(words, ids, strict=True)]
+    def encode(self, word: bytes) -> tuple[int, bytes]:
+        """A number for the word and its tokens as bytes."""
+        return xxhash.xxh64_intdigest(word), struct.pack(f"{len(ids := self.model.encode(word.decode()))}H", *ids)
 
     def measure(self, texts: list[str | None]) -> list[tuple]:
-        out = []
-        for first in range(0, len(texts), 64):
-            raw = [(t or "").encode("utf-8") for t in texts[first : first + 64]]
-            split = [r.split() for r in raw]
-            known = self.words.take(w for ws in split for w in ws)
-            out += [self.one(r, ws, known) for r, ws in zip(raw, split, strict=True)]
-        return out
-
-    def one(self, raw: bytes, words: list[bytes], known: dict) -> tuple:
+        raw = [(t or "").encode("utf-8") for t in texts]
+        return [self.one(r, r.split()) for r in raw]
+
+    def one(self, raw: bytes, words: list[bytes]) -> tuple:
         byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
         chars = len(raw) - int(byte[128:192].sum()) - int(byte[_SPACES].sum())
         lines = [x for x in raw.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
         base = (len(words), chars, int(byte[_SYMBOLS].sum()), len(lines) - len(set(lines)))
         if not words:
             return (*base, 0, 0, None, None, None)
-        found = [known[w] for w in words]
+        found = [self.words[w] for w in words]
         ids = np.fromiter((f[0] for f in found), np.uint64, len(found))
         tokens = np.frombuffer(b"".join([f[1] for f in found]), np.uint16)
         counts = np.bincount(tokens, minlength=self.size)

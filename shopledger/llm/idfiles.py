@@ -19,6 +19,7 @@ rename, so a task that runs twice leaves one file with the same bytes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import struct
@@ -40,31 +41,57 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, di
 TRAINING_ROWS, DICTIONARY_BYTES = 2_000, 64 << 10
 
 
-def word_encoder(tokenizer_path: str, end_id: int):
-    """text -> little-endian uint32 ids as bytes, with the end id; for lists of texts."""
-    import os
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for a byte: itself if printable, else the next free one from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    end = np.array([end_id], dtype="<u4").tobytes()
+class WordEncoder:
+    """text -> little-endian uint32 ids as bytes, with the end id; for lists of texts. One per worker.
 
-    def encode(words: list[str]) -> Iterator[bytes]:
-        for e in tokenizer.encode_batch(words, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    words = WordTable(encode)
-    words.known[""] = b""
-
-    def run(texts: list[str | None]) -> Iterator[bytes]:
-        for first in range(0, len(texts), 64):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[first : first + 64]]
-            known = words.take(w for ws in split for w in ws)
-            for ws in split:
-                yield b"".join(map(known.__getitem__, ws)) + end
+    The library's pipeline is run word by word. Full stops and commas at the end of a letter are tokens of their own for the
+    vocabulary's pattern; a word of composed Latin letters alone is one piece to it, which its model encodes directly.
+    """
 
-    return run
+    def __init__(self, tokenizer_path: str, end_id: int):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.cores, self.words = WordTable(self.encode_core, limit=700_000), WordTable(self.encode_word)
+
+    def encode_core(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            ids = [t.id for t in self.model.tokenize(w.lower())]
+        elif w.isalpha() and max(w) <= "\u017f" and not set(w) & {"\u0130", "\u0149", "\u017f"}:
+            ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in w.lower().encode()]))]
+        else:
+            ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_word(self, w: str) -> bytes:
+        core = w.rstrip(".,")
+        if not core[-1:].lower().isalpha():
+            return self.encode_core(w)
+        known = self.cores[core.lower() if core.isascii() else core]
+        return known if len(core) == len(w) else known + self.cores[w[len(core) :]]
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        known = self.words
+        for t in texts:
+            yield b"".join([known[w] for w in (t or "").replace("\n", " ").split(" ")]) + self.end
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(tokenizer_path: str, end_id: int) -> WordEncoder:
+    return WordEncoder(tokenizer_path, end_id)
 
 
 def open_folder(uri: str):

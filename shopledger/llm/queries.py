@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, idfiles, viterbi
+from . import chat, fertility, idfiles, mainsegment, mixture, onebit, sharding, viterbi
 from .common import ship, table, written
 
 #: The vocabularies' files, by their public names.
@@ -28,6 +28,18 @@ def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return f
 
 
+@register
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and the target of its source."""
+    return mixture.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@register
+def op2_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    return onebit.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 @register
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives the text back."""
@@ -50,3 +62,45 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, length and checksum of each document's ids, read back from the files."""
     back = idfiles.written_ids(spark, table(spark, sf_dir, "documents"), ID_TOKENIZER)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids_bytes").alias("ids_crc32"))
+
+
+@register
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with tag weights from the pages that mark their article."""
+    pages = table(spark, sf_dir, "pages")
+    text = mainsegment.main_text(F.col("html"), mainsegment.fit(pages))
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in 40 shards of equal row counts, each with the mixture of sources."""
+    out = sharding.sharded(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+
+
+@register
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(tricky).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    return chat.digests(chat.formatted(written(chat.chain(turns), "chat-input")))
+
+
+ORACLES["op10_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 12 + 1 + 10 + 1) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM whole
+"""

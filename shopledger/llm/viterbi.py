@@ -85,9 +85,8 @@ class Pieces:
             ids += [piece] if piece >= 0 else [self.byte[b] for b in reversed(text[n].encode())]
         return ids[::-1]
 
-    def encode_many(self, chunks: list[str]) -> Iterator[bytes]:
-        for c in chunks:
-            yield np.array(self.segment(c), "<i4").tobytes()
+    def encode(self, chunk: str) -> bytes:
+        return np.array(self.segment(chunk), "<i4").tobytes()
 
 
 class Codec:
@@ -95,7 +94,7 @@ class Codec:
 
     def __init__(self, model_path: str):
         self.pieces = Pieces(model_path)
-        self.table = WordTable(self.pieces.encode_many)
+        self.table = WordTable(self.pieces.encode)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of the escaped text between which no piece spans; line feeds stand alone."""
@@ -117,11 +116,8 @@ class Codec:
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for first in range(0, len(texts), 64):
-            cut = [self.chunks(t or "") for t in texts[first : first + 64]]
-            known = self.table.take(c for cs in cut for c in cs)
-            for cs in cut:
-                yield b"".join([known[c] for c in cs])
+        for t in texts:
+            yield b"".join([self.table[c] for c in self.chunks(t or "")])
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.pieces.raw.__getitem__, ids))
