@@ -123,7 +123,9 @@ def counted(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(pages: DataFrame, key: str = "page_id", html_column: str = "html", most: int = LABELLED_PAGES) -> dict[str, float]:
     """Weights from the labelled pages: those that mark their main element themselves."""
     labelled = pages.filter(F.col(html_column).rlike(r"(?i)<article\b|<main\b|articlebody|role=.?main")).select(F.col(html_column).alias("html"), F.xxhash64(key, html_column).alias("h"))
-    sample = labelled.orderBy("h").limit(most).select("html")
+    # hashes alone are sorted; the pages of the smallest follow in a second step
+    last = labelled.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).first().h
+    sample = labelled.filter(F.col("h") <= F.lit(last)).select("html")
     got = sample.mapInPandas(counted, "tag string, inside long, outside long, pages long").groupBy("tag").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"), F.sum("pages").alias("pages"))
     rows = got.filter(F.col("pages") >= LEAST_PAGES).orderBy(F.desc("pages"), "tag").limit(2_000).collect()
     return {r.tag: -max(LEAST_COST, (r.outside + 1) / (r.inside + 1)) for r in rows}

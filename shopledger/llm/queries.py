@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, idfiles, mainsegment, mixture, onebit, sharding, viterbi
+from . import chat, fertility, idfiles, mainsegment, mixture, onebit, prefixtree, secrets, sharding, viterbi
 from .common import ship, table, written
 
 #: The vocabularies' files, by their public names.
@@ -48,6 +48,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "n_chars", (F.crc32("decoded") == F.col("text_crc32")).alias("restored"))
 
 
+@register
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; a component joins documents by similarity of 0.75 or more."""
+    return prefixtree.joined(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -79,6 +85,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
 
 
+@register
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string in the form of a secret, with the forest's verdict; values are shown by their digest only."""
+    model = secrets.fit(secrets.practice(spark))
+    found = secrets.judged(secrets.findings(table(spark, sf_dir, "documents"), ["doc_id"]), model)
+    return found.select("doc_id", "position", F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), "probability", "is_secret")
+
+
 @register
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted text."""
