@@ -13,8 +13,6 @@ FIELDS = (
 )
 NUMERIC_FIELDS = ("quantity", "unit_price", "line_amount", "order_amount")
 LINE_MODES = ("line_amount", "quantity_unit_price")
-MAX_CALENDAR_DAYS = 1096  # daily history kept: three years
-MAX_SOURCES = 36  # sources that one report may merge
 
 
 @dataclass(frozen=True)
@@ -73,6 +71,7 @@ class Report:
     item_start_dates: dict[str, date] = field(default_factory=dict)
     item_types: dict[str, str] = field(default_factory=dict)
     check_only: bool = False
+    calendar_days: int | None = None  # days of the dense calendar; None: all that are covered
 
     @property
     def month_start(self) -> date:
@@ -105,10 +104,11 @@ class Report:
 
     @property
     def calendar_range(self) -> tuple[date, date]:
-        """First and last day of the dense daily calendar (at most three years)."""
+        """First and last day of the dense daily calendar: all covered days, or the last ``calendar_days`` of them."""
         end = min(self.coverage_end, self.month_end)
-        start = max(self.coverage_start, end - timedelta(days=MAX_CALENDAR_DAYS - 1))
-        return start, end
+        if self.calendar_days is None:
+            return self.coverage_start, end
+        return max(self.coverage_start, end - timedelta(days=self.calendar_days - 1)), end
 
     def comparative(self, gap_days=()) -> bool:
         """Two complete months without a day of unknown records in either of them."""
@@ -133,3 +133,7 @@ class Analysis:
     min_count: int = 20
     min_confidence: float = 0.2
     max_length: int = 3
+
+    def __post_init__(self):
+        if not 2 <= self.max_length <= 3:
+            raise ValueError("max_length must be 2 or 3")

@@ -12,8 +12,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
-
 
 def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join one-row-per-key facts to rows so that a hot key can be split at run time.
@@ -33,25 +31,20 @@ def row_print(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]), 256)
 
 
-def mark_repeats(
-    rows: DataFrame, identity: Sequence[str], order: Sequence[str], name: str, salts: int = SALTS
-) -> DataFrame:
+def mark_repeats(rows: DataFrame, identity: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Flag every copy of a row but the first by ``order`` (a unique key of the rows).
 
-    Only prints and keys are shuffled to find the copies. Copies are ranked inside (print, salt), then
-    the salt winners meet per print, so a group of copies of any size stays spread over ``salts`` tasks.
+    Prints with copies and their first key come from one aggregation that combines on the map side; this small table meets the
+    rows once, so a print of any size stays on many tasks.
     """
-    narrow = rows.select(*order, row_print(identity).alias("_print"))
-    twice = narrow.groupBy("_print").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
-    among = attach(narrow, twice, ["_print"]).filter(F.col("_copies").isNotNull())
-    salted = among.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    local = Window.partitionBy("_print", "_salt").orderBy(*order)
-    ranked = salted.withColumn("_local", F.row_number().over(local))
-    ranked = ranked.withColumn("_meet", F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_salt")))
-    final = Window.partitionBy("_print", "_meet").orderBy(*order)
-    ranked = ranked.withColumn("_final", F.row_number().over(final))
-    later = ranked.filter((F.col("_local") > 1) | (F.col("_final") > 1)).select(*order, F.lit(True).alias(name))
-    return rows.join(later, list(order), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    key = F.struct(*[F.col(c) for c in order])
+    marked = rows.withColumn("_print", row_print(identity))
+    twice = (
+        marked.groupBy("_print").agg(F.count(F.lit(1)).alias("_copies"), F.min(key).alias("_first"))
+        .filter(F.col("_copies") > 1).select("_print", "_first")
+    )
+    joined = attach(marked, twice, ["_print"])
+    return joined.withColumn(name, F.coalesce(key != F.col("_first"), F.lit(False))).drop("_print", "_first")
 
 
 def value_bucket(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -176,7 +177,8 @@ def stratum(origin: Column) -> Column:
 def simple_forecasts(arrays: DataFrame, origins: list[int], need_target: bool = True) -> DataFrame:
     """The four simple estimates at each origin, from days before it only.
 
-    Origins are unfolded inside the item row; the series itself is never copied per origin.
+    Origins are unfolded inside the item row; the series itself is never copied per origin. A test needs every day from the item's
+    start to its target; a figure to publish needs the last four weeks, gaps before them are left out of the estimates.
     """
     def at(o):
         fields = [
@@ -188,11 +190,10 @@ def simple_forecasts(arrays: DataFrame, origins: list[int], need_target: bool =
             fields.append(_sum(_part(o, HORIZON)).alias("actual"))
         return F.struct(*fields)
 
-    reach = HORIZON if need_target else 0
-    usable = F.filter(
-        F.array(*[F.lit(o) for o in origins]),
-        lambda o: (o >= F.col("first") + 28) & _finite(_part(F.col("first"), o + reach - F.col("first"))),
-    )
+    def known(o):
+        return _finite(_part(F.col("first"), o + HORIZON - F.col("first")) if need_target else _part(o - 28, 28))
+
+    usable = F.filter(F.array(*[F.lit(o) for o in origins]), lambda o: (o >= F.col("first") + 28) & known(o))
     return arrays.select("item_id", F.inline(F.transform(usable, at)))
 
 
@@ -282,6 +283,12 @@ def gbt_forecast(features: DataFrame, keys: DataFrame, origin: int, trees: int =
     return model.transform(now).select("item_id", F.lit(origin).alias("origin"), estimate.alias("gradient_boosting"))
 
 
+def boosted_forecasts(features: DataFrame, keys: DataFrame, origins: list[int], trees: int = 80) -> DataFrame | None:
+    """Boosted trees at every origin, a model of its own each; None when no origin has windows enough to train on."""
+    parts = [p for p in (gbt_forecast(features, keys, o, trees) for o in origins) if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def backtest(arrays: DataFrame, keys: DataFrame, plan: Plan, boosted: DataFrame | None = None) -> DataFrame:
     """Every tested item at every origin: actual week, estimates, split and stratum."""
     own = arrays.join(keys.select("item_id"), "item_id", "left_semi")

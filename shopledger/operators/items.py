@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ..config import LINE_MODES, MAX_CALENDAR_DAYS, Mapping, Report
+from ..config import LINE_MODES, Mapping, Report
 from ..functions.spread import attach, totals_above
 
 MIN_CHANGE, MIN_UNITS = 0.25, 3
@@ -36,13 +36,11 @@ def item_day_grid(
 ) -> DataFrame:
     """One row per item and calendar day; zero only after the item's start and on known days.
 
-    Each item carries its sold days as a map (at most MAX_CALENDAR_DAYS entries) and unfolds the
+    Each item carries its sold days as a map (one entry per calendar day at most) and unfolds the
     calendar itself: no join of items with the calendar, and the result is already laid out by item.
     """
     first, last = report.calendar_range
     first, last = start or first, end or last
-    if (last - first).days >= MAX_CALENDAR_DAYS:
-        raise ValueError("calendar too long")
     inside = daily.filter(F.col("day").between(F.lit(first), F.lit(last)))
     sold = inside.groupBy("item_id").agg(
         F.map_from_entries(F.collect_list(F.struct("day", F.col("quantity").cast("double")))).alias("_sold")
@@ -121,7 +119,8 @@ def half_even_cents(numerator: Column, denominator: Column) -> Column:
 def price_volume(daily: DataFrame, report: Report) -> DataFrame:
     """Two months side by side per item, with the amount change split into quantity and price.
 
-    Quantity effect is Δq·(p0+p1)/2 in half-even cents; the price effect takes the rounding residue.
+    Quantity effect is Δq·(p0+p1)/2 in half-even cents; the price effect takes the rounding residue. Sums of up to four
+    decimals are split exactly; longer or larger ones, whose products no decimal type holds, in double precision.
     """
     now = F.col("day").between(F.lit(report.month_start), F.lit(report.month_end))
     old = F.col("day").between(F.lit(report.previous_start), F.lit(report.previous_end))
@@ -129,15 +128,17 @@ def price_volume(daily: DataFrame, report: Report) -> DataFrame:
     both = two.groupBy("item_id").agg(
         F.count_if(now).alias("_now"),
         F.count_if(old).alias("_old"),
-        *[F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0)).cast(DecimalType(p, 4)).alias(f"_{c[0]}{i}")
-          for i, w in ((0, old), (1, now)) for c, p in (("quantity", 14), ("amount", 20))],
+        *[F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0)).alias(f"_{c[0]}{i}") for i, w in ((0, old), (1, now)) for c in ("quantity", "amount")],
         (F.sum("amount_missing") == 0).alias("_ok"),
     )
     q0, q1, a0, a1 = (F.col(c) for c in ("_q0", "_q1", "_a0", "_a1"))
     split = F.col("_ok") & (q0 > 0) & (q1 > 0)
-    top = (q1 - q0) * (a0 * q1 + a1 * q0)
-    quantity_cents = half_even_cents(top, 2 * q0 * q1)
-    total_cents = half_even_cents(a1 - a0, F.lit(1).cast(DecimalType(1, 0)))
+    e0, e1, b0, b1 = (c.try_cast(DecimalType(p, 4)) for c, p in ((q0, 14), (q1, 14), (a0, 20), (a1, 20)))
+    fits = F.coalesce((e0 == q0) & (e1 == q1) & (b0 == a0) & (b1 == a1), F.lit(False))
+    d0, d1, c0, c1 = (c.cast("double") for c in (q0, q1, a0, a1))
+    exact = half_even_cents((e1 - e0) * (b0 * e1 + b1 * e0), 2 * e0 * e1).cast("double")
+    quantity_cents = F.when(fits, exact).otherwise(F.bround((d1 - d0) * (c0 / d0 + c1 / d1) * 50, 0))
+    total_cents = F.when(fits, half_even_cents(b1 - b0, F.lit(1).cast(DecimalType(1, 0))).cast("double")).otherwise(F.bround((c1 - c0) * 100, 0))
     ok = lambda c: F.when(F.col("_ok"), c.cast("double"))
     part = lambda c: F.when(split, c.cast("double"))
     return both.select(

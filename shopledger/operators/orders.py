@@ -29,12 +29,11 @@ def raw_duplicates(raw: DataFrame, row_id: str = "source_row_id", order=("source
 
 
 def pair_raw(canonical: DataFrame, raw: DataFrame) -> DataFrame:
-    """Canonical rows with their raw row's duplicate mark, one to one on the row id."""
+    """Canonical rows with their raw row's duplicate mark, one to one on the row id; a row that only one side has is an error."""
     marks = raw_duplicates(raw).select("source_row_id", "duplicate_candidate")
-    return canonical.join(marks, "source_row_id", "left").withColumn(
-        "duplicate_candidate",
-        F.coalesce("duplicate_candidate", F.raise_error(F.lit("raw and canonical rows differ")).cast("boolean")),
-    )
+    both = canonical.withColumn("_canonical", F.lit(True)).join(marks, "source_row_id", "full")
+    differ = F.raise_error(F.lit("raw and canonical rows differ")).cast("boolean")
+    return both.withColumn("duplicate_candidate", F.when(F.col("_canonical"), F.coalesce("duplicate_candidate", differ)).otherwise(differ)).drop("_canonical")
 
 
 def order_amounts(canonical: DataFrame, mode: str) -> DataFrame:

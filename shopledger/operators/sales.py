@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import LINE_MODES, MAX_CALENDAR_DAYS, MAX_SOURCES, Mapping, Report
+from ..config import LINE_MODES, Mapping, Report
 from ..functions.money import PRODUCT
 from ..functions.spread import any_of, attach, mark_repeats
 from ..functions.times import month_of
@@ -26,8 +26,6 @@ def append(sources: Sequence[tuple[DataFrame, Mapping]]) -> DataFrame:
         raise ValueError("mixed_shapes")
     if len({(m.quantity_unit, m.amount_mode, m.timezone) for _, m in sources}) != 1:
         raise ValueError("mixed_semantics")
-    if len(sources) > MAX_SOURCES:
-        raise ValueError("too many sources")
     return reduce(DataFrame.unionByName, [rows for rows, _ in sources])
 
 
@@ -39,14 +37,14 @@ def source_ranges(rows: DataFrame) -> DataFrame:
 
 
 def overlaps(ranges: DataFrame) -> DataFrame:
-    """Pairs of sources whose date ranges meet; the table has at most MAX_SOURCES rows."""
+    """Pairs of sources whose date ranges meet; the table has one row per source."""
     later = ranges.select([F.col(c).alias("later_" + c) for c in ranges.columns])
     meets = (
         (F.col("later_source_no") > F.col("source_no"))
         & (F.col("start") <= F.col("later_end"))
         & (F.col("end") >= F.col("later_start"))
     )
-    return ranges.join(F.broadcast(later), meets).select(
+    return ranges.join(later, meets).select(
         F.col("version_id").alias("earlier"),
         F.col("later_version_id").alias("later"),
         F.greatest("start", "later_start").alias("first_day"),
@@ -62,16 +60,16 @@ def check_append(ranges: DataFrame) -> None:
 def tag_replaced(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Mark rows whose day lies in the range of a later source, even on days that source lacks."""
     later = overlaps_after(ranges)
-    joined = rows.join(F.broadcast(later), "version_id", "left")
+    joined = attach(rows, later, ["version_id"])
     covered = F.exists("_later", lambda r: (r["start"] <= F.col("day")) & (F.col("day") <= r["end"]))
     return joined.withColumn("replaced", F.coalesce(covered, F.lit(False))).drop("_later")
 
 
 def overlaps_after(ranges: DataFrame) -> DataFrame:
-    """Per source the ranges of all later sources (at most MAX_SOURCES short arrays)."""
+    """Per source the ranges of all later sources (one short array per source)."""
     mine = ranges.select("version_id", F.col("source_no").alias("_no"))
     others = ranges.select(F.col("source_no").alias("_other"), F.struct("start", "end").alias("_range"))
-    return mine.join(F.broadcast(others), F.col("_other") > F.col("_no")).groupBy("version_id").agg(
+    return mine.join(others, F.col("_other") > F.col("_no")).groupBy("version_id").agg(
         F.collect_list("_range").alias("_later")
     )
 
@@ -198,9 +196,7 @@ def check_currency(labelled: DataFrame, mapping: Mapping) -> None:
 
 
 def calendar_days(spark: SparkSession, start: date, end: date) -> DataFrame:
-    """One row per day; at most MAX_CALENDAR_DAYS rows."""
-    if (end - start).days >= MAX_CALENDAR_DAYS:
-        raise ValueError("calendar too long")
+    """One row per day."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("day"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import FIELDS, Mapping
 from ..functions.times import local_day, month_of, parse_time
+from ..operators.normalize import status
 
 # Accepted file encodings and the charset names Spark reads them with.
 ENCODINGS = {"utf-8-sig": "UTF-8", "gb18030": "GB18030", "cp1252": "windows-1252"}
@@ -110,7 +111,7 @@ def table_profile(canonical: DataFrame, mapping: Mapping) -> DataFrame:
         F.max(day).cast("string").alias("last_day"),
         F.count_distinct("order_id").alias("orders"),
         F.count_distinct("customer_id").alias("customers"),
-        F.count_if(F.col("record_status") == "C").alias("cancelled_rows"),
+        F.count_if(status(mapping) == "cancelled").alias("cancelled_rows"),
         F.count_if(number("quantity") <= 0).alias("nonpositive_quantity"),
         F.count_if(number("unit_price") <= 0).alias("nonpositive_price"),
     )
@@ -163,7 +164,8 @@ def source_calendar(canonical: DataFrame, mapping: Mapping) -> DataFrame:
 def fingerprint(df: DataFrame, by: str = "version_id") -> DataFrame:
     """Row count and order-free content hash per source."""
     content = [c for c in df.columns if c != by]
-    h = F.xxhash64(*content)
+    # a null is told apart from an absent one: hashing alone would skip it, whatever its column
+    h = F.xxhash64(*[part for c in content for part in (F.col(c).isNull(), F.col(c))])
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.bit_xor(h).alias("hash_xor"),

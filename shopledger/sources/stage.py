@@ -14,9 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set, as in tests."""
-    stated = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (stated or os.path.join(tempfile.gettempdir(), "shopledger")).rstrip("/")
+    """The cluster's ``spark.checkpoint.dir``. Without one, a local folder on a local master only: elsewhere each
+    executor would write to a disk of its own, and later reads would miss rows without an error.
+    """
+    stated = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if stated:
+        return stated.rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "shopledger")
+
+
+def is_local(master: str) -> bool:
+    """One JVM on this machine; ``local-cluster`` has executors of its own."""
+    return master == "local" or master.startswith("local[")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
