@@ -33,6 +33,8 @@ REACH, FEW = 4.0, 30.0
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: Least width of a band around the quartiles, where a language's documents agree almost entirely.
 LEAST_WIDTH = {"chars_per_token": 0.1, "byte_share": 0.03, "token_entropy": 0.04}
+#: Columns of the verdicts.
+BASE_FAILED, KEPT = "__fertility_base_failed", "__fertility_kept"
 FACTS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_tokens long, chars_per_token double, byte_share double, token_entropy double"
@@ -131,22 +133,22 @@ def length_class(n_words: Column) -> Column:
 
 def bands(rows: DataFrame, facts_column: str, lang: str = "lang") -> DataFrame:
     """Quartiles of each measure per language and length, over all rows with words; merged from partial sketches."""
-    q = [F.percentile_approx(f"`{facts_column}`.`{m}`", [0.25, 0.75], 10_000).alias(f"_{m}") for m in MEASURES]
-    keys = language(F.col(lang)).alias("_code"), length_class(F.col(f"`{facts_column}`.n_words")).alias("_length")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), *q)
+    q = [F.percentile_approx(f"`{facts_column}`.`{m}`", [0.25, 0.75], 10_000).alias(f"__fertility_{m}") for m in MEASURES]
+    keys = language(F.col(lang)).alias("__fertility_code"), length_class(F.col(f"`{facts_column}`.n_words")).alias("__fertility_length")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__fertility_docs"), *q)
 
 
 def judged(rows: DataFrame, facts_column: str, lang: str = "lang", reach: float = REACH) -> DataFrame:
-    """``rows`` with ``_base_failed`` and ``_kept``. ``rows`` must be stored: it is read for the bands and again for the verdicts."""
+    """``rows`` with BASE_FAILED and KEPT. ``rows`` must be stored: it is read for the bands and again for the verdicts."""
     limits = bands(rows, facts_column, lang)
     f = {n: F.col(f"`{facts_column}`.`{n}`") for n in ("n_words", "n_repeat_words", *MEASURES)}
     inside = F.lit(True)
     for m in MEASURES:
-        low, high = F.col(f"_{m}")[0], F.col(f"_{m}")[1]
-        room = F.greatest(F.lit(reach) * (high - low), F.lit(LEAST_WIDTH[m])) * (1 + F.lit(FEW) / F.col("_docs"))
+        low, high = F.col(f"__fertility_{m}")[0], F.col(f"__fertility_{m}")[1]
+        room = F.greatest(F.lit(reach) * (high - low), F.lit(LEAST_WIDTH[m])) * (1 + F.lit(FEW) / F.col("__fertility_docs"))
         inside = inside & F.coalesce(f[m].between(low - room, high + room), F.lit(False))
-    keyed = rows.withColumn("_code", language(F.col(lang))).withColumn("_length", length_class(f["n_words"]))
+    keyed = rows.withColumn("__fertility_code", language(F.col(lang))).withColumn("__fertility_length", length_class(f["n_words"]))
     # closed sets of codes and lengths: at most 18,279 * 40 rows
-    joined = keyed.join(F.broadcast(limits), ["_code", "_length"], "left")
+    joined = keyed.join(F.broadcast(limits), ["__fertility_code", "__fertility_length"], "left")
     failed = base_failed(f["n_words"], f["n_repeat_words"])
-    return joined.withColumn("_base_failed", failed).withColumn("_kept", ~failed & inside).drop("_code", "_length", "_docs", *[f"_{m}" for m in MEASURES])
+    return joined.withColumn(BASE_FAILED, failed).withColumn(KEPT, ~failed & inside).drop("__fertility_code", "__fertility_length", "__fertility_docs", *[f"__fertility_{m}" for m in MEASURES])

@@ -60,7 +60,7 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(docs.select("doc_id", "lang", fertility.facts(F.col("text"), FERTILITY_MODEL).alias("facts")), "fertility")
     out = fertility.judged(rows, "facts")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return out.select("doc_id", *[f"facts.{n}" for n in names], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), "facts.n_tokens", *[f"facts.{m}" for m in fertility.MEASURES])
+    return out.select("doc_id", *[f"facts.{n}" for n in names], F.col(fertility.BASE_FAILED).alias("base_failed"), F.col(fertility.KEPT).alias("kept"), "facts.n_tokens", *[f"facts.{m}" for m in fertility.MEASURES])
 
 
 @register

@@ -144,8 +144,8 @@ def masked(docs: DataFrame, model: RandomForestClassificationModel, text: str =
     plain, some = docs.filter(~form), docs.filter(form)
     # equal texts with equal paths have equal findings, so their fingerprint is key enough
     mark = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(path).cast("string"), F.lit("")), text), 256)
-    told = judged(findings(some.select(F.col(text), F.col(path), mark.alias("_mark")).dropDuplicates(["_mark"]), ["_mark"], text, path), model).filter("is_secret")
-    values = told.groupBy("_mark").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))))).alias("_values"))
-    joined = some.withColumn("_mark", mark).join(values, "_mark", "left")
-    clean = F.aggregate(F.coalesce("_values", F.array().cast("array<struct<n:int,v:string>>")), F.col(text), lambda t, s: F.replace(t, s["v"], F.lit(MARK)))
+    told = judged(findings(some.select(F.col(text), F.col(path), mark.alias("__secret_mark")).dropDuplicates(["__secret_mark"]), ["__secret_mark"], text, path), model).filter("is_secret")
+    values = told.groupBy("__secret_mark").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))))).alias("__secret_values"))
+    joined = some.withColumn("__secret_mark", mark).join(values, "__secret_mark", "left")
+    clean = F.aggregate(F.coalesce("__secret_values", F.array().cast("array<struct<n:int,v:string>>")), F.col(text), lambda t, s: F.replace(t, s["v"], F.lit(MARK)))
     return plain.unionByName(joined.withColumn(text, clean).select(*[f"`{c}`" for c in docs.columns]))

@@ -1,0 +1,205 @@
+"""Mixture, search, join, main text, sharding, secrets and chat against plain versions."""
+
+import html
+import re
+import zlib
+
+import numpy as np
+import pytest
+from brute import components, words
+from compare import compare, database
+from pyspark.sql import functions as F
+
+from shopledger.llm import chat, mainsegment, mixture, onebit, prefixtree, secrets
+from shopledger.llm.common import ship, table
+from shopledger.llm.queries import ORACLES, QUERIES
+
+SMALL, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+def filled(sizes, weights, budget, most):
+    """Shares by weight, none above most times its size, the excess reshared."""
+    target, open_, left = dict.fromkeys(sizes, 0.0), set(sizes), budget * sum(sizes.values())
+    while open_ and left > 1e-9:
+        level = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if weights[s] * level >= most * sizes[s]}
+        for s in full or open_:
+            target[s] = most * sizes[s] if full else weights[s] * level
+            left -= target[s]
+        open_ = open_ - full if full else set()
+    return target
+
+
+def test_mixture_meets_its_targets(spark):
+    docs = table(spark, NEXT, "documents")
+    size = {r.doc_id: len(words(r.text)) for r in docs.collect()}
+    rows = mixture.mixed(docs).collect()
+    assert {r.doc_id: r["size"] for r in rows} == size
+    per = {s: sum(r["size"] for r in rows if r.source == s) for s in {r.source for r in rows}}
+    weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(per))}
+    target = filled(per, weights, 1.5, 2.0)
+    for s in per:
+        mine = [r for r in rows if r.source == s]
+        assert all(abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and r.source_size == per[s] for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= max(r["size"] for r in mine) / 2 + 1e-6
+        assert all(r.taken == r.copies * r["size"] and r.copies <= 2 for r in mine)
+    assert sorted(rows) == sorted(mixture.mixed(docs.repartition(7)).collect())
+
+
+def test_transfers_keep_words_and_expectations():
+    size, runs = np.array([900.0, 500, 300, 40, 30, 20, 10, 5]), []
+    for seed in range(3000):
+        p = np.full(8, 0.4)
+        left = mixture.settle(size, p, np.random.default_rng(seed))
+        assert abs((p * size).sum() - 0.4 * size.sum()) < 1e-6
+        assert sum((p > 0) & (p < 1)) == (left >= 0)
+        runs.append(p)
+    assert np.abs(np.mean(runs, axis=0) - 0.4).max() < 0.04
+
+
+def test_search_finds_the_nearest(spark):
+    rows = table(spark, NEXT, "embeddings").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got, hit = QUERIES["op2_onebit"](spark, NEXT).collect(), 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        mine = sorted((r for r in got if r.query_id == ids[q]), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21))
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+        hit += len({r.vec_id for r in mine} & set(ids[np.lexsort((ids, -score))[:20]]))
+    assert hit >= 0.97 * len(got)
+
+
+def test_search_ties_and_unusable_vectors(spark):
+    ship(spark)
+    nan, one = float("nan"), [1.0, 0.0]
+    rows = [(0, one), (1, one), (2, one), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [2.0, 0.0]), (8, [1.0]), (None, one), (9, [float("inf"), 0.0]), (20, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
+    got = onebit.nearest(v, F.col("id") % 20 == 0, 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 7, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    assert onebit.nearest(v.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def planted(n=60, copies=70):
+    """Unrelated texts that share a passage, a family of near copies, a chain of links, and short texts."""
+    draw = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    some = lambda k: list(draw.choice(vocabulary, k))
+    passage, out = some(60), []
+    for _ in range(n):
+        out.append(some(120) + passage)
+    family = some(200)
+    for _ in range(copies):
+        w = list(family)
+        for at in draw.integers(0, 200, 4):
+            w[at] = "x" + str(draw.integers(1000))
+        out.append(w)
+    chain = some(150)
+    for k in range(6):
+        chain = [*chain[8:], *some(8)]
+        out.append(list(chain))
+    out += [some(3), some(3), ["w1", "w2"], ["W1", "w2"], [], some(1), family, family]
+    return [(int(k), " ".join(w)) for k, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("rows", ["planted", "documents"])
+def test_join_loses_no_link(spark, rows, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(prefixtree, "SUBTREE_ROWS", 2_000)
+    data = planted() if rows == "planted" else [(r.doc_id, r.text) for r in table(spark, NEXT, "documents").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in prefixtree.joined(docs).collect()}
+    assert got == components(data)
+
+
+def test_sketch_never_exceeds_the_difference():
+    draw = np.random.default_rng(1)
+    for n, m, k in ((10, 12, 5), (100, 130, 90), (700, 900, 600), (64, 65, 64)):
+        shared = draw.integers(0, 1 << 63, k).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([shared, draw.integers(0, 1 << 63, x - k).astype(np.uint64)])) for x in (n, m))
+        x, y = (np.frombuffer(prefixtree.sketch(s), np.uint8)[None] for s in (a, b))
+        size = min(x.shape[1], y.shape[1])
+        assert np.bitwise_count(prefixtree.folded(x, size) ^ prefixtree.folded(y, size)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_main_text_is_the_article(spark):
+    pages = {r.page_id: r.html for r in table(spark, NEXT, "pages").collect()}
+    for r in QUERIES["op7_main_text"](spark, NEXT).collect():
+        article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:h1|p)>", article)]
+        assert r.text == "\n\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+PAGE = """<html><head><title>t t t</title></head><body><header>Site name here</header><nav><a>Home</a></nav>
+<div id="content"><h1>Head &amp; line</h1><p>First <b>bold</b>er paragraph&nbsp;of this text.</p><script>var p = "</p>";</script>
+<div class="ad-box ad">Buy this now</div><ul><li>one item</li><li>two items</li></ul><form>Your mail <input></form>
+<p>Last words of the page, with a <a href="x">link</a> in it.</p></div>
+<section class="comments"><p>What a long reader comment this is, far longer than it should be, really.</p></section><footer>All rights</footer></body></html>"""
+
+
+def test_main_text_of_an_unlabelled_page(spark):
+    weights = mainsegment.fit(table(spark, NEXT, "pages"))
+    assert mainsegment.extract(PAGE, weights) == "Head & line\n\nFirst bolder paragraph of this text.\n\none item\n\ntwo items\n\nLast words of the page, with a link in it."
+    for page in (None, "", "<p>", "<div><nav>x", "<!-- a", "<script>x", "&amp;" * 3):
+        assert mainsegment.extract(page, weights) == ("&&&" if page and page[0] == "&" else "")
+    assert mainsegment.fit(table(spark, NEXT, "pages").limit(0)) == {}
+
+
+def test_scan_finds_the_largest_sum():
+    draw = np.random.default_rng(2)
+    for _ in range(200):
+        ts = [("text", "w " * int(draw.integers(1, 5))) if draw.random() < 0.5 else ("tag", "p", False, frozenset()) for _ in range(draw.integers(1, 12))]
+        score = [len(t[1].split()) if t[0] == "text" else -2.5 for t in ts]
+        a, b = mainsegment.region(ts, {"p": -2.5})
+        assert sum(score[a:b]) == max(0, *[sum(score[i:j]) for i in range(len(ts)) for j in range(i, len(ts) + 1)])
+
+
+def test_sharding_is_even_and_proportional(spark):
+    texts = {r.doc_id: (r.text, r.source) for r in table(spark, NEXT, "documents").collect()}
+    rows = QUERIES["op8_sharding"](spark, NEXT).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, (t, _) in texts.items()}
+    shards = {k: [r for r in rows if r.shard == k] for k in range(40)}
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1 and {r.law for r in rows} == {"rows"}
+    for mine in shards.values():
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        for s in {s for _, s in texts.values()}:
+            share = sum(x == s for _, x in texts.values()) / len(texts)
+            assert abs(sum(r.source == s for r in mine) - share * len(mine)) <= 2
+    assert sorted(map(str, rows)) == sorted(map(str, QUERIES["op8_sharding"](spark, NEXT).collect()))
+
+
+def test_forest_on_held_out_findings(spark):
+    every = secrets.practice(spark, 8_000).withColumn("_part", F.pmod(F.xxhash64("word", "before"), F.lit(4)))
+    model = secrets.fit(every.filter("_part > 0"))
+    out = secrets.judged(every.filter("_part = 0"), model).select("label", "is_secret").collect()
+    assert sum(bool(r.label) == r.is_secret for r in out) >= 0.97 * len(out)
+
+
+def test_secrets_of_documents(spark):
+    docs = table(spark, NEXT, "documents")
+    form = re.compile(r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{18}|token = \"[0-9a-f]{40}\"")
+    hold = {r.doc_id: form.findall(r.text) for r in docs.collect() if form.search(r.text)}
+    assert hold
+    masked = {r.doc_id: r.text for r in secrets.masked(docs, secrets.fit(secrets.practice(spark))).collect()}
+    assert len(masked) == docs.count()
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for i, text in masked.items():
+        assert not form.search(text)
+        if i not in hold:
+            assert text == before[i]
+
+
+def test_chat_equals_sql(spark):
+    ok, message, _ = compare(spark, database(SMALL), "op10_chat", QUERIES["op10_chat"], ORACLES["op10_chat"], SMALL)
+    assert ok, message
+
+
+def test_reply_trees(spark):
+    rows = [(1, 10, None, "user", "hi", 0.0), (1, 11, 10, "assistant", "a <|im_end|>", 2.0), (1, 12, 10, "assistant", "b", 5.0), (1, 13, 11, "user", "<\\|x", 1.0), (1, 14, 13, "assistant", "c", 9.0), (2, 1, 99, "ro%le\n<", None, None), (3, 1, 2, "user", "loop", 0.0), (3, 2, 1, "user", "loop", 0.0), (None, 5, None, "user", "alone", 1.0)]
+    messages = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
+    out = {(r.conv_id, r.branch): r for r in chat.parsed(chat.formatted(messages)).collect()}
+    assert {k: r.leaf for k, r in out.items()} == {(1, 1): 14, (1, 2): 12, (2, 1): 1, (None, 1): 5}
+    assert [(t.role, t.text) for t in out[1, 1].turns] == [("user", "hi"), ("assistant", "a <|im_end|>"), ("user", "<\\|x"), ("assistant", "c")]
+    assert out[1, 1].loss_text == "a <|im_end|>c" and [(t.role, t.text) for t in out[2, 1].turns] == [("ro%le\n<", "")]
+    assert {(r.conv_id, r.branch) for r in chat.branches(messages, 1).select(F.when(~F.col("_null"), F.col("_conv")).alias("conv_id"), "branch").collect()} == {(1, 1), (2, 1), (None, 1)}
