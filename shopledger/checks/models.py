@@ -17,7 +17,7 @@ from ..sources.readers import weekly_long
 from .months import effects, month_items
 from .registry import check
 from .rows import MERCH, WEEKLY_SQL, WEEKS, weekly_wide
-from .tables import FORECAST, REPORT, forecast_grid, grid, order_items, order_times, stored, table
+from .tables import FORECAST, REPORT, forecast_grid, grid, order_items, order_times, regular_times, stored, table
 
 DAYS = f.calendar_length(FORECAST)
 PLAN = f.Plan.for_days(DAYS)
@@ -144,7 +144,7 @@ def _(spark, d):
 @check("l15_gbt_forecast")
 def _(spark, d):
     features = f.trailing_features(forecast_grid(spark, d))
-    return f.gbt_forecast(features, eligible(spark, d).filter("tested"), PLAN.origins[-1], trees=20)
+    return f.gbt_forecast(features, eligible(spark, d).filter("tested"), PLAN.origins[-1])
 
 
 @check("l23_v2_backtest", """
@@ -423,6 +423,16 @@ FOLLOW = f"""(SELECT customer_id, purchase_days, usual AS usual_gap_days, last A
   greatest(usual * 1.5, usual + 7) AS threshold_days FROM {GAPS} WHERE purchase_days >= 4 AND usual >= 1 AND iqr <= usual * 0.5 AND widest <= usual * 2
   AND date_diff('day', last, DATE '2001-08-02') > greatest(usual * 1.5, usual + 7) AND date_diff('day', last, DATE '2001-08-02') <= greatest(90, usual * 3))"""
 REFERENCE = date(2001, 8, 2)
+# the same with every tenth customer buying regularly until they stop
+REGULAR = FOLLOW.replace("btimes", "rtimes")
+
+
+def customers(spark, d):
+    return regular_times(spark, d).select("customer_id").distinct().count()
+
+
+def regular_summary(spark, d):
+    return c.followup_summary(c.followups(regular_times(spark, d), REFERENCE), customers(spark, d))
 
 
 @check("w16_followups", f"SELECT * REPLACE (CAST(last_purchase AS VARCHAR) AS last_purchase) FROM {FOLLOW}")
@@ -432,10 +442,10 @@ def _(spark, d):
 
 @check("w16_followup_summary", f"""
 SELECT count(*) AS customers, median(purchase_days)::DOUBLE AS purchase_days_median, median(usual_gap_days) AS usual_gap_median,
-  median(days_since_purchase)::DOUBLE AS elapsed_median FROM {FOLLOW} HAVING count(*) >= 10
+  median(days_since_purchase)::DOUBLE AS elapsed_median FROM {REGULAR} HAVING count(*) >= greatest(10, 0.01 * (SELECT count(DISTINCT customer_id) FROM rtimes))
 """)
 def _(spark, d):
-    return c.followup_summary(c.followups(order_times(spark, d), REFERENCE), 40)
+    return regular_summary(spark, d)
 
 
 @check("l13_item_clusters")
@@ -505,10 +515,11 @@ def _(spark, d):
 
 
 @check("k03_followup_action", f"""
-SELECT 'customer-followup' AS strategy, round(n / 40.0::DOUBLE * 0.25, 6) AS score FROM (SELECT count(*) AS n FROM {FOLLOW}) WHERE n >= 10
+SELECT 'customer-followup' AS strategy, round(n / total::DOUBLE * 0.25, 6) AS score FROM (SELECT count(*) AS n FROM {REGULAR}), (SELECT count(DISTINCT customer_id) AS total FROM rtimes)
+WHERE n >= greatest(10, 0.01 * total)
 """)
 def _(spark, d):
-    return r.followup_action(c.followup_summary(c.followups(order_times(spark, d), REFERENCE), 40), 40)
+    return r.followup_action(regular_summary(spark, d), customers(spark, d))
 
 
 @check("k04_combine")
@@ -517,7 +528,7 @@ def _(spark, d):
     total = items.agg(F.sum("amount")).first()[0]
     sales = r.action_pool(e.actions(items, effects(spark, d), None, REPORT, n=None), total)
     pairs = r.pairing_pool(r.pairings(counted(spark, d), items))
-    follow = r.followup_pool(r.followup_action(c.followup_summary(c.followups(order_times(spark, d), REFERENCE), 40), 40))
+    follow = r.followup_pool(r.followup_action(regular_summary(spark, d), customers(spark, d)))
     return r.combine(sales.unionByName(pairs).unionByName(follow))
 
 

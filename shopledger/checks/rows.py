@@ -158,6 +158,13 @@ def _(spark, d):
     return readers.source_calendar(canonical(spark, d), LINE)
 
 
+@check("a06_content_id", """
+SELECT sha256(concat_ws(chr(1), coalesce(item_id, chr(2)), coalesce(quantity, chr(2)), coalesce(currency, chr(2)))) || ':' || (row_number() OVER (PARTITION BY item_id, quantity, currency) - 1) AS source_row_id FROM lines
+""")
+def _(spark, d):
+    return readers.with_content_id(raw_view(spark, d).select("item_id", "quantity", "currency")).select("source_row_id")
+
+
 @check("a11_fingerprint")
 def _(spark, d):
     return readers.fingerprint(source_rows(spark, d).drop("issues", "source_no"))

@@ -346,6 +346,11 @@ SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS order_id, p_brand AS item_id FROM
 BLOCKS["btimes"] = """
 SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderdate AS tm, CAST(o_custkey AS VARCHAR) AS customer_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 """
+BLOCKS["rtimes"] = """
+SELECT 'r' || c_custkey || '-' || k AS order_id, CAST(DATE '2001-03-20' AS TIMESTAMP) + to_days(CAST(20 * k AS INTEGER)) AS tm, CAST(c_custkey AS VARCHAR) AS customer_id
+FROM customer, UNNEST([0, 1, 2, 3, 4]) AS visits(k) WHERE c_custkey % 10 = 0
+UNION ALL SELECT * FROM btimes WHERE CAST(customer_id AS BIGINT) % 10 <> 0
+"""
 BLOCKS["bcuts"] = """
 SELECT max(tm) FILTER (WHERE r = least(n - 1, floor(n * 0.6::DOUBLE))) AS c0, max(tm) FILTER (WHERE r = least(n - 1, floor(n * 0.8::DOUBLE))) AS c1
 FROM (SELECT tm, row_number() OVER (ORDER BY tm) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT tm FROM btimes))

@@ -210,6 +210,17 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def regular_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order times in which every tenth customer buys five times, twenty days apart, and then stops."""
+    buyers = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    planted = buyers.select(
+        F.concat(F.lit("r"), "c_custkey", F.lit("-"), "k").alias("order_id"), F.col("c_custkey").cast("string").alias("customer_id"),
+        F.date_add(F.lit(date(2001, 3, 20)), F.col("k") * 20).cast("timestamp").alias("event_time"),
+    )
+    others = order_times(spark, sf_dir).filter(F.col("customer_id").cast("long") % 10 != 0)
+    return others.select("order_id", "customer_id", "event_time").unionByName(planted)
+
+
 def order_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order, time and customer of every order that has lines."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -257,6 +257,12 @@ def trailing_features(grid: DataFrame) -> DataFrame:
     )
 
 
+def with_next_day(grid: DataFrame, n: int) -> DataFrame:
+    """The grid with one more, unknown day per item: the origin of the forecast to publish."""
+    ahead = grid.groupBy("item_id").agg(F.max("day").alias("_last")).select("item_id", F.lit(n).cast(grid.schema["t"].dataType).alias("t"), F.date_add("_last", 1).alias("day"))
+    return grid.select("item_id", "t", "day", "quantity").unionByName(ahead, allowMissingColumns=True)
+
+
 def gbt_forecast(features: DataFrame, keys: DataFrame, origin: int, trees: int = 80, min_rows: int = 30) -> DataFrame | None:
     """Pooled boosted trees for one origin; a training label ends before the origin.
 

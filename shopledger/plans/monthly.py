@@ -11,11 +11,12 @@ from ..operators import anomaly, evidence, forecast, items, normalize, sales
 from ..sources.stage import staged
 
 
-def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report) -> dict[str, DataFrame]:
+def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report, trees: int = 80) -> dict[str, DataFrame]:
     """Totals, charts, item evidence, focus, actions, forecast and row audit of ``report.month``.
 
     ``sources`` are normalised rows with version_id and source_no. Rows, labels and the dense grid are
-    written once, as several later tables read them.
+    written once, as several later tables read them. ``trees`` is the size of each boosted model (one per origin of the check and one
+    for publication); 0 leaves that method out.
     """
     rows = staged(sales.append(sources), "source-rows")
     mapping = sources[-1][1]
@@ -32,7 +33,7 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report)
     comparable = report.comparative(gaps)
     by_line = mapping.amount_mode in LINE_MODES
     names = sales.item_names(labelled)
-    types = normalize.item_types(labelled.filter("reason = 'included'"), report, mapping.status_rule == "uci_cancel_prefix")
+    types = normalize.item_types(labelled.filter("reason = 'included'"), report, all(m.status_rule == "uci_cancel_prefix" for _, m in sources))
     month_items = staged(items.item_month(daily, names, types, mapping, report, comparable), "items")
     effects = staged(items.price_volume(daily, report), "effects")
     totals = sales.month_totals(labelled, mapping, report)
@@ -81,7 +82,12 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report)
     }
     if n >= 90 and not report.check_only:
         plan = forecast.Plan.for_days(n)
-        rows_checked = staged(forecast.backtest(arrays, eligible.filter("tested"), plan), "backtest")
+        tested, boosted, latest = eligible.filter("tested"), None, None
+        if trees:
+            features = staged(forecast.trailing_features(forecast.with_next_day(grid, n)), "features")
+            boosted = forecast.boosted_forecasts(features, tested, plan.origins, trees)
+            latest = forecast.gbt_forecast(features, tested, n, trees) if boosted is not None else None
+        rows_checked = staged(forecast.backtest(arrays, tested, plan, boosted), "backtest")
         splits = {r["split"] for r in rows_checked.select("split").distinct().collect()}  # at most three
         if {"validation", "test"} <= splits:
             policy = forecast.select_policy(rows_checked, plan.validation)
@@ -89,7 +95,7 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report)
                 "backtest": rows_checked,
                 "errors": forecast.errors(rows_checked),
                 "policy": policy,
-                "forecast": forecast.publish(rows_checked, policy, arrays, eligible, report),
+                "forecast": forecast.publish(rows_checked, policy, arrays, eligible, report, latest),
             }
     return out
 

@@ -41,15 +41,25 @@ def association(items: DataFrame, params: Analysis = Analysis()) -> dict[str, Da
     qualified = staged(baskets.qualify(mined, part("validation")), "rules")
     popular = baskets.popularity(train)
     head = baskets.popular_head(popular)
+    owners, block = bootstrap_block(items, labels)
     out = {"split": labels, "itemsets": sets, "rules": qualified, "cards": baskets.cards(qualified)}
     for name, seed in (("validation", 42), ("test", 43)):
         cases = staged(baskets.completion_cases(part(name), popular, qualified, popular, seed), f"cases-{name}")
         out[f"{name}_metrics"] = baskets.basket_metrics(cases)
         out[f"{name}_strata"] = baskets.strata_metrics(cases, head)
-        out[f"{name}_interval"] = baskets.bootstrap(cases, "order_id", seed=seed + 1000)
+        out[f"{name}_interval"] = baskets.bootstrap(cases.join(owners, "order_id"), block, seed=seed + 1000)
     return out
 
 
+def bootstrap_block(items: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
+    """What is resampled as one: the customer where every row names one, else the ISO week of a split by time, else the order."""
+    per = items.groupBy("order_id").agg(F.min("customer_id").alias("customer_id"), F.date_trunc("week", F.min("event_time")).cast("string").alias("week"))
+    named = items.agg(F.coalesce(F.bool_and(F.col("customer_id").isNotNull()), F.lit(False)).alias("n")).first().n
+    by_time = not labels.filter("split_mode = 'chronological'").isEmpty()
+    block = "customer_id" if named else "week" if by_time else "order_id"
+    return per.select("order_id", *([block] if block != "order_id" else [])), block
+
+
 def customer_groups(view: DataFrame, kind: str, reference, params: Analysis = Analysis(), date_end=None) -> dict[str, DataFrame]:
     """RF or RFM features, candidate groupings, profiles of the best one and the follow-up list."""
     features = staged(customers.rfm_features(view, kind, date_end), "features")

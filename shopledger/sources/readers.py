@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import FIELDS, Mapping
+from ..functions.spread import row_print
 from ..functions.times import local_day, month_of, parse_time
 from ..operators.normalize import status
 
@@ -18,15 +19,15 @@ ENCODINGS = {"utf-8-sig": "UTF-8", "gb18030": "GB18030", "cp1252": "windows-1252
 SEPARATORS = (",", ";", "\t", "|")
 
 
-def read_csv(spark: SparkSession, path, columns: Sequence[str], encoding="utf-8-sig", sep=",") -> DataFrame:
+def read_csv(spark: SparkSession, path, columns: Sequence[str], encoding="utf-8-sig", sep=",", multi_line: bool = False) -> DataFrame:
     """CSV with a header as nullable strings; a row of another width fails the read.
 
-    Column pruning is switched off for CSV, as a pruned scan does not notice ragged rows. Encodings
-    other than UTF-8 need ``spark.sql.legacy.javaCharsets`` set to true.
+    Column pruning is switched off for this read, as a pruned scan does not notice ragged rows. Quoted line breaks need ``multi_line``,
+    whatever the encoding; a file is then one task, so it is a choice of the caller. Encodings other than UTF-8 need
+    ``spark.sql.legacy.javaCharsets`` set to true.
     """
     if encoding not in ENCODINGS or sep not in SEPARATORS:
         raise ValueError("unsupported encoding or separator")
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     schema = StructType([StructField(name, StringType()) for name in columns])
     return (
         spark.read.schema(schema)
@@ -37,7 +38,8 @@ def read_csv(spark: SparkSession, path, columns: Sequence[str], encoding="utf-8-
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", encoding != "utf-8-sig")
+        .option("multiLine", multi_line)
+        .option("columnPruning", False)
         .csv(path)
     )
 
@@ -77,6 +79,13 @@ def with_row_id(df: DataFrame, keys: Sequence[str], name: str = "source_row_id")
     return df.withColumn(name, F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
 
 
+def with_content_id(df: DataFrame, name: str = "source_row_id") -> DataFrame:
+    """An id for rows without keys: the print of the content and an ordinal among equal rows, which nothing else tells apart."""
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    return each.select(*df.columns, F.concat_ws(":", row_print(df.columns), "_copy").alias(name))
+
+
 def profile(df: DataFrame, examples: int = 3) -> DataFrame:
     """One row per column: rows, missing cells, distinct values and the first few example values.
 
