@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as a
@@ -11,7 +13,7 @@ from ..operators import normalize as n
 from ..operators import sales as s
 from .registry import check
 from .rows import MERCH
-from .tables import REPORT, UNKNOWN, anomaly_days, facts, grid, labelled, mapping, stored
+from .tables import REPORT, UNKNOWN, anomaly_days, facts, grid, labelled, mapping, stored, table
 
 LINE = mapping()
 
@@ -293,6 +295,35 @@ def _(spark, d):
     return e.actions(month_items(spark, d), effects(spark, d), e.daily_signals(trends, spikes), REPORT)
 
 
+def planted_evidence(spark, d):
+    """Every brand's June with steady, rising, falling or spiking daily sales, and its anomaly days."""
+    number = F.regexp_extract("item_id", "[0-9]+", 0).cast("int")
+    dom = F.dayofmonth("date")
+    week = F.greatest(F.lit(0), F.floor((dom - 3) / 7))
+    extra = F.when(number % 4 == 1, 8 * week).when(number % 4 == 2, 8 * (3 - week)).when((number % 4 == 3) & (dom == 20), 140).otherwise(0)
+    days = table(spark, d, "part").select(F.col("p_brand").alias("item_id")).distinct().select("item_id", F.explode(F.sequence(F.lit(date(2001, 6, 1)), F.lit(date(2001, 6, 30)))).alias("date"))
+    sold = days.withColumn("quantity", (10 + (number * 7 + dom * 3) % 4 + extra).cast("double"))
+    odd = sold.filter((number % 4 == 3) & (dom == 20)).select("item_id", "date", F.col("quantity").alias("actual"), F.lit(11.0).alias("reference"))
+    shown = sold.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("date", "quantity"))).alias("daily"))
+    return e.with_anomalies(shown, odd), sold.groupBy("item_id").agg(F.sum("quantity").alias("quantity"))
+
+
+@check("w09_trend4_planted", "SELECT * FROM ptrends")
+def _(spark, d):
+    return e.trend4(planted_evidence(spark, d)[0], REPORT)
+
+
+@check("w10_spike_planted", "SELECT item_id, signal, CAST(date AS VARCHAR) AS date, baseline, actual, round(quantity_impact, 6) AS quantity_impact FROM pspikes")
+def _(spark, d):
+    return e.spike(*planted_evidence(spark, d), REPORT)
+
+
+@check("w12_actions_planted", actions_sql(SIGNALS.replace("trends", "ptrends").replace("spikes", "pspikes"), 4, "daily", "LIMIT 3"))
+def _(spark, d):
+    shown, month = planted_evidence(spark, d)
+    return e.actions(month_items(spark, d), effects(spark, d), e.daily_signals(e.trend4(shown, REPORT), e.spike(shown, month, REPORT)), REPORT)
+
+
 @check("w12_monthly_actions", actions_sql(MOVES, 1, "monthly", ""))
 def _(spark, d):
     return e.actions(month_items(spark, d), effects(spark, d), None, REPORT, n=None)

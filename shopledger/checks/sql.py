@@ -253,6 +253,23 @@ FROM (SELECT p.item_id, p.date, p.actual, p.reference, i.quantity AS month, list
 WHERE n >= 14 AND selling >= n / 2 AND baseline > 0 AND mean > 0 AND std / mean <= 0.75 AND actual >= 3 * greatest(baseline, reference)
   AND actual - greatest(baseline, reference) >= greatest(3, month * 0.2)
 """
+# Steady daily sales of every brand in June 2001, with rising, falling and spiking ones among them.
+_NUMBER = "CAST(replace(item_id, 'Brand#', '') AS INTEGER)"
+BLOCKS["pgrid"] = f"""
+SELECT item_id, day, CAST(10 + ({_NUMBER} * 7 + dom * 3) % 4 + CASE {_NUMBER} % 4 WHEN 1 THEN 8 * greatest(0, (dom - 3) // 7) WHEN 2 THEN 8 * (3 - greatest(0, (dom - 3) // 7))
+  WHEN 3 THEN CASE WHEN dom = 20 THEN 140 ELSE 0 END ELSE 0 END AS DOUBLE) AS quantity
+FROM (SELECT item_id, CAST(day AS DATE) AS day, CAST(day(day) AS INTEGER) AS dom FROM (SELECT DISTINCT p_brand AS item_id FROM part), UNNEST(generate_series(TIMESTAMP '2001-06-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY)) AS days(day))
+"""
+BLOCKS["panoms"] = f"SELECT item_id, day AS date, quantity AS actual, 11.0::DOUBLE AS reference FROM pgrid WHERE {_NUMBER} % 4 = 3 AND day = DATE '2001-06-20'"
+BLOCKS["pitems"] = "SELECT item_id, sum(quantity) AS quantity FROM pgrid GROUP BY item_id"
+
+
+def _planted(block: str) -> str:
+    return re.sub(r"\b(grid|anoms|items|weeks4|trends|spikes)\b", r"p\1", block)
+
+
+for _name in ("weeks4", "trends", "spikes"):
+    BLOCKS["p" + _name] = _planted(BLOCKS[_name])
 BLOCKS["bands"] = """
 SELECT item_id, amount / total AS amount_share, CAST(before_n + 1 AS BIGINT) AS amount_rank, (before + own) / total AS cumulative_share,
   CASE WHEN n < 5 THEN NULL WHEN before < total * 0.8 THEN 'A' WHEN before < total * 0.95 THEN 'B' ELSE 'C' END AS contribution_band
