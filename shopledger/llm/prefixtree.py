@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spread import attach
-from .common import WordTable, written
+from .common import dropped, written
 
 #: Words of an n-gram; the similarity as a fraction.
 WORDS, SHARED, OF = 5, 3, 4
@@ -44,23 +45,54 @@ FREQUENT_ROWS, SUBTREE_ROWS = 4_000_000, 200_000
 BITMAP = 1 << 26
 
 
-@functools.lru_cache(maxsize=1)
-def hashes() -> WordTable:
-    return WordTable(xxhash.xxh64_intdigest)
+#: A random 64-bit value per byte, and the odd base of the words' polynomials.
+_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of a text that are hashed at once; a longer text is cut at white space.
+CHUNK = 1 << 20
+
+
+@functools.lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^1 ... base^n, and base^0 ... base^-(n-1), modulo 2^64."""
+    up = np.cumprod(np.full(n, _BASE, np.uint64))
+    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
+    return up, down
+
+
+def scrambled(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash per word, from differences of one running polynomial over the bytes."""
+    out, at = [], 0
+    while at < len(raw):
+        cut = re.compile(rb"[\t-\r ]").search(raw, at + CHUNK)
+        part = np.frombuffer(raw[at : cut.start() if cut else len(raw)], np.uint8)
+        at += len(part)
+        up, down = powers(max(1 << 14, 1 << (len(part) - 1).bit_length()))
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[part], [True]])))
+        first, last = edges[0::2], edges[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * up[: len(part)], out=sums[1:])
+        out.append(scrambled((sums[last] - sums[first]) * down[np.minimum(first, len(down) - 1)]))
+    return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's n-grams."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    table, k = hashes(), min(WORDS, len(words))
-    ids = np.fromiter((table[w] for w in words), np.uint64, len(words))
+    ids = word_hashes((text or "").encode("utf-8").lower())
+    if not len(ids):
+        return ids
+    k = min(WORDS, len(ids))
     mixed = np.full(len(ids) - k + 1, k, np.uint64)
     for j in range(k):
-        mixed = (mixed ^ ids[j : j + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+        mixed = scrambled((mixed + ids[j : j + len(mixed)]) * np.uint64(_BASE))
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def linked(shared, a, b):
@@ -72,6 +104,10 @@ def prefix_length(n: int) -> int:
     return n - -(-SHARED * n // OF) + 1 if n else 0
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def sketch(tokens: np.ndarray) -> bytes:
     """Parity of the tokens per slot; at least as many slots as tokens, a power of two."""
     slots = max(64, 1 << max(0, len(tokens) - 1).bit_length())
@@ -87,14 +123,14 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, head, sketch per document; and token, seen per n-gram that several documents of a task have."""
+    """doc_id, n, sig, key (its first half), head, sketch per document; and token, seen per n-gram that several documents of a task have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 b = whole.slice(at, 2_000)
                 sets = [ngrams(t) for t in b.column(1).to_pylist()]
-                sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                sigs = [signature(s) for s in sets]
                 once = dict(zip(sigs, sets, strict=True))
                 tokens, seen = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
                 tokens, seen = tokens[seen >= LOCAL], seen[seen >= LOCAL]
@@ -102,14 +138,14 @@ def records(docs: DataFrame) -> DataFrame:
                 heads = [s[:HEADS].view(np.int64).tolist() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([True] * n + [False] * m), pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]), pa.array([len(s) for s in sets] + [None] * m, pa.int64()), pa.array(sigs + [None] * m, pa.binary()),
+                        pa.array([True] * n + [False] * m), pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]), pa.array([len(s) for s in sets] + [None] * m, pa.int64()), pa.array(sigs + [None] * m, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in sigs] + [None] * m, pa.int64()),
                         pa.array(heads + [None] * m, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets] + [None] * m, pa.binary()),
                         pa.array([None] * n + tokens.view(np.int64).tolist(), pa.int64()), pa.array([None] * n + seen.tolist(), pa.int64()),
                     ],
-                    names=["is_doc", "doc_id", "n", "sig", "head", "sketch", "token", "seen"],
+                    names=["is_doc", "doc_id", "n", "sig", "key", "head", "sketch", "token", "seen"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "is_doc boolean, doc_id long, n long, sig binary, head array<long>, sketch binary, token long, seen long")
+    return docs.select("doc_id", "text").mapInArrow(run, "is_doc boolean, doc_id long, n long, sig binary, key long, head array<long>, sketch binary, token long, seen long")
 
 
 def frequent(found: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,45 +167,70 @@ def ordered_prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray]) ->
     return tokens[np.argsort(level, kind="stable")[: prefix_length(len(tokens))]]
 
 
+def reachable(token: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows (sorted by token, then n) have a partner under their token that size and remaining lengths allow."""
+    keep = np.zeros(len(token), bool)
+    rows, step = np.arange(len(token)), 0
+    while len(rows):
+        step += 1
+        rows = rows[rows + step < len(token)]
+        far = rows + step
+        # partners grow with the step: a record is done at the end of its token, or when they have grown too large
+        near = (token[far] == token[rows]) & (SHARED * n[far] <= OF * n[rows])
+        rows, far = rows[near], far[near]
+        fits = allowed(n[rows], pos[rows], n[far], pos[far])
+        keep[rows[fits]] = keep[far[fits]] = True
+    return keep
+
+
+def allowed(n, pos, other_n, other_pos):
+    """Whether two records that first meet at these places of theirs can still share enough."""
+    needed = -(-SHARED * (n + other_n) // (OF + SHARED))
+    return np.minimum(n - pos, other_n - other_pos) >= needed
+
+
 def shared_nodes(docs: DataFrame, common, total: int) -> DataFrame:
-    """token, doc_id, n of every n-gram that the prefixes of several records share."""
+    """token, key, n, pos (in the set's order) of every n-gram under which the prefixes of records can meet."""
     spark = docs.sparkSession
     told, parts = spark.sparkContext.broadcast(common), max(1, -(-total // (4 * SUBTREE_ROWS)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
-                b, seen, cut, ids = whole.slice(at, 2_000), set(), [], []
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen: dict[bytes, np.ndarray] = {}
+                for text in whole.column(0).slice(at, 2_000).to_pylist():
                     s = ngrams(text)
-                    if not len(s) or key is None or (sig := s.tobytes()) in seen:
-                        continue
-                    seen.add(sig)
-                    cut.append(ordered_prefix(s, told.value))
-                    ids.append((key, len(s)))
-                if not cut:
+                    if len(s) and (sig := signature(s)[:8]) not in seen:
+                        seen[sig] = ordered_prefix(s, told.value), len(s)
+                if not seen:
                     continue
+                cut, n = zip(*seen.values(), strict=True)
                 size = [len(c) for c in cut]
-                tokens = np.concatenate(cut)
-                rows = np.zeros(len(tokens), [("token", "<u8"), ("doc_id", "<i8"), ("n", "<i4")])
-                rows["token"], rows["doc_id"], rows["n"] = tokens, np.repeat([k for k, _ in ids], size), np.repeat([n for _, n in ids], size)
-                part = (tokens >> np.uint64(20)) % np.uint64(parts)
+                token = np.concatenate(cut)
+                part = (token >> np.uint64(20)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
-                rows, part = rows[order], part[order]
-                edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                edge = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+                key = np.repeat(np.frombuffer(b"".join(seen), "<i8"), size)
+                columns = [x[order] for x in (token, key, np.repeat(np.array(n, np.int32), size), np.concatenate([np.arange(k, dtype=np.int32) for k in size]))]
                 some = [k for k in range(parts) if edge[k] < edge[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary())], names=["part", "raw"])
+                raw = [pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary()) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *raw], names=["part", "token", "key", "n", "pos"])
 
     def meet(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(batch["raw"]), [("token", "<u8"), ("doc_id", "<i8"), ("n", "<i4")])
-        rows = rows[np.argsort(rows["token"], kind="stable")]
-        same = rows["token"][1:] == rows["token"][:-1]
-        keep = np.r_[same, False] | np.r_[False, same] if len(rows) else np.zeros(0, bool)
-        rows = rows[keep]
-        return pd.DataFrame({"token": rows["token"].astype(np.int64), "doc_id": rows["doc_id"], "n": rows["n"].astype(np.int64)})
-
-    packed = docs.select("doc_id", "text").mapInArrow(emit, "part int, raw binary")
-    return packed.groupBy("part").applyInPandas(meet, "token long, doc_id long, n long")
+        token, key, n, pos = (np.frombuffer(b"".join(batch[c]), t) for c, t in (("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")))
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        order = order[np.r_[same, False] | np.r_[False, same]] if len(order) else order
+        order = order[np.lexsort((key[order], n[order], token[order]))]
+        token, key, n, pos = token[order], key[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        # copies of a set are one record
+        new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])] if len(token) else np.zeros(0, bool)
+        token, key, n, pos = token[new], key[new], n[new], pos[new]
+        keep = reachable(token, n, pos)
+        return pd.DataFrame({"token": token[keep].view(np.int64), "key": key[keep], "n": n[keep], "pos": pos[keep]})
+
+    packed = docs.select("text").mapInArrow(emit, "part int, token binary, key binary, n binary, pos binary")
+    return packed.groupBy("part").applyInPandas(meet, "token long, key long, n long, pos long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,6 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
         better = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
         jump = attach(better, labels.select(F.col("node").alias("comp"), F.col("comp").alias("_far")), ["comp"])
         after = written(jump.select("node", "_old", F.least("comp", "_far").alias("comp")), "labels")
+        dropped(labels)
         labels = after.select("node", "comp")
         if after.filter("comp <> _old").isEmpty():
             return labels
@@ -198,7 +260,7 @@ def wanted_ids(pairs: DataFrame) -> bytes:
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``ok``: whether their whole sets link."""
+    """``pairs`` (a, b) with ``ok``: whether their whole sets link; stored."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(wanted_ids(pairs))
     slots = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("_slot")).filter("doc_id is not null")
@@ -227,86 +289,94 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     one = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("tokens").alias("_x")), "a")
     two = one.join(held.select(F.col("id").alias("b"), F.col("tokens").alias("_y")), "b")
-    return two.select("a", "b", test("_x", "_y").alias("ok"))
+    out = written(two.select("a", "b", test("_x", "_y").alias("ok")), "tests")
+    dropped(held)
+    return out
 
 
 def subtree_pairs(rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
-    """Pairs (a, b) of different components under each n-gram of ``rows`` (token, id, n, comp, sketch) that no bound prunes.
+    """Pairs (a, b) of different components under each n-gram of ``rows`` (token, id, n, pos, comp, sketch) that no bound prunes.
 
-    With ``nearest``, only the pair of least sketch distance for each record and other component.
+    All subtrees of a task are walked at once, step by step: at step k each record meets the k-th larger one under its n-gram. With
+    ``nearest``, only the pair of least sketch distance for each record and other component is kept.
     """
     rows = rows.drop_duplicates(["token", "id"]).sort_values(["token", "n", "id"])
-    token, ids, n, comp = (rows[c].to_numpy() for c in ("token", "id", "n", "comp"))
-    raw = rows["sketch"].tolist()
-    edges = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)] if len(token) else [0]
-    out_a, out_b, done = [], [], set()
-    for first, last in zip(edges[:-1], edges[1:], strict=True):
-        width = [len(raw[k]) for k in range(first, last)]
-        by = {w: (np.array([k for k in range(first, last) if width[k - first] == w]),) for w in sorted(set(width))}
-        bits = {w: np.frombuffer(b"".join([raw[k] for k in ks]), np.uint8).reshape(len(ks), w) for w, (ks,) in by.items()}
-        for w, (mine,) in by.items():
-            for v in (w, 2 * w):  # a record's partners of at most 4/3 its size have sketches as long or twice as long
-                if v not in by:
-                    continue
-                other, far = by[v][0], folded(bits[v], w)
-                for k, own in zip(mine, bits[w], strict=True):
-                    lo = np.searchsorted(other, k + 1) if v == w else 0
-                    hi = lo + np.searchsorted(n[other[lo:]], OF * n[k] // SHARED, side="right")
-                    js = np.arange(lo, hi)
-                    js = js[comp[other[js]] != comp[k]]
-                    if not len(js):
-                        continue
-                    apart = np.bitwise_count(far[js] ^ own).sum(axis=1)
-                    fits = apart <= (n[other[js]] + n[k]) * (OF - SHARED) // (OF + SHARED)
-                    js, apart = other[js[fits]], apart[fits]
-                    if nearest and len(js) > 1:
-                        best = np.lexsort((ids[js], apart, comp[js]))
-                        c = comp[js[best]]
-                        js = js[best[np.r_[True, c[1:] != c[:-1]]]]
-                    for j in js:
-                        pair = (min(ids[k], ids[j]), max(ids[k], ids[j]))
-                        if pair not in done:
-                            done.add(pair)
-                            out_a.append(pair[0])
-                            out_b.append(pair[1])
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-
-def between(nodes: DataFrame, members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
-    """Candidate pairs between components, from the shared nodes whose records are of several components."""
-    labelled = nodes.join(members, "doc_id").select("token", "rep", "comp")
+    token, ids, n, pos, comp = (rows[c].to_numpy() for c in ("token", "id", "n", "pos", "comp"))
+    raw = rows["sketch"].to_numpy()
+    width, slot, bits = np.array([len(x) for x in raw], np.int64), np.zeros(len(raw), np.int64), {}
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        slot[mine] = np.arange(len(mine))
+        bits[w] = np.frombuffer(b"".join(raw[mine]), np.uint8).reshape(-1, w)
+    left, right, apart = [], [], []
+    active, step = np.arange(len(token)), 0
+    while len(active):
+        step += 1
+        active = active[active + step < len(token)]
+        far = active + step
+        active = active[(token[far] == token[active]) & (SHARED * n[far] <= OF * n[active])]
+        far = active + step
+        fits = (comp[far] != comp[active]) & allowed(n[active], pos[active], n[far], pos[far])
+        a, b = active[fits], far[fits]
+        # partners of at most 4/3 a record's size have sketches as long, or twice as long
+        for w in np.unique(width[a]).tolist():
+            for v in (w, 2 * w):
+                some = np.flatnonzero((width[a] == w) & (width[b] == v))
+                for at in range(0, len(some), 50_000):
+                    x, y = a[some[at : at + 50_000]], b[some[at : at + 50_000]]
+                    d = np.bitwise_count(bits[w][slot[x]] ^ folded(bits[v][slot[y]], w)).sum(axis=1, dtype=np.int64)
+                    near = d <= (n[x] + n[y]) * (OF - SHARED) // (OF + SHARED)
+                    left.append(x[near])
+                    right.append(y[near])
+                    apart.append(d[near])
+    if not left:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    x, y, d = np.concatenate(left), np.concatenate(right), np.concatenate(apart)
+    if nearest:
+        best = np.lexsort((ids[y], d, comp[y], ids[x]))
+        x, y = x[best], y[best]
+        new = np.r_[True, (ids[x][1:] != ids[x][:-1]) | (comp[y][1:] != comp[y][:-1])] if len(x) else np.zeros(0, bool)
+        x, y = x[new], y[new]
+    return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])}).drop_duplicates()
+
+
+def between(nodes: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
+    """Candidate pairs (stored) between components, from the shared nodes whose records are of several components."""
+    labelled = attach(nodes, members.select("key", "id", "comp"), ["key"]).filter("id is not null").select("token", "id", "n", "pos", "comp")
+    labelled = written(labelled, "labelled-nodes")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).filter("_least < _most").select("token", F.lit(True).alias("_mixed"))
-    some = attach(labelled, mixed, ["token"]).filter("_mixed").select("token", F.col("rep").alias("id"), "comp")
-    whole = written(some.join(sketches, "id"), "subtrees")
-    tasks = max(1, -(-whole.count() // (SUBTREE_ROWS // 20)))
+    some = attach(labelled, mixed, ["token"]).filter("_mixed").select("token", "id", "n", "pos", "comp")
+    whole = some.join(members.select("id", "sketch"), "id")
+    tasks = max(1, -(-labelled.count() // (SUBTREE_ROWS // 20)))
     dealt = whole.withColumn("_part", F.pmod(F.xxhash64("token"), F.lit(tasks)))
-    return dealt.groupBy("_part").applyInPandas(lambda rows: subtree_pairs(rows, nearest), "a long, b long").distinct()
+    out = written(dealt.groupBy("_part").applyInPandas(lambda rows: subtree_pairs(rows, nearest), "a long, b long").distinct(), "pairs")
+    dropped(labelled)
+    return out
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     found = written(records(docs), "ngram-records")
-    rows = found.filter("is_doc").select("doc_id", "n", "sig", "head", "sketch")
+    rows = found.filter("is_doc").select("doc_id", "n", "sig", "key", "head", "sketch")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
-    with_sets = rows.filter("n > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "n", "head", "sketch")).alias("_f")
-    classes = written(with_sets.groupBy("sig").agg(first).select("sig", F.col("_f.doc_id").alias("id"), "_f.n", "_f.head", "_f.sketch"), "ngram-classes")
-    sketches = classes.select("id", "n", "sketch").dropDuplicates(["id"])
+    first = F.min(F.struct("doc_id", "n", "key", "head", "sketch")).alias("_f")
+    sets = rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(first)
+    classes = written(sets.select("sig", F.col("_f.doc_id").alias("id"), "_f.key", "_f.head", "_f.sketch"), "ngram-classes")
 
     # equal first n-grams: every record against the smallest
     heads = classes.select("id", F.explode("head").alias("token"))
     least = heads.groupBy("token").agg(F.min("id").alias("star"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
     pairs = written(attach(heads, least, ["token"]).filter("star < id").select(F.col("star").alias("a"), F.col("id").alias("b")).distinct(), "pairs-heads")
-    tested = written(verified(docs, pairs), "tests-heads")
+    tested = verified(docs, pairs)
     nodes = written(shared_nodes(docs, frequent(found, total), total), "shared-nodes")
     for k, nearest in enumerate((True, False)):
-        labels = components(tested.filter("ok"))
-        members = written(members_of(with_sets, classes, labels), "members")
-        fresh = between(nodes, members, sketches, nearest)
+        labels = components(tested.filter("ok")).withColumnRenamed("node", "id")
+        members = classes.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sketch")
+        fresh = between(nodes, members, nearest)
         pairs = written(fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{k}")
         if pairs.isEmpty():
             continue
-        tested = tested.union(written(verified(docs, pairs), f"tests-{k}"))
+        tested = tested.union(verified(docs, pairs))
     labels = components(tested.filter("ok"))
     # a set's component is its smallest document's; the sets' table is small beside the rows, whose hot sets can be split
     comp = classes.select("sig", F.col("id").alias("node")).join(labels, "node", "left").select("sig", F.coalesce("comp", "node").alias("component_id"))
@@ -314,12 +384,6 @@ def joined(docs: DataFrame) -> DataFrame:
     return attach(rows.select("doc_id", "n", "sig"), comp, ["sig"]).select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def members_of(with_sets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, rep (smallest document of the same set), comp."""
-    sets = classes.select("sig", F.col("id").alias("node")).join(labels, "node", "left").select("sig", F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp"))
-    return attach(with_sets.select("doc_id", "sig"), sets, ["sig"]).select("doc_id", "rep", "comp").distinct()
-
-
 def without_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with the smallest document of every component; rows without doc_id stay."""
     others = joined(docs).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(key))
