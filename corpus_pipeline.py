@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopledger.llm import fertility, mixture, prefixtree, secrets, viterbi
+from shopledger.llm import fertility, mixture, prefixtree, secretscan, viterbi
 from shopledger.llm.common import ship, table, written
 from shopledger.llm.queries import FERTILITY_MODEL, PIECE_MODEL
 
@@ -35,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; n_chars follows the text."""
     ship(spark)
-    return secrets.masked(docs, secrets.fit(secrets.practice(spark))).withColumn("n_chars", F.length("text").cast("long"))
+    return secretscan.masked(docs, secretscan.fit(secretscan.practice(spark))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ class WordTable(dict):
     entries it starts afresh.
     """
 
-    def __init__(self, encode: Callable, limit: int = 1_000_000, longest: int = 48):
+    def __init__(self, encode: Callable, limit: int = 500_000, longest: int = 48):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 

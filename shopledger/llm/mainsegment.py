@@ -42,7 +42,7 @@ _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 
 
 def tokens(page: str) -> list[tuple]:
-    """("text", raw text) and ("tag", name, closing?, words of class and id) in page order."""
+    """("text", raw text), ("tag", name, closing?, words of class and id) and ("gap",) for what holds no text, in page order."""
     out, at = [], 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -52,7 +52,7 @@ def tokens(page: str) -> list[tuple]:
             named = _NAMED.findall(m[4]) if "=" in m[4] else ()
             out.append(("tag", m[3].lower(), bool(m[2]), frozenset(w for n in named for w in re.split(r"[^a-z0-9]+", "".join(n).lower()) if w)))
         elif m[1]:
-            out.append(("tag", m[1].lower(), True, frozenset()))
+            out.append(("gap",))
     if at < len(page):
         out.append(("text", page[at:]))
     return out
@@ -132,9 +132,9 @@ def fit(pages: DataFrame, key: str = "page_id", html_column: str = "html", most:
 
 
 def cost(t: tuple, weights: dict[str, float]) -> float:
-    """A tag's weight: the least of its features', bounded for tags of running text; unknown tags cost one word, unknown structure ten."""
+    """A tag's weight: the least of its features', bounded for tags of running text; unknown tags cost one word, unknown structure three."""
     known = [weights[f] for f in features(t) if f in weights]
-    w = min(known) if known else (-1.0 if t[1] in FLOW else -10.0)
+    w = min(known) if known else (-1.0 if t[1] in FLOW else -FLOW_COST)
     return max(w, -FLOW_COST) if t[1] in FLOW and not t[3] else w
 
 

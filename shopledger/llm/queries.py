@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, idfiles, mainsegment, mixture, onebit, prefixtree, secrets, sharding, viterbi
+from . import chat, fertility, idfiles, mainsegment, mixture, onebit, prefixtree, secretscan, sharding, viterbi
 from .common import ship, table, written
 
 #: The vocabularies' files, by their public names.
@@ -88,8 +88,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every string in the form of a secret, with the forest's verdict; values are shown by their digest only."""
-    model = secrets.fit(secrets.practice(spark))
-    found = secrets.judged(secrets.findings(table(spark, sf_dir, "documents"), ["doc_id"]), model)
+    model = secretscan.fit(secretscan.practice(spark))
+    found = secretscan.judged(secretscan.findings(table(spark, sf_dir, "documents"), ["doc_id"]), model)
     return found.select("doc_id", "position", F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), "probability", "is_secret")
 
 

@@ -7,7 +7,7 @@ from brute import base_facts, components, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shopledger.llm import chat, fertility, idfiles, mainsegment, mixture, onebit, prefixtree, secrets, sharding, viterbi
+from shopledger.llm import chat, fertility, idfiles, mainsegment, mixture, onebit, prefixtree, secretscan, sharding, viterbi
 from shopledger.llm.common import ship, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,12 +91,12 @@ def test_sharding(docs):
 
 
 def test_secrets(spark, docs):
-    model = secrets.fit(secrets.practice(spark))
-    out = secrets.masked(docs, model)
+    model = secretscan.fit(secretscan.practice(spark))
+    out = secretscan.masked(docs, model)
     assert out.columns == docs.columns
     told = {(r.doc_id, r.text) for r in out.collect()}
-    assert told == {(i, t if i != 9 else PLAIN + f' token = "{secrets.MARK}" end') for i, t, _, _ in ROWS}
-    assert secrets.masked(docs.limit(0), model).count() == 0 == secrets.findings(docs.limit(0), ["doc_id"]).count()
+    assert told == {(i, t if i != 9 else PLAIN + f' token = "{secretscan.MARK}" end') for i, t, _, _ in ROWS}
+    assert secretscan.masked(docs.limit(0), model).count() == 0 == secretscan.findings(docs.limit(0), ["doc_id"]).count()
 
 
 def test_chat(spark):

@@ -6,7 +6,7 @@ from brute import base_facts, components, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shopledger.llm import secrets
+from shopledger.llm import secretscan
 from shopledger.llm.common import table, written
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,8 +31,8 @@ def test_stages_take_effect(spark):
         elif name == "secret_scan":
             assert set(kept) == set(before)
             assert all(not FORM.search(r.text) and r.n_chars == len(r.text) for r in rows)
-            assert any(secrets.MARK in r.text for r in rows)
-            assert all(r.text == before[r.doc_id].text for r in rows if secrets.MARK not in r.text)
+            assert any(secretscan.MARK in r.text for r in rows)
+            assert all(r.text == before[r.doc_id].text for r in rows if secretscan.MARK not in r.text)
         else:
             whole, taken = sum(len(words(r.text)) for r in before.values()), sum(len(words(r.text)) for r in rows)
             assert abs(taken - 1.5 * whole) <= 0.05 * whole and max(sum(x.doc_id == i for x in rows) for i in kept) <= 2
