@@ -1,8 +1,8 @@
 r"""Chat formatting of reply trees.
 
-Messages (conv_id, node, parent, role, text, score) form trees. Iterative self-joins on (conv_id, parent) find every
-root-to-leaf path; each round doubles the reach of every message's pointer, so a path of d messages takes about log2(d)
-rounds. The branches of a conversation are ranked by the sum of their scores (ties to the smaller leaf) and each chosen path
+Messages (conv_id, node, parent, role, text, score) form trees. Iterative self-joins find every root-to-leaf path: a round joins
+the pointers to ancestors with themselves, which doubles their reach, and only messages that have an ancestor so far up go on; then
+the leaves' paths take in their ancestors by the same pointers, each once. A path of d messages takes about log2(d) rounds and d rows. The branches of a conversation are ranked by the sum of their scores (ties to the smaller leaf) and each chosen path
 becomes one conversation:
 
     <|im_start|>role\ntext<|im_end|>\n ...
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, ranked, written
+from ..functions.spread import attach
+from .common import ranked, written
 
 #: Fixed values of the template.
 OPEN, CLOSE, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
@@ -52,38 +53,50 @@ def chain(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("_rank").alias("node"), F.when(F.col("_rank") > 1, F.col("_rank") - 1).alias("parent"), "role", "text", score.alias("score"))
 
 
-def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
-    """Root-to-leaf paths: _null, _conv, leaf, path array of nodes, score, branch (rank from 1); the ``best`` of each conversation, or all."""
-    m = messages.select(F.col("conv_id").isNull().alias("_null"), F.coalesce("conv_id", F.lit(0)).alias("_conv"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    m = written(m, "chat-messages")
-    inner = m.filter("parent is not null").select(*KEY, F.col("parent").alias("up"))
+def paths(messages: DataFrame) -> DataFrame:
+    """_null, _conv, leaf, node, dist: every message of every root-to-leaf path, with its distance from the leaf."""
+    m = written(keyed(messages).select(*KEY, "node", "parent"), "chat-messages")
+    sizes = m.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_size"))
     # a parent that is absent ends the path like a null one
-    known = m.select(*KEY, F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    start = m.join(known, [*KEY, "parent"], "left")
-    state = start.select(*KEY, "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.array("node").alias("path"), "score", F.lit(False).alias("looped"))
-    state = written(state, "chat-paths-0")
-    round_ = 0
-    while not state.filter("up is not null").isEmpty():
-        round_ += 1
-        above = state.select(*KEY, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("score").alias("_score"), F.col("looped").alias("_looped"))
-        path = F.when(F.col("_path").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path"))
-        joined = state.join(above, [*KEY, "up"], "left")
-        # a pointer into the own path can never reach a root
-        looped = F.col("looped") | F.coalesce(F.col("_looped"), F.lit(False)) | F.coalesce(F.array_contains(path, F.col("_up")), F.lit(False))
-        step = joined.select(*KEY, "node", F.when(~looped, F.col("_up")).alias("up"), path.alias("path"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), looped.alias("looped"))
-        state, old = written(step, f"chat-paths-{round_}"), state
-        dropped(old)
-    leaves = state.filter("not looped").join(inner.distinct().withColumnRenamed("up", "node"), [*KEY, "node"], "left_anti")
-    scored = leaves.select(*KEY, F.col("node").alias("leaf"), "path", "score", (-F.col("score")).alias("_worse"))
-    out = ranked(scored, KEY, ["_worse", "leaf"], "chat-branches").withColumnRenamed("_rank", "branch").drop("_worse", "_n")
+    known = m.select(*KEY, F.col("node").alias("parent"))
+    first = attach(m.filter("parent is not null").join(known, [*KEY, "parent"], "left_semi"), sizes, KEY)
+    jumps, looped = [written(first.select(*KEY, "node", F.col("parent").alias("up"), "_size"), "chat-jumps")], []
+    while not jumps[-1].isEmpty():
+        reach = 2 ** len(jumps)
+        above = jumps[-1].select(*KEY, F.col("node").alias("up"), F.col("up").alias("_up"))
+        met = written(jumps[-1].join(above, [*KEY, "up"]).select(*KEY, "node", F.col("_up").alias("up"), "_size"), "chat-jumps")
+        # no path is as long as its conversation: whoever has an ancestor that far up stands below a cycle
+        looped.append(met.filter(F.col("_size") <= reach).select(*KEY, "node"))
+        jumps.append(met.filter(F.col("_size") > reach))
+    inner = m.filter("parent is not null").select(*KEY, F.col("parent").alias("node"))
+    leaves = m.select(*KEY, "node").join(inner, [*KEY, "node"], "left_anti")
+    for l in looped:
+        leaves = leaves.join(l, [*KEY, "node"], "left_anti")
+    steps = written(leaves.select(*KEY, F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist")), "chat-steps")
+    for k, j in enumerate(jumps[:-1]):
+        further = steps.join(j, [*KEY, "node"]).select(*KEY, "leaf", F.col("up").alias("node"), (F.col("dist") + 2**k).alias("dist"))
+        steps = written(steps.union(further), "chat-steps")
+    return steps
+
+
+def keyed(messages: DataFrame) -> DataFrame:
+    conv = F.col("conv_id").isNull().alias("_null"), F.coalesce("conv_id", F.lit(0)).alias("_conv")
+    return messages.select(*conv, "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def branches(messages: DataFrame, best: int | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """_null, _conv, leaf, score, branch (rank from 1) of each conversation's ``best`` paths, or of all."""
+    steps = paths(messages) if steps is None else steps
+    scored = steps.join(keyed(messages).select(*KEY, "node", "score"), [*KEY, "node"]).groupBy(*KEY, "leaf").agg(F.sum("score").alias("score"))
+    out = ranked(scored.withColumn("_worse", -F.col("score")), KEY, ["_worse", "leaf"], "chat-branches").withColumnRenamed("_rank", "branch").drop("_worse", "_n")
     return out if best is None else out.filter(F.col("branch") <= best)
 
 
 def formatted(messages: DataFrame, best: int | None = None) -> DataFrame:
     """conv_id, leaf, branch, formatted, loss array<struct<start,n>>: one row per chosen path."""
-    steps = branches(messages, best).select(*KEY, "leaf", "branch", F.posexplode("path").alias("_at", "node"))
-    texts = messages.select(F.col("conv_id").isNull().alias("_null"), F.coalesce("conv_id", F.lit(0)).alias("_conv"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = steps.join(texts, [*KEY, "node"])
+    steps = paths(messages)
+    chosen = steps.join(branches(messages, best, steps).select(*KEY, "leaf", "branch"), [*KEY, "leaf"]).select(*KEY, "leaf", "branch", (-F.col("dist")).alias("_at"), "node")
+    rows = chosen.join(keyed(messages).select(*KEY, "node", "role", "text"), [*KEY, "node"])
     head = F.concat(F.lit(OPEN), role_escaped(F.col("role")), F.lit("\n"))
     body = escaped(F.col("text"))
     rows = rows.withColumn("_head", head).withColumn("_body", body).withColumn("_piece", F.concat("_head", "_body", F.lit(CLOSE + "\n")))
