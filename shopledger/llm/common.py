@@ -19,7 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    """Send this package to the executors, once per application, so that their Python workers can import it.
+
+    Batches to the workers are kept small (rows and bytes), as texts can be long and a worker holds a batch several times over.
+    """
     if getattr(spark.sparkContext, "_shopledger_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -29,6 +32,8 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
     spark.sparkContext._shopledger_shipped = True
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +87,7 @@ class WordTable(dict):
     entries it starts afresh.
     """
 
-    def __init__(self, encode: Callable, limit: int = 500_000, longest: int = 48):
+    def __init__(self, encode: Callable, limit: int = 200_000, longest: int = 48):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 

@@ -82,7 +82,7 @@ class Meter:
         return xxhash.xxh64_intdigest(word), struct.pack(f"{len(ids := self.model.encode(word.decode()))}H", *ids)
 
     def measure(self, texts: list[str | None]) -> list[tuple]:
-        raw = [(t or "").encode("utf-8") for t in texts]
+        raw = ((t or "").encode("utf-8") for t in texts)
         return [self.one(r, r.split()) for r in raw]
 
     def one(self, raw: bytes, words: list[bytes]) -> tuple:

@@ -65,7 +65,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.cores, self.words = WordTable(self.encode_core, limit=700_000), WordTable(self.encode_word)
+        self.cores, self.words = WordTable(self.encode_core, limit=150_000), WordTable(self.encode_word)
 
     def encode_core(self, w: str) -> bytes:
         if w.isascii() and w.isalpha():
@@ -107,12 +107,14 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, rows: in
     """
     import zstandard
 
-    sample = docs.select(F.substring("text", 1, 8_000).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(rows)
-    texts = [r.text for r in sample.select("text").collect()]
+    drawn = F.xxhash64(F.lit("dictionary"), "doc_id")
+    # hashes alone are sorted; the texts of the smallest follow in a second step
+    most = docs.select(drawn.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
+    texts = [r.text for r in docs.filter(drawn <= most).select(F.substring("text", 1, 8_000).alias("text")).limit(rows).collect()] if most is not None else []
     samples = list(word_encoder(tokenizer_path, end_id)(texts))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         return b""
 
 

@@ -44,8 +44,7 @@ def op2_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives the text back."""
     coded = viterbi.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
-    back = viterbi.decode(coded, PIECE_MODEL, out="decoded")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "n_chars", (F.crc32("decoded") == F.col("text_crc32")).alias("restored"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "n_chars", "restored")
 
 
 @register

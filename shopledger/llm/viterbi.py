@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +32,33 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
+def loaded(model_path: str):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(model_path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model
+
+
+@functools.lru_cache(maxsize=2)
+def piece_bytes(model_path: str) -> list[bytes]:
+    """What each id decodes to; all that decoding needs."""
+    return [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in loaded(model_path).pieces]
+
+
+def decoded(ids: list[int], pieces: list[bytes]) -> str:
+    raw = b"".join(map(pieces.__getitem__, ids))
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
+
+
 class Pieces:
     """The vocabulary as an automaton, with the place of each byte piece."""
 
     def __init__(self, model_path: str):
         import ahocorasick
-        from sentencepiece import sentencepiece_model_pb2 as pb
 
-        model = pb.ModelProto()
-        with open(model_path, "rb") as f:
-            model.ParseFromString(f.read())
+        model = loaded(model_path)
         norm, trained = model.normalizer_spec, model.trainer_spec
         if norm.precompiled_charsmap or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not trained.byte_fallback or trained.treat_whitespace_as_suffix:
             raise ValueError("only identity normalisation with a dummy prefix and byte fallback is supported")
@@ -54,7 +70,6 @@ class Pieces:
         self.single = {p for _, p, _ in plain if len(p) == 1}
         self.unknown_score = min(s for _, _, s in plain) - UNKNOWN_PENALTY
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
-        self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.cut_marks = not any(MARK in p.lstrip(MARK) for _, p, _ in plain)
         self.cut_lines = not any("\n" in p for _, p, _ in plain)
         self.line_feed = np.array([self.byte[10]], "<i4").tobytes() if 10 in self.byte else b""
@@ -90,7 +105,7 @@ class Pieces:
 
 
 class Codec:
-    """Encodes and decodes lists of texts; one per worker."""
+    """Encodes lists of texts; one per worker."""
 
     def __init__(self, model_path: str):
         self.pieces = Pieces(model_path)
@@ -119,10 +134,6 @@ class Codec:
         for t in texts:
             yield b"".join([self.table[c] for c in self.chunks(t or "")])
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.pieces.raw.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
-
 
 @functools.lru_cache(maxsize=2)
 def codec(model_path: str) -> Codec:
@@ -135,18 +146,19 @@ def _lists(raw: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>, n_chars: code points of the text, text_crc32), a row per row."""
+    """(key, ids array<int>, n_chars: code points of the text, restored: whether the decoded ids are the text), a row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
                 texts = b.column(1).to_pylist()
-                crc = [zlib.crc32((t or "").encode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(list(codec(model_path).encode(texts))), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(crc, pa.int64())], names=[key, "ids", "n_chars", "text_crc32"])
+                raw, pieces = list(codec(model_path).encode(texts)), piece_bytes(model_path)
+                restored = [decoded(np.frombuffer(x, "<i4").tolist(), pieces) == (t or "") for x, t in zip(raw, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(raw), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(restored)], names=[key, "ids", "n_chars", "restored"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_chars long, text_crc32 long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_chars long, restored boolean")
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -154,7 +166,7 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "text"
 
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
-        c = codec(model_path)
-        return pd.Series([None if x is None else c.decode(x.tolist()) for x in lists], dtype=object)
+        pieces = piece_bytes(model_path)
+        return pd.Series([None if x is None else decoded(x.tolist(), pieces) for x in lists], dtype=object)
 
     return rows.withColumn(out, run(ids))

@@ -9,17 +9,17 @@ import corpus_pipeline
 from shopledger.llm import secretscan
 from shopledger.llm.common import table, written
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 FORM = re.compile(r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{18}|token = \"[0-9a-f]{40}\"")
 
 
 def test_stages_take_effect(spark):
-    docs = table(spark, SMALL, "documents")
-    good = {r.doc_id for r in table(spark, SMALL, "labels").collect() if r.quality == 1}
+    docs = table(spark, NEXT, "documents")
+    good = {r.doc_id for r in table(spark, NEXT, "labels").collect() if r.quality == 1}
     kept, columns = {r.doc_id: r for r in docs.collect()}, docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = kept
-        docs = written(stage(spark, docs, SMALL), name)
+        docs = written(stage(spark, docs, NEXT), name)
         assert docs.columns == columns
         rows = docs.collect()
         kept = {r.doc_id: r for r in rows}
@@ -36,7 +36,7 @@ def test_stages_take_effect(spark):
         else:
             whole, taken = sum(len(words(r.text)) for r in before.values()), sum(len(words(r.text)) for r in rows)
             assert abs(taken - 1.5 * whole) <= 0.05 * whole and max(sum(x.doc_id == i for x in rows) for i in kept) <= 2
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, NEXT).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in rows) and all(r.restored for r in out)
 
 

@@ -81,13 +81,13 @@ def test_segment_has_the_best_score(text):
         if i in names:
             total += plain[names[i]]
         elif not waiting:  # the first byte of a character
-            byte = codec.pieces.raw[i][0]
+            byte = viterbi.piece_bytes(PIECES)[i][0]
             waiting = 0 if byte < 128 else 1 if byte < 224 else 2 if byte < 240 else 3
             total += codec.pieces.unknown_score
         else:
             waiting -= 1
     assert total == best
-    assert codec.decode(ids) == text.replace(viterbi.MARK, " ")
+    assert viterbi.decoded(ids, viterbi.piece_bytes(PIECES)) == text.replace(viterbi.MARK, " ")
 
 
 def test_encoding_restores_odd_texts(spark):
