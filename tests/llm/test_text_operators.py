@@ -133,3 +133,27 @@ def test_one_document_from_several_files(spark, tmp_path):
         f.write(b"x")
     with pytest.raises(ValueError):
         idfiles.read_one(listed[0].path, folder, 0)
+
+
+def test_bands_decide_on_short_long_and_copied_texts(spark):
+    ship(spark)
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in table(spark, folder, "labels").collect()}
+    docs = [(r.doc_id, r.text, r.lang) for r in table(spark, folder, "documents").collect()]
+    sane = {i for i, t, _ in docs if not base_facts(t)[5]}
+    of = lambda quality, lang="en": [t for i, t, x in docs if i in sane and labels.get(i) == quality and x == lang]
+    junk, clean = of(0), of(1)
+    long_junk, long_clean = " ".join(junk), " ".join(clean[:40])
+    few = [(-1, long_junk, "en"), (-2, long_clean, "en"), (-3, " ".join(clean[0].split()[:24]), "en"), (-4, clean[1], "pl"), (-5, junk[0], "pl")]
+    out = {}
+    for name, more in (("once", []), ("copied", [(-10 - k, junk[1], "en") for k in range(1_500)])):
+        rows = spark.createDataFrame(docs + few + more, "doc_id long, text string, lang string").withColumn("facts", fertility.facts(F.col("text"), PIECES)).cache()
+        out[name] = {r.doc_id: r[fertility.KEPT] for r in fertility.judged(rows, "facts").select("doc_id", fertility.KEPT).collect()}
+    kept = out["once"]
+    bad, good = [i for i in sane if labels.get(i) == 0], [i for i in sane if labels.get(i) == 1]
+    assert sum(not kept[i] for i in bad) >= 0.7 * len(bad) and sum(kept[i] for i in good) >= 0.98 * len(good)
+    assert not kept[-1] and kept[-2] and kept[-3]
+    # a language of one or two texts is judged by its script
+    assert kept[-4] and not kept[-5]
+    # copies change no verdict
+    assert {i: k for i, k in out["copied"].items() if i > -10} == kept and not out["copied"][-10]
