@@ -8,7 +8,9 @@ next to nothing. Tags for running text never cost more than ``FLOW_COST``, so th
 split an article.
 
 Elements that are no article text wherever they stand (menus, forms, asides, adverts, reader comments ...) are left out before
-the scan, as are comments, scripts, styles and the head. Character references are decoded, white space inside a block becomes one space, blocks are
+the scan, as are comments, scripts, styles and the head. Such an element stays if it holds the page's article (the longest article or main
+element) or, on a page without one, if it is marked by its class, id or role (or is a form) and holds most of the words: what it holds is looked
+through in turn, and its own tag costs ``MARKED_COST`` words in the scan unless the labelled pages tell its weight. Character references are decoded, white space inside a block becomes one space, blocks are
 joined by an empty line. Null and empty pages, and pages without words, give an empty text. Unclosed tags are tolerated: an element to leave out that
 never closes loses only its tag. Rows are handled one by one, so repeated rows repeat; other columns pass through untouched.
 """
@@ -33,7 +35,7 @@ LEFT_OUT = frozenset("head nav aside form footer dialog menu".split())
 LEFT_OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices popup modal newsletter subscribe signup login comment comments disqus replies reply share sharing social related recommended widget toolbar pagination pager contentinfo complementary search".split())
 MAIN = frozenset("article main".split())
 MAIN_WORDS = frozenset("articlebody main".split())
-FLOW_COST, LEAST_COST = 3.0, 0.01
+FLOW_COST, LEAST_COST, MARKED_COST = 3.0, 0.01, 20.0
 #: Labelled pages counted at most (those of the smallest hash), and pages a tag must be on for a weight of its own.
 LABELLED_PAGES, LEAST_PAGES = 2_000, 3
 
@@ -58,35 +60,45 @@ def tokens(page: str) -> list[tuple]:
     return out
 
 
-def closing(tokens_: list[tuple], opened: int) -> int:
-    """Place of the tag that closes the one at ``opened``, or -1."""
-    name, depth = tokens_[opened][1], 0
-    for k in range(opened, len(tokens_)):
-        t = tokens_[k]
-        if t[0] == "tag" and t[1] == name:
-            depth += -1 if t[2] else 1
-            if not depth:
-                return k
-    return -1
+def closings(tokens_: list[tuple]) -> dict[int, int]:
+    """Place of the closing tag per place of an opening one; without those that never close."""
+    open_, out = {}, {}
+    for k, t in enumerate(tokens_):
+        if t[0] == "tag":
+            places = open_.setdefault(t[1], [])
+            if not t[2]:
+                places.append(k)
+            elif places:
+                out[places.pop()] = k
+    return out
+
+
+def marked(t: tuple) -> bool:
+    """Whether a tag's class, id or role says that it is no article text."""
+    return bool(t[3] & LEFT_OUT_WORDS) and not t[3] & MAIN_WORDS and t[1] not in MAIN | {"html", "body"}
 
 
 def article_tokens(page: str) -> list[tuple]:
-    """Tokens without the elements that are left out wherever they stand; a site header counts unless it stands in an article."""
+    """Tokens without the elements that are left out unless they hold the article; a site header counts unless it stands in an article."""
     all_, out, k, inside = tokens(page), [], 0, 0
-    ends: dict[str, int] = {}
-    for place, t in enumerate(all_):
-        if t[0] == "tag" and t[2]:
-            ends[t[1]] = place
+    ends = closings(all_)
+    words = [0]
+    for t in all_:
+        words.append(words[-1] + (len(t[1].split()) if t[0] == "text" else 0))
+    mains = [k for k, t in enumerate(all_) if t[0] == "tag" and not t[2] and (t[1] == "main" or ((t[1] in MAIN or t[3] & MAIN_WORDS) and not t[3] & LEFT_OUT_WORDS))]
+    # the longest, the innermost of equals
+    chief = max(mains, key=lambda k: (words[ends.get(k, len(all_))] - words[k], k), default=None)
     while k < len(all_):
         t = all_[k]
         if t[0] == "tag":
             if t[1] in MAIN:
                 inside += -1 if t[2] else 1
-            drop = t[1] in LEFT_OUT or (t[1] == "header" and inside <= 0) or (t[3] & LEFT_OUT_WORDS and not t[3] & MAIN_WORDS and t[1] not in MAIN | {"html", "body"})
-            # an element whose name never closes again needs no search
-            if drop and not t[2] and ends.get(t[1], -1) > k:
-                end = closing(all_, k)
-                if end >= 0:
+            by_words = marked(t)
+            # an element that never closes loses nothing
+            if not t[2] and k in ends and (t[1] in LEFT_OUT or by_words or (t[1] == "header" and inside <= 0)):
+                end = ends[k]
+                most = chief is None and (by_words or t[1] == "form") and t[1] not in LEFT_OUT - {"form"} and 2 * (words[end] - words[k]) > words[-1]
+                if not (most or (chief is not None and k <= chief < end)):
                     out.append(("gap",))
                     k = end + 1
                     continue
@@ -109,8 +121,7 @@ def counted(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             main = next((k for k, t in enumerate(ts) if t[0] == "tag" and not t[2] and (t[1] in MAIN or t[3] & MAIN_WORDS)), None)
             if main is None:
                 continue
-            end = closing(ts, main)
-            end, on_page = end if end >= 0 else len(ts), set()
+            end, on_page = closings(ts).get(main, len(ts)), set()
             for k, t in enumerate(ts):
                 if t[0] == "tag":
                     for f in features(t):
@@ -132,7 +143,10 @@ def fit(pages: DataFrame, key: str = "page_id", html_column: str = "html", most:
 
 
 def cost(t: tuple, weights: dict[str, float]) -> float:
-    """A tag's weight: the least of its features', bounded for tags of running text; unknown tags cost one word, unknown structure three."""
+    """A tag's weight: the least of its features', bounded for tags of running text; unknown tags cost one word, unknown structure three,
+    unknown openings marked as no article text ``MARKED_COST``."""
+    if not t[2] and marked(t) and not any(f"{t[1]}.{w}" in weights for w in t[3] & LEFT_OUT_WORDS):
+        return -MARKED_COST
     known = [weights[f] for f in features(t) if f in weights]
     w = min(known) if known else (-1.0 if t[1] in FLOW else -FLOW_COST)
     return max(w, -FLOW_COST) if t[1] in FLOW and not t[3] else w

@@ -147,6 +147,18 @@ def test_main_text_of_an_unlabelled_page(spark):
     assert mainsegment.fit(table(spark, NEXT, "pages").limit(0)) == {}
 
 
+@pytest.mark.parametrize("wrap", ['<div class="layout has-sidebar">{}</div>', '<div id="page" class="with-comments">{}</div>', '<div class="a search"><div id="related">{}</div></div>', "<form id=f>{}</form>"])
+@pytest.mark.parametrize("main", ["<article>{}</article>", '<div id="main">{}</div>', "<div>{}</div>"])
+def test_main_text_inside_a_marked_element(spark, wrap, main):
+    weights = mainsegment.fit(table(spark, NEXT, "pages"))
+    text = "<h1>A head line</h1>" + "<p>Words of the article go on and on here.</p>" * 6
+    around = '<div class="sidebar"><p>Other things to read, now and then</p></div><div class="comments"><article class="comment"><p>What a long reader comment.</p></article></div>'
+    page = "<html><body><nav>Home</nav>" + wrap.format(main.format(text) + around) + "<footer>All rights</footer></body></html>"
+    assert mainsegment.extract(page, weights) == "\n\n".join(["A head line"] + ["Words of the article go on and on here."] * 6)
+    # what is marked and holds no article goes, however the rest is wrapped
+    assert mainsegment.extract(page.replace("What a long", "What a " + "very " * 30 + "long"), weights).count("comment") == 0 or main == "<div>{}</div>"
+
+
 def test_scan_finds_the_largest_sum():
     draw = np.random.default_rng(2)
     for _ in range(200):
