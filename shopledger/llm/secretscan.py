@@ -27,7 +27,8 @@ PREFIXES = r"AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|
 WORDS = r"password|passwd|secret|token|change|example|sample|dummy|test|your|here|key|user|admin|default|none|null|true|false|value|string|number|name|this|that|with|from|have|will|into|over|under|about|http|https|www|com|org|net|html|index|page|file|path|home|lib|usr|bin|etc|var|local|share|python|java|node|module|package|version|release|build|image|data|table|error|warning|info|debug|main|master|branch|commit"
 PAIRS = r"th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur|el|la|ta|ci|do|ie|ge|ei|un|qu|ue|au|ai|ment"
 LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
-ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[ \t]*[=:][ \t]*[\"']?[^\s\"']{{6,}}"
+#: Never narrower than what ``findings`` takes: the value may stand on a later line.
+ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[\x20\x09-\x0D]*[=:][\x20\x09-\x0D]*[^\x20\x09-\x0D]{{6,}}"
 CANDIDATE = rf"{LONG}|(?i:(?:{NAMES})[\"']?[=:][\"']?[^\s\"']{{6,}})|(?:{PREFIXES})[A-Za-z0-9_-]{{12,}}"
 FEATURES = ["size", "kinds", "pairs", "digits", "upper", "distinct", "covered", "repeats", "pathlike", "test_path", "named", "harmless", "prefix", "assigned"]
 #: Labelled findings that the forest is trained on at most, and its shape.
@@ -40,9 +41,14 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(value, r"^[^A-Za-z0-9+/_-]+|[^A-Za-z0-9+/_=-]+$", "")
 
 
+def _form(text: Column) -> Column:
+    """Whether a text can hold a finding."""
+    return text.rlike(f"{LONG}|(?:{PREFIXES})[A-Za-z0-9_-]{{12,}}") | text.rlike(ASSIGNED)
+
+
 def findings(docs: DataFrame, keys: list[str], text: str = "text", path: str = "source") -> DataFrame:
     """One row per candidate: keys, position (of the word in the text), word, value, near (four neighbours), path."""
-    some = docs.filter(F.col(text).rlike(f"{LONG}|(?:{PREFIXES})[A-Za-z0-9_-]{{12,}}") | F.col(text).rlike(ASSIGNED))
+    some = docs.filter(_form(F.col(text)))
     words = some.select(*keys, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split(text, r"[\x20\x09-\x0D]+").alias("_words"))
 
     def at(w: Column, i: Column) -> Column:
@@ -140,7 +146,7 @@ def judged(found: DataFrame, model: RandomForestClassificationModel, least: floa
 
 def masked(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str = "source") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by MARK; records without candidates are not shuffled."""
-    form = F.coalesce(F.col(text).rlike(f"{LONG}|(?:{PREFIXES})[A-Za-z0-9_-]{{12,}}") | F.col(text).rlike(ASSIGNED), F.lit(False))
+    form = F.coalesce(_form(F.col(text)), F.lit(False))
     plain, some = docs.filter(~form), docs.filter(form)
     # equal texts with equal paths have equal findings, so their fingerprint is key enough
     mark = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(path).cast("string"), F.lit("")), text), 256)
