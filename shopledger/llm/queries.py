@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, idfiles, mainsegment, mixture, onebit, prefixtree, secretscan, sharding, viterbi
+from . import chat, collocations, fertility, idfiles, linededup, mainsegment, mixture, onebit, prefixtree, secretscan, sharding, turnrepair, viterbi
 from .common import ship, table, written
 
 #: The vocabularies' files, by their public names.
@@ -101,6 +101,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(written(chat.chain(turns), "chat-input")))
 
 
+@register
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them go because a smaller document holds them too, and the digest of what stays."""
+    out = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of every language whose words attract each other most."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired text of every conversation, after the stated damage."""
+    return turnrepair.repaired(table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op10_chat"] = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -117,3 +136,111 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
   sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM whole
 """
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES["op11_lines"] = rf"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT r, doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM rows),
+keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_WHITE})")} AS key FROM lines),
+common AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT k.*, coalesce(c.first <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN common c USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+ORACLES["op12_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4), (5)) t(k) WHERE len(ws) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, j, unnest([{{'first': array_to_string(string_split(c.phrase, ' ')[1:j], ' '), 'rest': array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')}}]) AS cut
+  FROM c, (VALUES (1), (2), (3), (4)) t(j) WHERE j < c.k
+), scores AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, cuts.a, j, x.a AS l, y.a AS r, n, (1000::HUGEINT * cuts.a * n // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cut.first JOIN f y ON y.lang = cuts.lang AND y.phrase = cut.rest JOIN total ON total.lang = cuts.lang
+), best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES["op13_turn_repair"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))
+), spelled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS d FROM spelled, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE d WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE d <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n, trim(text, {_WHITE}) AS body,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    lag(role[1]) OVER w AS before
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, role[1] AS initial FROM placed
+), priced AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 ELSE 0 END AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM faults
+), back AS (
+  SELECT DISTINCT conv_id, n + 1 AS pos, 0::BIGINT AS j0, 6::BIGINT AS j1, 3::BIGINT AS j2, 0::BIGINT AS j3 FROM priced
+  UNION ALL
+  SELECT conv_id, pos, least(c0, 3 + c2, 6 + c3), least(c1, 3 + c2, 6 + c3), least(c2, 3 + c3), least(c3, 3 + c2) FROM (
+    SELECT b.conv_id, b.pos - 1 AS pos,
+      least(4 + j0, gone + 3 + more + j2, gone + more + CASE initial WHEN 's' THEN j1 WHEN 'u' THEN j2 ELSE 1000000 END) AS c0,
+      least(4 + j1, gone + 3 + more + j2, gone + more + CASE initial WHEN 'u' THEN j2 ELSE 1000000 END) AS c1,
+      least(4 + j2, gone + 3 + more + j3, gone + more + CASE initial WHEN 'a' THEN j3 ELSE 1000000 END) AS c2,
+      least(4 + j3, gone + 3 + more + j2, gone + more + CASE initial WHEN 'u' THEN j2 ELSE 1000000 END) AS c3
+    FROM back b JOIN priced p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.pos = b.pos - 1)
+), cost AS (
+  SELECT b.conv_id, b.pos, [b.j0, b.j1, b.j2, b.j3] AS here, [e.j0, e.j1, e.j2, e.j3] AS behind, gone, more, initial, role, text, n
+  FROM back b LEFT JOIN back e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.pos = b.pos + 1 LEFT JOIN priced p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.pos = b.pos
+), walk AS (
+  SELECT conv_id, 1::BIGINT AS pos, 0 AS q, '' AS audit, ''::VARCHAR AS told, 0 AS step FROM back WHERE pos = 1
+  UNION ALL
+  SELECT conv_id, pos + (edit <> 'I')::INT, CASE edit WHEN 'D' THEN q WHEN 'K' THEN kept ELSE [2, 2, 3, 2][q + 1] END, audit || edit,
+    CASE WHEN edit = 'D' THEN told ELSE told || CASE WHEN told = '' THEN '' ELSE chr(10) END || CASE WHEN edit = 'K' THEN role ELSE ['user', 'user', 'assistant', 'user'][q + 1] END
+      || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END END, step + 1
+  FROM (
+    SELECT *, CASE WHEN behind[1] IS NOT NULL AND here[q + 1] = 4 + behind[q + 1] THEN 'D'
+      WHEN here[q + 1] = 3 + here[[2, 2, 3, 2][q + 1] + 1] THEN 'I'
+      WHEN kept >= 0 AND here[q + 1] = gone + more + behind[kept + 1] THEN 'K' ELSE 'R' END AS edit
+    FROM (
+      SELECT w.*, here, behind, gone, more, role, text, CASE WHEN initial = 's' AND q = 0 THEN 1 WHEN initial = 'u' AND q IN (0, 1, 3) THEN 2 WHEN initial = 'a' AND q = 2 THEN 3 ELSE -1 END AS kept
+      FROM walk w JOIN cost c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.pos = w.pos
+      WHERE c.behind[1] IS NOT NULL OR w.q IN (1, 2)))
+), done AS (
+  SELECT conv_id, arg_max(audit, step) AS audit, arg_max(told, step) AS told FROM walk GROUP BY conv_id
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'blank')::INT) AS blank, sum((fault = 'duplicate')::INT) AS duplicate,
+    sum((fault = 'truncated')::INT) AS truncated, sum((before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::INT) AS illegal
+  FROM priced GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(j0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.pos = 1
+"""
