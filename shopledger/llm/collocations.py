@@ -7,19 +7,22 @@ chunks, weighted by frequency. Neighbouring chunks overlap by one window: a phra
 every occurrence is counted once, and as it is at most one word longer than the window, it lies whole in that chunk.
 
 Phrases are counted level by level: a phrase of k words is tried where both its parts of k - 1 words are frequent. A bitmap of at most
-2^``MOST_BITS`` bits (16 MB) tells which parts may be frequent. It never misses one; full, it costs counting, no result. Counts are kept by the phrase itself, summed per
-batch, then per task, then per phrase, so no frequent word or chunk meets in one task.
+2^``MOST_BITS`` bits (16 MB) tells which parts may be frequent. It never misses one; full, it costs counting, no result. From three words on only the
+stretches whose shorter phrases are all frequent are read again. Counts are kept by the phrase itself: a task adds up what it reads and hands over
+sorted, compressed blocks by hash of the phrase, and a part of all phrases is added up at a time, so a frequent word or chunk is one entry per block.
 
 Null text: empty. Null language: ``und``. Repeated rows count each time. Rows of other columns are not read. Texts without words take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,10 @@ from .common import WordTable, dropped, written
 PERIOD = 64
 #: Bits of the bitmap per frequent phrase, and its least and largest size as powers of two.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 27
+#: Bytes of chunks that are looked at together, phrases a task holds before it hands them over, and rows it returns at a time.
+BUFFER, HELD, SENT = 8 << 20, 1_000_000, 20_000
+#: Words for one part of the phrases when they are added up, and the least number of parts.
+PART_WORDS, LEAST_PARTS = 4_000_000, 32
 #: Parts of a language that are ranked on their own before they meet.
 RANKS = 64
 
@@ -75,7 +82,7 @@ def chunks(words: list[bytes], window: int) -> list[bytes]:
 
 
 def parsed(docs: DataFrame, window: int) -> DataFrame:
-    """lang, chunk (binary) and n: the dictionary of distinct chunks with their frequencies."""
+    """lang, chunk (binary), owned (starts that are counted here) and n: the dictionary of distinct chunks with their frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,60 +91,179 @@ def parsed(docs: DataFrame, window: int) -> DataFrame:
                 words = tokens(raw)
                 for chunk in chunks(words, window) if words else ():
                     seen[lang, chunk] = seen.get((lang, chunk), 0) + 1
-            yield counts_batch(seen, "chunk")
+            yield batch_of([(lang, chunk, chunk.count(b" ") + 1 - window, n) for (lang, chunk), n in seen.items()], CHUNK)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "lang string, chunk binary, n long").groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, DDL).groupBy("lang", "chunk", "owned").agg(F.sum("n").alias("n"))
+
+
+DDL = "lang string, chunk binary, owned int, n long"
+CHUNK = [("lang", pa.string()), ("chunk", pa.binary()), ("owned", pa.int32()), ("n", pa.int64())]
+BLOCK = [("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())]
+
+
+def batch_of(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+class Tokens:
+    """Tokens of chunks of one language: text, number (equal words alike), hash (break: 0), times and whether a phrase counts where it starts."""
+
+    def __init__(self, lang: str, chunks_: list[bytes], owned: list[int], times: list[int]):
+        rows = [c.split(b" ") for c in chunks_]
+        self.text = [w for r in rows for w in r]
+        lengths = np.array([len(r) for r in rows], np.int64)
+        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(self.text))}
+        self.size = len(vocabulary)
+        self.number = np.fromiter(map(vocabulary.__getitem__, self.text), np.int64, len(self.text))
+        self.code = word_codes(list(vocabulary))[self.number]
+        self.row = np.repeat(np.arange(len(rows)), lengths)
+        self.start = np.cumsum(lengths) - lengths
+        self.times = np.array(times, np.int64)[self.row]
+        self.place = np.arange(len(self.text)) - self.start[self.row]
+        self.owned = self.place < np.array(owned, np.int64)[self.row]
+        self.lang = xxhash.xxh64_intdigest(lang.encode())
+
+    def marked(self, bitmap: np.ndarray, n: int) -> np.ndarray:
+        """Whether the phrase of n words from each position on may be in the bitmap; shorter than the tokens by n - 1."""
+        hit = probed(bitmap, phrase_codes(self.code, n), self.lang)
+        for k in range(n):
+            hit &= self.code[k : k + len(hit)] != 0
+        hit &= self.row[: len(hit)] == self.row[n - 1 : n - 1 + len(hit)]
+        return hit
+
+    def counted(self, at: np.ndarray, n: int) -> tuple[list[bytes], list[int]]:
+        """Distinct phrases of n words at the positions, and their times."""
+        if not len(at):
+            return [], []
+        group, first = self.number[at], np.arange(len(at))
+        for k in range(1, n):
+            _, group = np.unique(group * self.size + self.number[at + k], return_inverse=True)
+        _, first, group = np.unique(group, return_index=True, return_inverse=True)
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, group, self.times[at])
+        return [b" ".join(self.text[i : i + n]) for i in at[first].tolist()], sums.tolist()
+
+
+def buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Tokens]]:
+    """A task's chunks by language, some ``BUFFER`` bytes at a time."""
+    held: dict = {}
+    for b in batches:
+        for lang, chunk, owned, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            own = held.setdefault(lang, ([], [], [], [0]))
+            own[0].append(chunk)
+            own[1].append(owned)
+            own[2].append(n)
+            own[3][0] += len(chunk)
+            if own[3][0] >= BUFFER:
+                yield lang, Tokens(lang, *held.pop(lang)[:3])
+    for lang, own in held.items():
+        yield lang, Tokens(lang, *own[:3])
+
+
+class Tally:
+    """Counts of a task, handed over as sorted, compressed blocks: one per language and part of the phrases (by hash)."""
+
+    def __init__(self, parts: int):
+        self.parts, self.counts = parts, {}
+
+    def add(self, lang: str, phrases: list[bytes], times: list[int]) -> bool:
+        """Whether it is time to hand over."""
+        own = self.counts.setdefault(lang, {})
+        known = own.get
+        for p, n in zip(phrases, times, strict=True):
+            own[p] = known(p, 0) + n
+        return sum(map(len, self.counts.values())) >= HELD
+
+    def blocks(self) -> pa.RecordBatch:
+        rows, packer = [], zstandard.ZstdCompressor(level=3)
+        for lang, own in self.counts.items():
+            phrases = sorted(own)
+            part = np.fromiter((zlib.crc32(p) % self.parts for p in phrases), np.int64, len(phrases))
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                mine = [phrases[i] for i in order[edges[k] : edges[k + 1]].tolist()]
+                counts = np.array([own[p] for p in mine], np.int64)
+                rows.append((k, lang, packer.compress(b"\n".join(mine)), packer.compress(counts.tobytes())))
+        self.counts = {}
+        return batch_of(rows, BLOCK)
+
+
+def summed(blocks: DataFrame, parts: int, keep: Callable[[bytes, int], bool]) -> DataFrame:
+    """lang, phrase (binary) and f from the tasks' blocks; every part of the phrases is added up in one task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for lang, phrases, counts in zip(*[b.column(c).to_pylist() for c in ("lang", "phrases", "counts")], strict=True):
+                own = total.setdefault(lang, {})
+                known = own.get
+                for p, n in zip(unpack(phrases).split(b"\n"), np.frombuffer(unpack(counts), np.int64).tolist(), strict=True):
+                    own[p] = known(p, 0) + n
+        for lang, own in total.items():
+            kept = [(lang, p, n) for p, n in own.items() if keep(p, n)]
+            for at in range(0, len(kept), SENT):
+                yield batch_of(kept[at : at + SENT], [("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 
-def counts_batch(counts: dict, name: str) -> pa.RecordBatch:
-    langs, keys = [k[0] for k in counts], [k[1] for k in counts]
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", name, "n"])
+    return blocks.repartitionById(parts, "part").mapInArrow(run, "lang string, phrase binary, f long")
 
 
-def word_counts(dictionary: DataFrame, window: int) -> DataFrame:
-    """lang, phrase (binary) and f of every word; the empty phrase has the number of all words."""
+def word_counts(dictionary: DataFrame, parts: int, least: int) -> DataFrame:
+    """lang, phrase (binary) and f of every frequent word; the empty phrase has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict = {}
-            for lang, chunk, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                for word in chunk.split(b" ")[:-window]:
-                    if word != BREAK:
-                        seen[lang, word] = seen.get((lang, word), 0) + n
-            whole: dict = {}
-            for (lang, _), n in seen.items():
-                whole[lang, b""] = whole.get((lang, b""), 0) + n
-            yield counts_batch(seen | whole, "phrase")
+        tally = Tally(parts)
+        for lang, t in buffered(batches):
+            at = np.flatnonzero(t.owned & (t.code != 0))
+            phrases, times = t.counted(at, 1)
+            if tally.add(lang, [*phrases, b""], [*times, sum(times)]):
+                yield tally.blocks()
+        yield tally.blocks()
 
-    return dictionary.mapInArrow(run, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return summed(dictionary.mapInArrow(run, BLOCK_DDL), parts, lambda p, n: n >= least or not p)
 
 
-def phrase_counts(dictionary: DataFrame, n: int, window: int, known: Broadcast) -> DataFrame:
-    """lang, phrase (binary) and f of every phrase of n words whose two parts of n - 1 words are marked in the bitmap."""
+BLOCK_DDL = "part int, lang string, phrases binary, counts binary"
+
+
+def phrase_counts(chunks_: DataFrame, n: int, parts: int, least: int, known: Broadcast) -> DataFrame:
+    """lang, phrase (binary) and f of every frequent phrase of n words whose two parts of n - 1 words are marked in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = known.value
-        for b in batches:
-            langs, texts, times = [c.to_pylist() for c in b.columns]
-            rows = [t.split(b" ") for t in texts]
-            flat = [w for r in rows for w in r]
-            lengths = np.array([len(r) for r in rows], np.int64)
-            row = np.repeat(np.arange(len(rows)), lengths)
-            # a phrase is counted where it starts before the closing window
-            owned = np.arange(len(flat)) < (np.cumsum(lengths) - window)[row]
-            codes = word_codes(flat)
-            marked = probed(bitmap, phrase_codes(codes, n - 1), lang_codes(langs)[row])
-            for k in range(n - 1):
-                marked &= codes[k : k + len(marked)] != 0
+        tally = Tally(parts)
+        for lang, t in buffered(batches):
+            hit = t.marked(known.value, n - 1)
+            at = np.flatnonzero(hit[:-1] & hit[1:] & t.owned[: max(0, len(hit) - 1)] & (t.row[: max(0, len(hit) - 1)] == t.row[n - 1 : n - 1 + max(0, len(hit) - 1)]))
+            if tally.add(lang, *t.counted(at, n)):
+                yield tally.blocks()
+        yield tally.blocks()
+
+    return summed(chunks_.mapInArrow(run, BLOCK_DDL), parts, lambda p, f: f >= least)
+
+
+def runs_of(chunks_: DataFrame, n: int, known: Broadcast) -> DataFrame:
+    """The parts of the chunks in which every phrase of n words may be frequent, if they are longer than n; equal ones added up.
+
+    No longer phrase can be frequent anywhere else, so the later levels read these alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, t in buffered(batches):
+            hit = t.marked(known.value, n).astype(np.int8)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+            first, last = edges[0::2], edges[1::2] + n - 1
+            starts = np.concatenate([[0], np.cumsum(t.owned)])
+            owned = starts[last] - starts[first]
             seen: dict = {}
-            for at in np.flatnonzero(marked[:-1] & marked[1:] & owned[: len(marked) - 1]).tolist() if len(marked) else ():
-                where = row[at]
-                k = langs[where], b" ".join(flat[at : at + n])
-                seen[k] = seen.get(k, 0) + times[where]
-            yield counts_batch(seen, "phrase")
+            for k in np.flatnonzero((last - first > n) & (owned > 0)).tolist():
+                at = int(first[k])
+                key = b" ".join(t.text[at : int(last[k])]), int(owned[k])
+                seen[key] = seen.get(key, 0) + int(t.times[at])
+            yield batch_of([(lang, chunk, own, f) for (chunk, own), f in seen.items()], CHUNK)
 
-    return dictionary.mapInArrow(run, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return chunks_.mapInArrow(run, DDL).groupBy("lang", "chunk", "owned").agg(F.sum("n").alias("n"))
 
 
 def lang_codes(langs: list[str]) -> np.ndarray:
@@ -145,11 +271,11 @@ def lang_codes(langs: list[str]) -> np.ndarray:
     return np.array([table[lang] for lang in langs], np.uint64)
 
 
-def slots(codes: np.ndarray, langs: np.ndarray, bits: int) -> np.ndarray:
-    return mixed(codes ^ langs[: len(codes)]) >> np.uint64(64 - bits)
+def slots(codes: np.ndarray, langs: np.ndarray | int, bits: int) -> np.ndarray:
+    return mixed(codes ^ np.asarray(langs, np.uint64)) >> np.uint64(64 - bits)
 
 
-def probed(bitmap: np.ndarray, codes: np.ndarray, langs: np.ndarray) -> np.ndarray:
+def probed(bitmap: np.ndarray, codes: np.ndarray, langs: np.ndarray | int) -> np.ndarray:
     at = slots(codes, langs, (len(bitmap) * 64).bit_length() - 1)
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
@@ -175,19 +301,24 @@ def bitmap_of(phrases: DataFrame, n: int, count: int) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of up to ``longest`` words found ``least`` times or more, and (lang, n) with the number of words."""
     spark, window = docs.sparkSession, max(1, longest - 1)
-    dictionary = written(parsed(docs, window), "chunks")
-    words = written(word_counts(dictionary, window), "chunk-words")
-    totals = written(words.filter(F.length("phrase") == 0).select("lang", F.col("f").alias("n")), "chunk-totals")
-    levels = [written(words.filter((F.length("phrase") > 0) & (F.col("f") >= least)), "phrases-1")]
+    chunks_ = written(parsed(docs, window), "chunks")
+    parts = max(LEAST_PARTS, chunks_.count() * PERIOD // PART_WORDS)
+    words = written(word_counts(chunks_, parts, least), "chunk-words")
+    totals = words.filter(F.length("phrase") == 0).select("lang", F.col("f").alias("n"))
+    levels = [words.filter((F.length("phrase") > 0) & (F.col("f") >= least))]
     for n in range(2, longest + 1):
         count = levels[-1].count()
         if not count:
             break
         known = spark.sparkContext.broadcast(bitmap_of(levels[-1], n - 1, count))
-        levels.append(written(phrase_counts(dictionary, n, window, known).filter(F.col("f") >= least), f"phrases-{n}"))
+        if n > 2:
+            # only what is left after the pairs goes through the longer levels
+            rest = written(runs_of(chunks_, n - 1, known), f"runs-{n - 1}")
+            dropped(chunks_)
+            chunks_ = rest
+        levels.append(written(phrase_counts(chunks_, n, parts, least, known), f"phrases-{n}"))
         known.unpersist()
-    for spent in (dictionary, words):
-        dropped(spent)
+    dropped(chunks_)
     out = levels[0].withColumn("words", F.lit(1))
     for n, level in enumerate(levels[1:], 2):
         out = out.union(level.withColumn("words", F.lit(n)))
