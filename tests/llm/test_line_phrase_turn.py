@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from compare import compare, database
 from pyspark.sql import functions as F
@@ -125,11 +126,33 @@ def test_collocations_against_brute_force(spark, monkeypatch, period):
 def test_every_occurrence_stands_in_one_chunk():
     draw = random.Random(1)
     for n in (1, 3, 4, 5, 60, 2000):
-        words = [draw.choice([b"a", b"b", b"c", b"\n"]) for _ in range(n)]
-        starts = [c.split(b" ")[:-4] for c in collocations.chunks(words, 4)]
-        assert [w for s in starts for w in s] == words
-        found = collections.Counter(tuple(c[i : i + 5]) for c in (x.split(b" ") for x in collocations.chunks(words, 4)) for i in range(len(c) - 4))
-        assert all(found[tuple(words[i : i + 5])] > 0 for i in range(n - 4))
+        codes = np.array([draw.choice([11, 22, 33, 0]) for _ in range(n)], np.uint64)
+        parts = collocations.chunks(codes, 4)
+        assert np.array_equal(np.concatenate([c[:-4] for c in parts]), codes)
+        found = {tuple(c[i : i + 5]) for c in parts for i in range(len(c) - 4)}
+        assert all(tuple(codes[i : i + 5]) in found for i in range(n - 4))
+
+
+def test_words_never_share_a_code(spark, monkeypatch):
+    rows = phrase_rows()
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    # under the first seed some two words have one code; the second one is used then
+    tables = []
+    real = collocations.parsed
+
+    def clashing(docs, window, seed):
+        tables.append(seed)
+        out = real(docs, window, seed)
+        if seed == 0:
+            one = F.concat(F.lit(bytes(collocations.CODE)), F.lit(b"first"))
+            two = F.concat(F.lit(bytes(collocations.CODE)), F.lit(b"second"))
+            more = spark.range(1).select(F.lit("").alias("lang"), F.explode(F.array(one, two)).alias("chunk"), F.lit(collocations.VOCABULARY).alias("owned"), F.lit(1).cast("long").alias("n"))
+            out = out.unionByName(more)
+        return out
+
+    monkeypatch.setattr(collocations, "parsed", clashing)
+    got = [tuple(r) for r in collocations.collocations(docs, least=20, best=30).collect()]
+    assert tables == [0, 1] and sorted(got) == plain_collocations(rows, 20, 30)
 
 
 def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
@@ -140,7 +163,8 @@ def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
 
 
 def test_scores_beyond_64_bits(spark):
-    phrases = spark.createDataFrame([("en", "a b", 2, 3 * 10**15), ("en", "a", 1, 7 * 10**16 + 1), ("en", "b", 1, 3 * 10**15)], "lang string, phrase string, words int, f long")
+    a, b = b"a" * 8, b"b" * 8
+    phrases = spark.createDataFrame([("en", a + b, 2, 3 * 10**15), ("en", a, 1, 7 * 10**16 + 1), ("en", b, 1, 3 * 10**15)], "lang string, phrase binary, words int, f long")
     totals = spark.createDataFrame([("en", 9 * 10**17 + 7)], "lang string, n long")
     r = collocations.scored(phrases, totals).collect()
     assert [(x.a, x.l, x.r, x.n, x.score) for x in r] == [(3 * 10**15, 7 * 10**16 + 1, 3 * 10**15, 9 * 10**17 + 7, 1000 * (9 * 10**17 + 7) // (7 * 10**16 + 1))]
