@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
-from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Report
 from ..functions.spread import exact_quantiles
 from ..sources.stage import pinned
+from . import boosting
 
 # The compared methods in order of preference on equal error.
 METHODS = ("gradient_boosting", "last_week", "four_week_mean", "exponential_smoothing", "croston_sba")
@@ -263,36 +262,44 @@ def with_next_day(grid: DataFrame, n: int) -> DataFrame:
     return grid.select("item_id", "t", "day", "quantity").unionByName(ahead, allowMissingColumns=True)
 
 
-def gbt_forecast(features: DataFrame, keys: DataFrame, origin: int, trees: int = 80, min_rows: int = 30) -> DataFrame | None:
-    """Pooled boosted trees for one origin; a training label ends before the origin.
+#: Features of the older rule set.
+V2_FEATURES = ["mean7", "mean14", "std28", "nonzero_share", "week", "week_before", "max28", "idle", "weekday", "month"]
 
-    Targets are the next week over (scale · 7). None when fewer than ``min_rows`` windows exist.
+
+def training_windows(features: DataFrame, keys: DataFrame, origins: Sequence[int], names: Sequence[str] = FEATURES) -> DataFrame:
+    """Weekly windows of the half year before each origin, all labels ending before it: origin, features, label.
+
+    The label is the next week over (scale · 7). Origins unfold inside the item days they may train on.
+    """
+    own = features.join(keys.select("item_id"), "item_id", "left_semi").filter(F.col("next_week").isNotNull())
+
+    def trains(o: Column) -> Column:
+        start = F.greatest(F.col("first") + 28, o - 180)
+        return (F.col("t") >= start) & (F.col("t") < o - 6) & (F.pmod(F.col("t") - start, F.lit(HORIZON)) == 0)
+
+    usable = F.filter(F.array(*[F.lit(int(o)) for o in origins]), trains)
+    label = F.col("next_week") / (F.col("scale") * HORIZON)
+    return own.select(F.explode(usable).alias("origin"), *names, label.alias("label"))
+
+
+def boosted_forecasts(features: DataFrame, keys: DataFrame, origins: Sequence[int], trees: int = 80, names: Sequence[str] = FEATURES) -> DataFrame | None:
+    """Pooled boosted trees at every origin, a model of its own each, all grown in the same passes.
+
+    Origins with too few windows have no rows; None when there is no model at all.
     """
-    own = features.join(keys.select("item_id"), "item_id", "left_semi")
-    start = F.greatest(F.col("first") + 28, F.lit(origin - 180))
-    train = own.filter(
-        (F.col("t") >= start) & (F.col("t") < origin - 6) & ((F.col("t") - start) % HORIZON == 0)
-        & F.col("next_week").isNotNull()
-    ).withColumn("label", F.col("next_week") / (F.col("scale") * HORIZON))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    prepared = vectors.transform(train).select("features", "label").persist()
-    try:
-        if prepared.limit(min_rows).count() < min_rows:
-            return None
-        model = GBTRegressor(
-            maxIter=trees, maxDepth=4, minInstancesPerNode=15, stepSize=0.1, seed=42, cacheNodeIds=True
-        ).fit(prepared)
-    finally:
-        prepared.unpersist()
-    now = vectors.transform(own.filter(F.col("t") == origin))
-    estimate = F.greatest(F.lit(0.0), F.col("prediction")) * F.col("scale") * HORIZON
-    return model.transform(now).select("item_id", F.lit(origin).alias("origin"), estimate.alias("gradient_boosting"))
-
-
-def boosted_forecasts(features: DataFrame, keys: DataFrame, origins: list[int], trees: int = 80) -> DataFrame | None:
-    """Boosted trees at every origin, a model of its own each; None when no origin has windows enough to train on."""
-    parts = [p for p in (gbt_forecast(features, keys, o, trees) for o in origins) if p is not None]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    settings = boosting.Boosting(trees=trees)
+    models = boosting.fit(training_windows(features, keys, origins, names), "origin", names, "label", settings)
+    if not models:
+        return None
+    now = features.join(keys.select("item_id"), "item_id", "left_semi").filter(F.col("t").isin([int(o) for o in models]))
+    estimate = F.greatest(F.lit(0.0), F.col("_boosted")) * F.col("scale") * HORIZON
+    found = boosting.predicted(now.withColumn("origin", F.col("t")), "origin", names, models, "_boosted")
+    return found.select("item_id", "origin", estimate.alias("gradient_boosting"))
+
+
+def gbt_forecast(features: DataFrame, keys: DataFrame, origin: int, trees: int = 80) -> DataFrame | None:
+    """Boosted trees at one origin."""
+    return boosted_forecasts(features, keys, [origin], trees)
 
 
 def backtest(arrays: DataFrame, keys: DataFrame, plan: Plan, boosted: DataFrame | None = None) -> DataFrame:
@@ -530,22 +537,93 @@ def v2_eligibility(arrays: DataFrame, n: int, cap: int | None = None) -> DataFra
     return chosen if cap is None else chosen.orderBy(F.col("recent_quantity").desc(), "item_id").limit(cap)
 
 
-def v2_backtest(arrays: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """Six weekly origins in the last 42 days, the first three for validation."""
+def v2_origins(n: int) -> list[int]:
+    return list(range(n - 42, n, HORIZON))
+
+
+def v2_backtest(arrays: DataFrame, keys: DataFrame, n: int, boosted: DataFrame | None = None) -> DataFrame:
+    """Six weekly origins in the last 42 days, the first three for validation; with ``boosted``, only origins that have a model."""
     own = arrays.join(keys.select("item_id"), "item_id", "left_semi")
-    origins = list(range(n - 42, n, HORIZON))
-    rows = simple_forecasts(own, origins).select("item_id", "origin", "stratum", "actual", "last_week", "four_week_mean")
+    rows = simple_forecasts(own, v2_origins(n)).select("item_id", "origin", "stratum", "actual", "last_week", "four_week_mean")
+    if boosted is not None:
+        rows = rows.join(boosted, ["item_id", "origin"])
     return rows.withColumn("split", F.when(F.col("origin") < n - 21, "validation").otherwise("test"))
 
 
+def v2_features(grid: DataFrame) -> DataFrame:
+    """The older rule set's ten features of every item day, in the columns that boosted models read."""
+    by_day = Window.partitionBy("item_id").orderBy("t")
+    back = lambda a, b: by_day.rowsBetween(-a, -b)
+    q = F.col("quantity")
+    base = grid.select(
+        "item_id", "t", F.min(F.when(q.isNotNull(), F.col("t"))).over(Window.partitionBy("item_id")).alias("first"),
+        F.count(q).over(back(28, 1)).alias("_known"), F.count(q).over(by_day.rowsBetween(0, 6)).alias("_next"),
+        F.sum(q).over(by_day.rowsBetween(0, 6)).alias("next_week"), F.greatest(F.avg(q).over(back(28, 1)), F.lit(0.1)).alias("scale"),
+        F.avg(q).over(back(7, 1)).alias("_m7"), F.avg(q).over(back(14, 1)).alias("_m14"), F.stddev_pop(q).over(back(28, 1)).alias("_s28"),
+        F.count_if(q != 0).over(back(28, 1)).alias("_nz"), F.sum(q).over(back(7, 1)).alias("_w1"), F.sum(q).over(back(14, 8)).alias("_w2"),
+        F.max(q).over(back(28, 1)).alias("_max"), F.max(F.when(q > 0, F.col("t"))).over(back(10_000, 1)).alias("_last"), F.col("day"),
+    ).filter("_known = 28")
+    s = F.col("scale")
+    return base.select(
+        "item_id", "t", "first", "scale", F.when(F.col("_next") == HORIZON, F.col("next_week")).alias("next_week"),
+        *[(F.col(c) / d).alias(name) for c, d, name in (
+            ("_m7", s, "mean7"), ("_m14", s, "mean14"), ("_s28", s, "std28"), ("_nz", F.lit(28), "nonzero_share"),
+            ("_w1", s * HORIZON, "week"), ("_w2", s * HORIZON, "week_before"), ("_max", s, "max28"),
+        )],
+        (F.coalesce(F.col("t") - 1 - F.col("_last"), F.lit(28)) / 28).alias("idle"),
+        (F.weekday("day") / 6).alias("weekday"), (F.month("day") / 12).alias("month"),
+    )
+
+
+def v2_publish(rows: DataFrame, arrays: DataFrame, report: Report, boosted: DataFrame | None = None) -> DataFrame:
+    """Next week's figure of every item that sold enough to its end and was forecast well enough, by the method of least validation error."""
+    first, last = report.calendar_range
+    n = (last - first).days + 1
+    sold = F.array_position(F.transform("values", lambda v: F.coalesce(v != 0, F.lit(False))), True)
+    final = arrays.filter((_selling(F.slice("values", -28, 28)) >= 8) & (_selling(_part(0, n - 28)) >= 8) & (F.lit(n) - (sold - 1) >= 90))
+    now = final.select(
+        "item_id", _sum(F.slice("values", -7, 7)).alias("last_week"), (_sum(F.slice("values", -28, 28)) / 4).alias("four_week_mean")
+    )
+    if boosted is not None:
+        now = now.join(boosted.drop("origin"), "item_id", "left")
+    chosen = F.broadcast(best_method(errors(rows)).withColumn("_k", F.lit(1)))
+    validation = long_errors(rows).filter("split = 'validation'").groupBy("item_id", "method").agg(F.avg(F.abs(F.col("estimate") - F.col("actual"))).alias("validation_mae"))
+    methods = [m for m in METHODS if m in now.columns]
+    picked = F.coalesce(*[F.when(F.col("method") == m, F.col(m)) for m in methods])
+    joined = now.withColumn("_k", F.lit(1)).join(chosen, "_k").drop("_k").join(validation, ["item_id", "method"])
+    kept = joined.filter(F.col("validation_mae") <= F.greatest(F.lit(2.0), F.col("four_week_mean") * 0.5))
+    return kept.select(
+        "item_id", "method", F.round(picked, 3).alias("quantity"), F.round("validation_mae", 3).alias("validation_mae"),
+        F.lit(last + timedelta(days=1)).alias("start"), F.lit(last + timedelta(days=7)).alias("end"),
+    )
+
+
 def best_method(metrics: DataFrame) -> DataFrame:
     """Lowest validation MAE; the method listed first wins a tie (one row)."""
     order = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
     return metrics.filter("split = 'validation'").agg(F.min_by("method", F.struct("mae", order)).alias("method"))
 
 
-def weekly_backtest(long: DataFrame, key: str = "item_id", first: int = 36, last: int = 51, validate: int = 8) -> DataFrame:
-    """One-week-ahead check on weekly series: last week and four-week mean at each origin week."""
+def weekly_boosted(long: DataFrame, key: str = "item_id", first: int = 36, last: int = 51, trees: int = 80) -> DataFrame:
+    """Boosted trees one week ahead at each origin week, trained on all earlier weeks from the ninth on."""
+    by_week = Window.partitionBy(key).orderBy("week")
+    back = lambda n: by_week.rowsBetween(-n, -1)
+    q = F.col("quantity").cast("double")
+    scale = F.greatest(F.avg(q).over(back(4)), F.lit(0.1))
+    names = ["lag1", "lag2", "mean8", "std4", "nonzero8"]
+    rows = long.select(
+        key, "week", q.alias("quantity"), scale.alias("scale"), (F.lag(q).over(by_week) / scale).alias("lag1"), (F.lag(q, 2).over(by_week) / scale).alias("lag2"),
+        (F.avg(q).over(back(8)) / scale).alias("mean8"), (F.stddev_pop(q).over(back(4)) / scale).alias("std4"), (F.count_if(q != 0).over(back(8)) / 8).alias("nonzero8"),
+    ).filter((F.col("week") >= 8) & (F.col("week") <= last))
+    later = F.sequence(F.greatest(F.lit(first), F.col("week") + 1).cast("int"), F.lit(last))
+    train = rows.filter(F.col("week") < last).select(F.explode(later).alias("origin"), *names, (F.col("quantity") / F.col("scale")).alias("label"))
+    models = boosting.fit(train, "origin", names, "label", boosting.Boosting(trees=trees, least=1))
+    found = boosting.predicted(rows.filter(F.col("week") >= first).withColumn("origin", F.col("week")), "origin", names, models, "_boosted")
+    return found.select(key, "origin", (F.greatest(F.lit(0.0), F.col("_boosted")) * F.col("scale")).alias("gradient_boosting"))
+
+
+def weekly_backtest(long: DataFrame, key: str = "item_id", first: int = 36, last: int = 51, validate: int = 8, boosted: DataFrame | None = None) -> DataFrame:
+    """One-week-ahead check on weekly series: last week, four-week mean and, if given, boosted trees at each origin week."""
     by_week = Window.partitionBy(key).orderBy("week")
     q = F.col("quantity")
     rows = long.select(
@@ -555,6 +633,8 @@ def weekly_backtest(long: DataFrame, key: str = "item_id", first: int = 36, last
         F.lag(q).over(by_week).cast("double").alias("last_week"),
         F.avg(q).over(by_week.rowsBetween(-4, -1)).cast("double").alias("four_week_mean"),
     ).filter(F.col("origin").between(first, last))
+    if boosted is not None:
+        rows = rows.join(boosted, [key, "origin"])
     split = F.when(F.col("origin") < first + validate, "validation").otherwise("test")
     return rows.withColumns({"split": split, "stratum": F.lit("all")})
 

@@ -47,3 +47,11 @@ def pinned(df: DataFrame, bound: int) -> DataFrame:
     if len(rows) > bound:
         raise ValueError(f"more than {bound} rows")
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def spent(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing lazy needs any more."""
+    hadoop, conf = df.sparkSession._jvm.org.apache.hadoop.fs, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
