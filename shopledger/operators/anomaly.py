@@ -15,7 +15,6 @@ from ..config import Report
 
 VECTOR = ("v0", "v1", "v2")
 LEGACY_VECTOR = ("l0", "l1", "l2")
-POOL_BLOCKS = 100  # the sample pool holds at most this many tree samples
 
 
 def _median(values: Column) -> Column:
@@ -125,37 +124,76 @@ def _grow(rows: np.ndarray, depth: int, rng: np.random.Generator):
     return feature, threshold, path
 
 
-def iso_fit(train: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> Forest:
-    """Grow isolation trees as one Spark task set over a bounded hashed sample of the training rows.
+def tree_hashes(base: np.ndarray, tree: int) -> np.ndarray:
+    """Rows' places in the order of a tree, from the hashes of their keys."""
+    h = base + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def tree_samples(train: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
+    """tree, place and columns: per task and tree the ``sample`` rows that come first in the tree's own order of all rows.
 
-    Each tree only ever needs ``sample`` rows, so at most POOL_BLOCKS · sample rows (those with the
-    smallest hashes: a fixed random sample) are broadcast, however large the training table is.
+    A task keeps trees · sample rows at most, whatever it reads, and the first of all rows are among the first of their tasks.
     """
-    spark = train.sparkSession
-    pool_rows = (
-        train.select(F.xxhash64(*key, F.lit(seed)).alias("_h"), *columns).orderBy("_h").limit(POOL_BLOCKS * sample)
-    )
-    pool = pool_rows.select(*columns).toPandas().to_numpy(dtype=float)
-    size = min(sample, len(pool))
-    depth = max(1, math.ceil(math.log2(max(size, 2))))
-    shared = spark.sparkContext.broadcast(pool)
+    width = len(columns)
 
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = [np.empty((0, width))] * trees
+        places = [np.empty(0, np.uint64)] * trees
         for batch in batches:
-            built = []
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                own = shared.value[rng.choice(len(shared.value), size, replace=False)]
-                built.append([int(tree), *[a.tolist() for a in _grow(own, depth, rng)]])
-            yield pd.DataFrame(built, columns=["tree", "feature", "threshold", "path"])
+            base = batch["_h"].to_numpy().view(np.uint64)
+            x = batch[list(columns)].to_numpy(dtype=float)
+            for tree in range(trees):
+                h = tree_hashes(base, tree)
+                if len(places[tree]) == sample:
+                    ahead = h <= places[tree][-1]
+                    h, rows = h[ahead], x[ahead]
+                else:
+                    rows = x
+                if not len(h):
+                    continue
+                h, rows = np.concatenate([places[tree], h]), np.concatenate([kept[tree], rows])
+                first = np.lexsort([*rows.T[::-1], h])[:sample]
+                places[tree], kept[tree] = h[first], rows[first]
+        yield pd.DataFrame({
+            "tree": np.repeat(np.arange(trees), [len(p) for p in places]), "place": np.concatenate(places).view(np.int64),
+            **{c: np.concatenate([k[:, i] for k in kept]) for i, c in enumerate(columns)},
+        })
+
+    hashed = train.select(F.xxhash64(*key, F.lit(seed)).alias("_h"), *[F.col(c).cast("double").alias(c) for c in columns])
+    return hashed.mapInPandas(smallest, "tree long, place long, " + ", ".join(f"{c} double" for c in columns))
+
+
+def own_rows(part: pd.DataFrame, columns: Sequence[str], sample: int) -> np.ndarray:
+    """The rows of a tree, merged from all tasks."""
+    x, places = part[list(columns)].to_numpy(dtype=float), part["place"].to_numpy().view(np.uint64)
+    return x[np.lexsort([*x.T[::-1], places])[:sample]]
+
+
+def iso_fit(train: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> Forest:
+    """Grow isolation trees in the cluster, each from a sample of its own over all training rows.
+
+    A tree's sample are the rows with its smallest hashes. One aggregation finds those of all trees: tasks hand over what comes first among
+    their rows, and a tree's task merges and grows. The driver receives the trees.
+    """
+    depth = max(1, math.ceil(math.log2(max(sample, 2))))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        tree, rows = int(part["tree"].iloc[0]), own_rows(part, columns, sample)
+        deep = max(1, math.ceil(math.log2(max(len(rows), 2))))
+        feature, threshold, path = _grow(rows, deep, np.random.default_rng([seed, tree]))
+        room = 2 ** (depth + 1) - 1 - len(feature)
+        grown = [np.concatenate([a, np.full(room, v, a.dtype)]).tolist() for a, v in ((feature, -1), (threshold, 0), (path, 0))]
+        return pd.DataFrame([(tree, len(rows), *grown)], columns=["tree", "n", "feature", "threshold", "path"])
 
     grown = (
-        spark.range(0, trees, 1, min(trees, 8))
-        .mapInPandas(grow, "tree long, feature array<int>, threshold array<double>, path array<double>")
-        .orderBy("tree")
-        .toPandas()
+        tree_samples(train, columns, key, trees, sample, seed).groupBy("tree")
+        .applyInPandas(grow, "tree long, n long, feature array<int>, threshold array<double>, path array<double>")
+        .toPandas().sort_values("tree")
     )
-    return Forest(*[np.stack(grown[c].to_list()) for c in ("feature", "threshold", "path")], size)
+    return Forest(*[np.stack(grown[c].to_list()) for c in ("feature", "threshold", "path")], int(grown["n"].iloc[0]))
 
 
 def iso_score(forest: Forest, df: DataFrame, columns: Sequence[str], name: str = "score") -> DataFrame:

@@ -18,6 +18,9 @@ from ..sources.stage import staged
 
 SILHOUETTE_SAMPLE = 2000
 SUBSAMPLES = 5
+#: Rounds that draw start centres from all points, and candidates a round as a multiple of the largest k.
+ROUNDS, OVERSAMPLING = 3, 2
+CANDIDATES = "k int, cluster_count long, min_cluster_size long, silhouette double, ari_median double, publishable boolean, converged boolean"
 FULL = -1  # group number of the whole customer table
 
 
@@ -65,10 +68,11 @@ def _sample_groups(features: DataFrame, key: str, seed: int) -> DataFrame:
     return features.withColumn("grp", F.explode(groups))
 
 
-def _seed_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    centres = [points[rng.integers(len(points))]]
+def _seed_centres(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the weighted points, each drawn in proportion to its weighted square distance from those before."""
+    centres = [points[rng.choice(len(points), p=weights / weights.sum())]]
     for _ in range(k - 1):
-        gap = np.min(((points[:, None, :] - np.array(centres)[None]) ** 2).sum(2), axis=1)
+        gap = weights * np.min(((points[:, None, :] - np.array(centres)[None]) ** 2).sum(2), axis=1)
         total = gap.sum()
         centres.append(points[rng.choice(len(points), p=gap / total) if total > 0 else rng.integers(len(points))])
     return np.array(centres)
@@ -79,19 +83,82 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distance.argmin(1), distance.min(1)
 
 
-def _start_models(spark, samples: dict[int, np.ndarray], names: list[tuple], seed: int) -> dict[tuple, np.ndarray]:
-    """Start centres of every model, settled on the bounded sample; one Spark task set for all."""
-    shared = spark.sparkContext.broadcast(samples)
+def _spread(h: np.ndarray, number: int) -> np.ndarray:
+    """Uniform numbers in [0, 1) from row hashes, others for every number."""
+    h = h + np.uint64((number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _passes(points: DataFrame, key: str, columns: Sequence[str], seed: int, run, schema: str) -> DataFrame:
+    """``run(grp, hashes, x)`` over the points in batches of one group; it yields rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part in batch.groupby("grp"):
+                rows = list(run(int(g), part["_h"].to_numpy().view(np.uint64), part[list(columns)].to_numpy(dtype=float)))
+                yield pd.DataFrame(rows, columns=names)
+
+    return points.select("grp", F.xxhash64(key, F.lit(seed)).alias("_h"), *columns).mapInPandas(each, schema)
+
+
+def _start_models(points: DataFrame, key: str, columns: Sequence[str], ks: Sequence[int], restarts: int, seed: int) -> dict[tuple, np.ndarray]:
+    """Start centres of every (group, k, restart), drawn from all points in a few passes.
+
+    Each (group, restart) begins with one point; then every round each point joins its candidates with a chance of OVERSAMPLING · max(ks) times
+    its share of the square distances, so a round adds about that many, wherever the points lie. The candidates are weighted by
+    the points nearest to them and every k picks and settles its centres among them. Candidates do not grow with the points.
+    """
+    spark, width = points.sparkSession, len(columns)
+    cells = ", ".join(f"s{i} double" for i in range(width))
+    order = lambda r: F.struct(F.xxhash64(key, F.lit(seed), F.lit(r)).alias("h"), *columns)
+    firsts = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.min(order(r)).alias(f"r{r}") for r in range(restarts)]).collect()
+    sizes = {r["grp"]: r["n"] for r in firsts}
+    chosen = {(f["grp"], r): np.array([f[f"r{r}"][1:]], float) for f in firsts for r in range(restarts)}
+    wanted = OVERSAMPLING * max(ks)
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(chosen)
+
+        def costs(g, h, x, shared=shared):
+            for r in range(restarts):
+                yield g, r, float(_nearest(x, shared.value[g, r])[1].sum())
+
+        total = {(r["grp"], r["restart"]): r["cost"] for r in _passes(points, key, columns, seed, costs, "grp int, restart int, cost double").groupBy("grp", "restart").agg(F.sum("cost").alias("cost")).collect()}
+
+        def drawn(g, h, x, shared=shared, total=total, turn=turn):
+            for r in range(restarts):
+                if total[g, r] > 0:
+                    chance = wanted * _nearest(x, shared.value[g, r])[1] / total[g, r]
+                    for row in x[_spread(h, turn * restarts + r) < chance]:
+                        yield g, r, *row.tolist()
+
+        for row in _passes(points, key, columns, seed, drawn, f"grp int, restart int, {cells}").distinct().orderBy("grp", "restart", *[f"s{i}" for i in range(width)]).collect():
+            chosen[row[0], row[1]] = np.vstack([chosen[row[0], row[1]], row[2:]])
+    shared = spark.sparkContext.broadcast(chosen)
+
+    def weights(g, h, x):
+        for r in range(restarts):
+            near, n = np.unique(_nearest(x, shared.value[g, r])[0], return_counts=True)
+            for c, k in zip(near.tolist(), n.tolist(), strict=True):
+                yield g, r, c, k
+
+    weight = {k: np.zeros(len(c)) for k, c in chosen.items()}
+    for row in _passes(points, key, columns, seed, weights, "grp int, restart int, place int, n long").groupBy("grp", "restart", "place").agg(F.sum("n").alias("n")).collect():
+        weight[row[0], row[1]][row[2]] = row[3]
+    names = [(g, k, r) for g in sorted(sizes) for k in ks for r in range(restarts) if sizes[g] >= k]
+    weighted = spark.sparkContext.broadcast(weight)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for number in batch["id"]:
                 g, k, r = names[number]
-                x = shared.value[g]
-                centres = _seed_centres(x, k, np.random.default_rng([seed, g + 1, k, r]))
-                for _ in range(20):
-                    member = _nearest(x, centres)[0][:, None] == np.arange(k)
+                x, w = shared.value[g, r], weighted.value[g, r]
+                centres = _seed_centres(x, w, k, np.random.default_rng([seed, g + 1, k, r]))
+                for _ in range(100):
+                    member = (_nearest(x, centres)[0][:, None] == np.arange(k)) * w[:, None]
                     size = member.sum(0)
                     moved = np.where(size[:, None] > 0, (member.T @ x) / np.maximum(size, 1)[:, None], centres)
                     done, centres = ((moved - centres) ** 2).sum() <= 1e-6, moved
@@ -104,22 +171,15 @@ def _start_models(spark, samples: dict[int, np.ndarray], names: list[tuple], see
     return {names[r["id"]]: np.array(r["centres"]).reshape(names[r["id"]][1], -1) for r in started.collect()}
 
 
-def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequence[int], restarts: int, seed: int, iterations: int = 30) -> dict:
+def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequence[int], restarts: int, seed: int, iterations: int = 300) -> tuple[dict, dict, dict]:
     """Fit every (group, k, restart) at once and keep the tightest restart of each (group, k).
 
-    One pass per iteration serves all models: tasks return only sums per (model, cluster), so the
-    shuffle and the driver see at most models · k rows. Start centres come from a bounded hashed
-    sample of each group, so few passes over the whole table remain. ``points``: (grp, key, columns).
+    One pass per iteration serves all models that still move: tasks return only sums per (model, cluster), so the
+    shuffle and the driver see at most models · k rows. ``points``: (grp, key, columns). Returns centres, cost and
+    whether the model came to rest within ``iterations``, per (group, k).
     """
-    groups = list(range(FULL, SUBSAMPLES))
-    smallest = Window.partitionBy("grp").orderBy("_h")
-    sample = (
-        points.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_r", F.row_number().over(smallest))
-        .filter(F.col("_r") <= SILHOUETTE_SAMPLE).orderBy("grp", "_h").select("grp", *columns).toPandas()
-    )
-    by_group = {g: sample.loc[sample["grp"] == g, list(columns)].to_numpy(dtype=float) for g in groups}
-    names = [(g, k, r) for g in groups for k in ks for r in range(restarts) if len(by_group[g]) >= k]
-    models = _start_models(points.sparkSession, by_group, names, seed)
+    models = _start_models(points, key, columns, ks, restarts, seed)
+    names = sorted(models)
     width = len(columns)
     spark = points.sparkSession
     active, cost = set(names), {}
@@ -160,9 +220,10 @@ def kmeans_many(points: DataFrame, key: str, columns: Sequence[str], ks: Sequenc
             break
     best = {}
     for g, k, r in names:
-        if (g, k) not in best or cost[g, k, r] < cost[(g, k, best[g, k])]:
+        if (g, k) not in best or cost[g, k, r] < cost[g, k, best[g, k]]:
             best[g, k] = r
-    return {(g, k): models[g, k, r] for (g, k), r in best.items()}
+    kept = {m: (*m, r) for m, r in best.items()}
+    return {m: models[n] for m, n in kept.items()}, {m: cost[n] for m, n in kept.items()}, {m: n not in active for m, n in kept.items()}
 
 
 def assign(points: DataFrame, key: str, columns: Sequence[str], centres: dict) -> DataFrame:
@@ -223,19 +284,20 @@ def silhouette(labelled: DataFrame, key: str, columns: Sequence[str], seed: int,
 def choose_k(features: DataFrame, columns: Sequence[str], params: Analysis = Analysis(), key: str = "customer_id", floor_share: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """Candidate table and the labels of every k over the whole table.
 
-    A candidate is publishable when its smallest cluster, silhouette and stability pass the gates.
+    A candidate is publishable when its smallest cluster, silhouette and stability pass the gates; ``converged`` tells whether its
+    models, on the whole table and on the subsamples, came to rest.
     """
     features = staged(features, "features")
     counted = features.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     vectors = features.select(*columns).distinct().limit(params.k_max + 1).count()
     ks = [k for k in range(params.k_min, min(params.k_max, counted, vectors) + 1)]
     if counted < 2 or vectors < 2 or not ks:
-        empty = features.sparkSession.createDataFrame([], "k int, cluster_count long, min_cluster_size long, silhouette double, ari_median double, publishable boolean")
+        empty = features.sparkSession.createDataFrame([], CANDIDATES)
         return empty, features.select(key, F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("cluster"))
     keyed = features.withColumn(key, F.col(key).cast("string"))
     scaled = robust_scale(_sample_groups(keyed, key, params.random_state), columns, ["grp"])
     points = staged(scaled.select("grp", key, *columns), "points")
-    centres = kmeans_many(points, key, columns, ks, params.n_init, params.random_state)
+    centres, _, rested = kmeans_many(points, key, columns, ks, params.n_init, params.random_state)
     labels = staged(assign(points, key, columns, centres), "labels")
     full = labels.filter(F.col("grp") == FULL)
     sizes = full.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(
@@ -251,7 +313,8 @@ def choose_k(features: DataFrame, columns: Sequence[str], params: Analysis = Ana
         & F.coalesce(F.col("silhouette") >= 0.15, F.lit(False))
         & F.coalesce(F.col("ari_median") >= 0.65, F.lit(True))
     )
-    candidates = sizes.join(scored, "k", "left").join(stability, "k", "left").withColumn("publishable", passed)
+    settled = features.sparkSession.createDataFrame([(k, all(v for (_, j), v in rested.items() if j == k)) for k in ks], "k int, converged boolean")
+    candidates = sizes.join(scored, "k", "left").join(stability, "k", "left").withColumn("publishable", passed).join(F.broadcast(settled), "k")
     return candidates, full.select(key, "k", "cluster")
 
 
@@ -319,7 +382,7 @@ def followup_summary(found: DataFrame, customers: int) -> DataFrame:
 
 
 def item_clusters(items: DataFrame, params: Analysis = Analysis(k_max=6)) -> tuple[DataFrame, DataFrame] | None:
-    """Groups of comparable items on five features; evaluated only, never published by themselves.
+    """Groups of comparable items on five features; a candidate may pass the numeric gates, but none is ever published by itself.
 
     ``items``: item_id, amount, weekly_cv, nonzero_day_share, change, observed_days. The log features
     are passed through expm1-safe columns, as scaling applies log1p itself.
@@ -333,4 +396,5 @@ def item_clusters(items: DataFrame, params: Analysis = Analysis(k_max=6)) -> tup
         *[F.expm1(F.col(c)).alias(f"f{i + 1}") for i, c in enumerate(("weekly_cv", "nonzero_day_share", "change"))],
         F.coalesce("observed_days", F.lit(0)).cast("double").alias("f4"),
     )
-    return choose_k(shaped, [f"f{i}" for i in range(5)], params, key="item_id", floor_share=0.02)
+    candidates, labels = choose_k(shaped, [f"f{i}" for i in range(5)], params, key="item_id", floor_share=0.02)
+    return candidates.withColumnRenamed("publishable", "numeric_gate").withColumn("publishable", F.lit(False)), labels
