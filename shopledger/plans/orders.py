@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import Analysis, Mapping, Policy, Scope
 from ..operators import baskets, customers, normalize, orders
-from ..sources.readers import canonicalize
+from ..sources.readers import canonicalize, counts_seen, with_counts
 from ..sources.stage import staged
 
 
 def quality_views(raw: DataFrame, mapping: Mapping, policy: Policy = Policy(), scope: Scope = Scope()) -> dict[str, DataFrame]:
-    """Row audit, reason counts, order views, basket items and capability gates."""
-    rows = normalize.normalize(orders.pair_raw(canonicalize(raw, mapping), raw), mapping, policy)
-    rows = staged(rows, "normalised")
+    """Row audit, reason counts, order views, basket items and capability gates.
+
+    ``source_counts`` (rows, given and misfitting times, raw duplicates) come from the pass that writes the normalised rows.
+    """
+    seen = Observation("source-counts")
+    paired = with_counts(orders.pair_raw(canonicalize(raw, mapping), raw), mapping, seen)
+    rows = staged(normalize.normalize(paired, mapping, policy), "normalised")
     resolved = staged(orders.resolve_orders(rows, mapping, policy, scope), "orders")
     audit = staged(orders.row_audit(rows, resolved, policy, scope), "audit")
     items = staged(orders.basket_items(rows, resolved, policy, scope), "baskets")
     summary = orders.capabilities(orders.selected(resolved), items, mapping, policy)
     return {
         "audit": audit,
+        "source_counts": counts_seen(raw.sparkSession, seen),
         "reason_counts": orders.reason_counts(audit),
         "issue_counts": normalize.issue_counts(rows),
         "basket_items": items,
@@ -42,7 +47,9 @@ def association(items: DataFrame, params: Analysis = Analysis()) -> dict[str, Da
     popular = baskets.popularity(train)
     head = baskets.popular_head(popular)
     owners, block = bootstrap_block(items, labels)
-    out = {"split": labels, "itemsets": sets, "rules": qualified, "cards": baskets.cards(qualified)}
+    cards = baskets.cards(qualified)
+    shown = raw_cards(cards, qualified)
+    out = {"split": labels, "itemsets": sets, "rules": qualified, "cards": cards, "shown": shown}
     for name, seed in (("validation", 42), ("test", 43)):
         cases = staged(baskets.completion_cases(part(name), popular, qualified, popular, seed), f"cases-{name}")
         out[f"{name}_metrics"] = baskets.basket_metrics(cases)
@@ -51,6 +58,12 @@ def association(items: DataFrame, params: Analysis = Analysis()) -> dict[str, Da
     return out
 
 
+def raw_cards(cards: list[dict], qualified: DataFrame) -> DataFrame:
+    """The shown rules (at most as many as cards are shown) as rows of the qualified ones."""
+    keys = qualified.sparkSession.createDataFrame([(c["antecedents"], c["consequents"]) for c in cards], "antecedents string, consequents string")
+    return qualified.join(F.broadcast(keys), ["antecedents", "consequents"], "left_semi")
+
+
 def bootstrap_block(items: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
     """What is resampled as one: the customer where every row names one, else the ISO week of a split by time, else the order."""
     per = items.groupBy("order_id").agg(F.min("customer_id").alias("customer_id"), F.date_trunc("week", F.min("event_time")).cast("string").alias("week"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -13,6 +13,7 @@ from ..config import FIELDS, Mapping
 from ..functions.spread import row_print
 from ..functions.times import local_day, month_of, parse_time
 from ..operators.normalize import status
+from .records import read_records
 
 # Accepted file encodings and the charset names Spark reads them with.
 ENCODINGS = {"utf-8-sig": "UTF-8", "gb18030": "GB18030", "cp1252": "windows-1252"}
@@ -22,12 +23,14 @@ SEPARATORS = (",", ";", "\t", "|")
 def read_csv(spark: SparkSession, path, columns: Sequence[str], encoding="utf-8-sig", sep=",", multi_line: bool = False) -> DataFrame:
     """CSV with a header as nullable strings; a row of another width fails the read.
 
-    Column pruning is switched off for this read, as a pruned scan does not notice ragged rows. Quoted line breaks need ``multi_line``,
-    whatever the encoding; a file is then one task, so it is a choice of the caller. Encodings other than UTF-8 need
+    Column pruning is switched off for this read, as a pruned scan does not notice ragged rows. Quoted line breaks need ``multi_line``:
+    such files are read in ranges like others, after a pass over their quotes (see records). Without it, encodings other than UTF-8 need
     ``spark.sql.legacy.javaCharsets`` set to true.
     """
     if encoding not in ENCODINGS or sep not in SEPARATORS:
         raise ValueError("unsupported encoding or separator")
+    if multi_line:
+        return read_records(spark, path, columns, encoding, sep)
     schema = StructType([StructField(name, StringType()) for name in columns])
     return (
         spark.read.schema(schema)
@@ -38,17 +41,28 @@ def read_csv(spark: SparkSession, path, columns: Sequence[str], encoding="utf-8-
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multi_line)
         .option("columnPruning", False)
         .csv(path)
     )
 
 
-def blanks_to_null(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Blank cells become null (others stay untrimmed); rows with no value left are dropped."""
+def blanks_to_null(df: DataFrame, keep: Sequence[str] = (), seen: Observation | None = None) -> DataFrame:
+    """Blank cells become null (others stay untrimmed); rows with no value left are dropped.
+
+    ``seen`` gets the number of rows and of dropped ones from the pass that uses the result, so that nothing is read twice.
+    """
     cells = [c for c in df.columns if c not in keep]
     cleaned = df.select(*keep, *[F.when(F.trim(F.col(c)) != "", F.col(c)).alias(c) for c in cells])
-    return cleaned.filter(F.coalesce(*[F.col(c) for c in cells]).isNotNull())
+    filled = F.coalesce(*[F.col(c) for c in cells]).isNotNull()
+    if seen is not None:
+        cleaned = cleaned.observe(seen, F.count_if(~filled).alias("blank_rows"), F.count(F.lit(1)).alias("rows"))
+    return cleaned.filter(filled)
+
+
+def counts_seen(spark: SparkSession, seen: Observation) -> DataFrame:
+    """One row with the counts of a pass that is done."""
+    counts = seen.get
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
 
 
 def blank_row_count(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -137,12 +151,22 @@ def canonicalize(raw: DataFrame, mapping: Mapping, row_id: str = "source_row_id"
     return raw.select(*keep, F.col(row_id).alias("source_row_id"), *[value(name) for name in FIELDS])
 
 
-def time_conformance(canonical: DataFrame, mapping: Mapping) -> DataFrame:
+def _time_counts(mapping: Mapping) -> list[Column]:
     parsed = parse_time(F.col("event_time"), mapping.time_format, mapping.timezone)
-    return canonical.agg(
+    return [
         F.count("event_time").alias("given"),
         F.count_if(F.col("event_time").isNotNull() & parsed.isNull()).alias("not_conforming"),
-    )
+    ]
+
+
+def time_conformance(canonical: DataFrame, mapping: Mapping) -> DataFrame:
+    return canonical.agg(*_time_counts(mapping))
+
+
+def with_counts(rows: DataFrame, mapping: Mapping, seen: Observation) -> DataFrame:
+    """The rows as they are; ``seen`` gets rows, given and misfitting times, and raw duplicates from the pass that uses them."""
+    twice = F.count_if("duplicate_candidate") if "duplicate_candidate" in rows.columns else F.lit(0).cast("long")
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *_time_counts(mapping), twice.alias("duplicate_candidates"))
 
 
 def source_calendar(canonical: DataFrame, mapping: Mapping) -> DataFrame:
@@ -171,10 +195,8 @@ def source_calendar(canonical: DataFrame, mapping: Mapping) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, by: str = "version_id") -> DataFrame:
-    """Row count and order-free content hash per source."""
-    content = [c for c in df.columns if c != by]
-    # a null is told apart from an absent one: hashing alone would skip it, whatever its column
-    h = F.xxhash64(*[part for c in content for part in (F.col(c).isNull(), F.col(c))])
+    """Row count and order-free content hash per source: exclusive or, and sum, of 60 bits of every row's print."""
+    h = F.conv(F.substring(row_print([c for c in df.columns if c != by]), 1, 15), 16, 10).cast("long")
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.bit_xor(h).alias("hash_xor"),
