@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..config import Analysis, Report
+from ..functions.draws import poisson_steps
 from ..operators import baskets as b
 from ..operators import customers as c
 from ..operators import evidence as e
@@ -14,9 +15,10 @@ from ..operators import forecast as f
 from ..operators import items as i
 from ..operators import recommend as r
 from ..sources.readers import weekly_long
-from .months import effects, month_items
+from .months import MOVES, actions_sql, effects, month_items
 from .registry import check
 from .rows import MERCH, WEEKLY_SQL, WEEKS, weekly_wide
+from .sql import BLOCKS
 from .tables import FORECAST, REPORT, forecast_grid, grid, order_items, order_times, regular_times, stored, table
 
 DAYS = f.calendar_length(FORECAST)
@@ -72,6 +74,7 @@ def _(spark, d):
 
 
 _KEPT = TESTED.format(ELIGIBLE.replace("{grid}", "fgrid"))
+BLOCKS["btested"] = f"SELECT * FROM btest WHERE item_id IN {_KEPT}"
 
 
 @check("l16_backtest", f"SELECT item_id, origin, stratum, split, actual, {_ROUND} FROM btest WHERE item_id IN {_KEPT}")
@@ -141,10 +144,121 @@ def _(spark, d):
     return f.trailing_features(forecast_grid(spark, d)).drop("day", "first", "next_week")
 
 
+def day_features(spark, d):
+    """Features of all item days and of the day after the calendar."""
+    return stored(spark, ("day-features", d), lambda: f.trailing_features(f.with_next_day(forecast_grid(spark, d), DAYS)))
+
+
+def boosted(spark, d):
+    """The boosted method at every origin of the check and at the one to publish, grown in the same passes."""
+    def build():
+        keys = eligible(spark, d).filter("tested")
+        found = f.boosted_forecasts(day_features(spark, d), keys, [*PLAN.origins, DAYS])
+        return found if found is not None else spark.createDataFrame([], "item_id string, origin int, gradient_boosting double")
+
+    return stored(spark, ("boosted", d), build)
+
+
+def backtest_of_all(spark, d):
+    def build():
+        return f.backtest(arrays(spark, d), eligible(spark, d).filter("tested"), PLAN, boosted(spark, d).filter(F.col("origin") < DAYS))
+
+    return stored(spark, ("backtest-of-all", d), build)
+
+
+def policy_of_all(spark, d):
+    return f.select_policy(backtest_of_all(spark, d), PLAN.validation)
+
+
 @check("l15_gbt_forecast")
 def _(spark, d):
-    features = f.trailing_features(forecast_grid(spark, d))
-    return f.gbt_forecast(features, eligible(spark, d).filter("tested"), PLAN.origins[-1])
+    return boosted(spark, d)
+
+
+@check("l16_backtest_of_all_methods")
+def _(spark, d):
+    return backtest_of_all(spark, d)
+
+
+@check("d23_errors_of_all_methods")
+def _(spark, d):
+    return f.errors(backtest_of_all(spark, d))
+
+
+@check("l18_policy_of_all_methods")
+def _(spark, d):
+    return policy_of_all(spark, d)
+
+
+@check("l18_support_of_all_methods")
+def _(spark, d):
+    return f.test_support(backtest_of_all(spark, d), policy_of_all(spark, d))
+
+
+@check("l19_ranges_of_all_methods")
+def _(spark, d):
+    return f.calibration_ranges(backtest_of_all(spark, d), policy_of_all(spark, d))
+
+
+@check("l19_publish_of_all_methods")
+def _(spark, d):
+    latest = boosted(spark, d).filter(F.col("origin") == DAYS)
+    return f.publish(backtest_of_all(spark, d), policy_of_all(spark, d), arrays(spark, d), eligible(spark, d), FORECAST, latest)
+
+
+def v2_boosted(spark, d):
+    def build():
+        keys = f.v2_eligibility(arrays(spark, d), DAYS)
+        found = f.boosted_forecasts(f.v2_features(f.with_next_day(forecast_grid(spark, d), DAYS)), keys, [*f.v2_origins(DAYS), DAYS], names=f.V2_FEATURES)
+        return found if found is not None else spark.createDataFrame([], "item_id string, origin int, gradient_boosting double")
+
+    return stored(spark, ("v2-boosted", d), build)
+
+
+@check("l23_v2_features", """
+SELECT item_id, t, first, round(scale, 6) AS scale, next_week, round(m7 / scale, 6) AS mean7, round(m14 / scale, 6) AS mean14, round(s28 / scale, 6) AS std28, round(nz / 28.0::DOUBLE, 6) AS nonzero_share,
+  round(w1 / (scale * 7), 6) AS week, round(w2 / (scale * 7), 6) AS week_before, round(mx / scale, 6) AS max28, round(coalesce(t - 1 - last, 28) / 28.0::DOUBLE, 6) AS idle,
+  round((isodow(day) - 1) / 6.0::DOUBLE, 6) AS weekday, round(month(day) / 12.0::DOUBLE, 6) AS month
+FROM (SELECT *, min(CASE WHEN quantity IS NOT NULL THEN t END) OVER (PARTITION BY item_id) AS first, greatest(avg(quantity) OVER b28, 0.1) AS scale, count(quantity) OVER b28 AS k,
+    avg(quantity) OVER b7 AS m7, avg(quantity) OVER b14 AS m14, stddev_pop(quantity) OVER b28 AS s28, count(*) FILTER (WHERE quantity <> 0) OVER b28 AS nz, sum(quantity) OVER b7 AS w1,
+    sum(quantity) OVER (PARTITION BY item_id ORDER BY t ROWS BETWEEN 14 PRECEDING AND 8 PRECEDING) AS w2, max(quantity) OVER b28 AS mx,
+    max(CASE WHEN quantity > 0 THEN t END) OVER (PARTITION BY item_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last,
+    CASE WHEN count(quantity) OVER ahead = 7 THEN sum(quantity) OVER ahead END AS next_week
+  FROM fgrid WINDOW b28 AS (PARTITION BY item_id ORDER BY t ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), b7 AS (PARTITION BY item_id ORDER BY t ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+    b14 AS (PARTITION BY item_id ORDER BY t ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING), ahead AS (PARTITION BY item_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) WHERE k = 28
+""")
+def _(spark, d):
+    return f.v2_features(forecast_grid(spark, d))
+
+
+@check("l23_v2_gbt")
+def _(spark, d):
+    return v2_boosted(spark, d)
+
+
+@check("l23_v2_publish")
+def _(spark, d):
+    own, found = arrays(spark, d), v2_boosted(spark, d)
+    rows = f.v2_backtest(own, f.v2_eligibility(own, DAYS), DAYS, found)
+    return f.v2_publish(rows, own, FORECAST, found.filter(F.col("origin") == DAYS))
+
+
+@check("l23_v2_publish_of_simple_methods", """
+SELECT * FROM (WITH rows AS (
+  SELECT item_id, origin, actual, last_week, four_week_mean, CASE WHEN origin < 891 THEN 'validation' ELSE 'test' END AS split
+  FROM btest WHERE origin >= 870 AND item_id IN (SELECT item_id FROM fgrid GROUP BY 1 HAVING count(*) FILTER (WHERE t >= 842 AND t < 870 AND quantity <> 0) >= 8
+    AND count(*) FILTER (WHERE t < 842 AND quantity <> 0) >= 8)),
+per AS (SELECT item_id, avg(abs(last_week - actual)) AS a, avg(abs(four_week_mean - actual)) AS b FROM rows WHERE split = 'validation' GROUP BY 1),
+pick AS (SELECT CASE WHEN avg(abs(last_week - actual)) <= avg(abs(four_week_mean - actual)) THEN 'last_week' ELSE 'four_week_mean' END AS method FROM rows WHERE split = 'validation'),
+now AS (SELECT item_id, sum(quantity) FILTER (WHERE t >= 905) AS last_week, sum(quantity) FILTER (WHERE t >= 884) / 4 AS four_week_mean FROM fgrid GROUP BY 1
+  HAVING count(*) FILTER (WHERE t >= 884 AND quantity <> 0) >= 8 AND count(*) FILTER (WHERE t < 884 AND quantity <> 0) >= 8 AND 912 - min(t) FILTER (WHERE quantity <> 0) >= 90)
+SELECT now.item_id, method, round(CASE method WHEN 'last_week' THEN last_week ELSE four_week_mean END, 3) AS quantity, round(CASE method WHEN 'last_week' THEN a ELSE b END, 3) AS validation_mae,
+  '2001-07-01' AS start, '2001-07-07' AS "end"
+FROM now JOIN per ON per.item_id = now.item_id, pick WHERE CASE method WHEN 'last_week' THEN a ELSE b END <= greatest(2, four_week_mean * 0.5))
+""")
+def _(spark, d):
+    own = arrays(spark, d)
+    return f.v2_publish(f.v2_backtest(own, f.v2_eligibility(own, DAYS), DAYS), own, FORECAST)
 
 
 @check("l23_v2_backtest", """
@@ -174,6 +288,21 @@ def _(spark, d):
     return f.best_method(f.errors(f.weekly_backtest(weekly_long(weekly_wide(spark, d), "item_id", WEEKS))))
 
 
+def weekly_boosted(spark, d):
+    return stored(spark, ("weekly-boosted", d), lambda: f.weekly_boosted(weekly_long(weekly_wide(spark, d), "item_id", WEEKS)))
+
+
+@check("l24_weekly_gbt")
+def _(spark, d):
+    return f.weekly_backtest(weekly_long(weekly_wide(spark, d), "item_id", WEEKS), boosted=weekly_boosted(spark, d))
+
+
+@check("l24_weekly_method_of_three")
+def _(spark, d):
+    rows = f.weekly_backtest(weekly_long(weekly_wide(spark, d), "item_id", WEEKS), boosted=weekly_boosted(spark, d))
+    return f.best_method(f.errors(rows))
+
+
 # --- baskets -------------------------------------------------------------------------------------
 
 
@@ -212,10 +341,15 @@ def _(spark, d):
     return b.split(order_times(spark, d).select("order_id", "event_time"))
 
 
-@check("l01_random_split")
+@check("l01_random_split", """
+SELECT order_id, NULL::VARCHAR AS event_time, CASE WHEN k < c0 THEN 'train' WHEN k < c1 THEN 'validation' ELSE 'test' END AS split, 'random' AS split_mode
+FROM (SELECT *, max(k) FILTER (WHERE r = least(n - 1, floor(n * 0.6::DOUBLE))) OVER () AS c0, max(k) FILTER (WHERE r = least(n - 1, floor(n * 0.8::DOUBLE))) OVER () AS c1
+  FROM (SELECT order_id, k, dense_rank() OVER (ORDER BY k) - 1 AS r, (SELECT count(DISTINCT substr(md5(order_id || ':42'), 1, 15)) FROM btimes) AS n
+    FROM (SELECT order_id, substr(md5(order_id || ':42'), 1, 15) AS k FROM btimes)))
+""")
 def _(spark, d):
     unknown = order_times(spark, d).select("order_id", F.lit(None).cast("timestamp").alias("event_time"))
-    return b.split(unknown).groupBy("split", "split_mode").agg(F.count(F.lit(1)).alias("orders"))
+    return b.split(unknown)
 
 
 @check("l02_itemsets", "SELECT array_to_string(items, ',') AS items, n FROM sets")
@@ -273,7 +407,14 @@ def _(spark, d):
     return b.merge_reciprocal(mined(spark, d)).select("antecedents", "consequents", "lift")
 
 
-@check("w21_cards")
+@check("w21_cards", f"""
+SELECT CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS place, antecedents, consequents, round(lift, 6) AS lift FROM (WITH RECURSIVE best AS MATERIALIZED (
+    SELECT *, row_number() OVER (ORDER BY {ORDER}) AS place FROM (SELECT *, list_sort(list_concat(a, b)) AS items, row_number() OVER (PARTITION BY list_sort(list_concat(a, b)) ORDER BY {ORDER}) AS r FROM mined) WHERE r = 1),
+  walk AS (SELECT 0::BIGINT AS place, []::VARCHAR[] AS used, 0 AS shown, FALSE AS taken
+    UNION ALL SELECT next, CASE WHEN ok THEN list_concat(used, items) ELSE used END, shown + ok::INT, ok
+    FROM (SELECT w.used, w.shown, o.place AS next, o.items, w.shown < 50 AND len(list_filter(o.items, lambda i: len(list_filter(w.used, lambda u: u = i)) >= 5)) = 0 AS ok FROM walk w JOIN best o ON o.place = w.place + 1))
+SELECT o.* FROM walk w JOIN best o ON o.place = w.place WHERE taken)
+""")
 def _(spark, d):
     shown = b.cards(mined(spark, d))
     rows = [(k + 1, x["antecedents"], x["consequents"], float(x["lift"])) for k, x in enumerate(shown)]
@@ -309,12 +450,22 @@ def cases(spark, d):
     return stored(spark, ("cases", d), build)
 
 
-@check("l06_completion")
+@check("l06_completion", """
+SELECT count(*) AS baskets, round(sum(hit) / (count(*) * 5.0::DOUBLE), 6) AS precision_at_5, round(avg(hit), 6) AS hit_rate_at_5, round(avg((len(recs) > 0)::INT), 6) AS recommendation_coverage,
+  round(avg(popular_hit), 6) AS popularity_hit_rate_at_5, round(avg((len(pops) > 0)::INT), 6) AS popularity_coverage, round(avg(list_contains(hybrid, target)::INT), 6) AS hybrid_hit_rate_at_5,
+  round(avg(len(recs)), 6) AS mean_list_length, round(avg(len(hybrid)), 6) AS hybrid_mean_list_length, round(avg(hit - popular_hit), 6) AS paired_hit_difference
+FROM bcases
+""")
 def _(spark, d):
     return b.basket_metrics(cases(spark, d))
 
 
-@check("d24_strata")
+@check("d24_strata", """
+SELECT CASE WHEN target IN (SELECT item_id FROM (SELECT item_id, count(*) AS n FROM train GROUP BY 1) ORDER BY n DESC, item_id
+    LIMIT (SELECT greatest(1, CAST(floor(count(DISTINCT item_id) * 0.2::DOUBLE) AS INTEGER)) FROM train)) THEN 'popular' ELSE 'other' END AS stratum,
+  count(*) AS cases, round(avg(hit), 6) AS rule_hit_rate, round(avg(popular_hit), 6) AS popular_hit_rate
+FROM bcases GROUP BY 1
+""")
 def _(spark, d):
     return b.strata_metrics(cases(spark, d), b.popular_head(b.popularity(split_pairs(spark, d, "train"))))
 
@@ -327,7 +478,17 @@ def _(spark, d):
     return b.popular_head(b.popularity(split_pairs(spark, d, "train")))
 
 
-@check("l07_bootstrap")
+_STEPS = " + ".join(f"(u >= {s})::INT" for s in poisson_steps())
+
+
+@check("l07_bootstrap", f"""
+SELECT max(blocks) AS blocks, round(CASE WHEN max(blocks) >= 20 THEN quantile_cont(estimate, 0.025) END, 6) AS lower, round(CASE WHEN max(blocks) >= 20 THEN quantile_cont(estimate, 0.975) END, 6) AS upper
+FROM (SELECT draw, sum(w * difference) / nullif(sum(w * size), 0)::DOUBLE AS estimate, count(*) AS blocks
+  FROM (SELECT draw, difference, size, {_STEPS} AS w
+    FROM (SELECT draw, difference, size, CAST('0x' || substr(md5(customer_id || ':' || (draw // 4) || ':1042'), 8 * (draw % 4) + 1, 8) AS BIGINT) AS u
+      FROM (SELECT customer_id, sum(hit - popular_hit) AS difference, count(*) AS size FROM bcases c JOIN btimes t ON t.order_id = c.order_id GROUP BY 1), (SELECT CAST(d AS INTEGER) AS draw FROM range(500) r(d))))
+  GROUP BY draw)
+""")
 def _(spark, d):
     owners = order_times(spark, d).select("order_id", "customer_id")
     return b.bootstrap(cases(spark, d).join(owners, "order_id"), "customer_id")
@@ -461,8 +622,8 @@ def _(spark, d):
     change = i.week_change(i.month_series(daily, names, window), window).select("item_id", F.col("early_change").alias("change"))
     amounts = daily.filter(F.date_format("day", "yyyy-MM") == "2001-07").groupBy("item_id").agg(F.sum("amount").alias("amount"))
     found = c.item_clusters(amounts.join(profile, "item_id").join(change, "item_id"), Analysis(k_max=6))
-    none = "k int, cluster_count long, min_cluster_size long, silhouette double, ari_median double, publishable boolean"
-    return found[0] if found else spark.createDataFrame([], none)
+    none = spark.createDataFrame([], c.CANDIDATES).withColumnRenamed("publishable", "numeric_gate").withColumn("publishable", F.lit(False))
+    return found[0] if found else none
 
 
 # --- recommendations -----------------------------------------------------------------------------
@@ -501,7 +662,7 @@ def counted(spark, d):
     return b.qualify(mined(spark, d).drop("leverage", "confidence_lower", "confidence_upper"), split_pairs(spark, d, "validation"))
 
 
-@check("k02_pairings", f"""
+PAIRINGS = f"""
 SELECT * FROM (WITH {VB}, q AS (SELECT * FROM {VCOUNT} WHERE lift > 1 AND leverage > 0 AND confidence_lower > n_b / denominator AND vab >= 3 AND vab * vn / (va * vb_n) > 1),
   s AS (SELECT q.*, g.group_amount / (SELECT sum(coalesce(amount, 0)) FROM items WHERE {MERCH}) AS reach,
     least((confidence_lower - n_b / denominator) / greatest(1 - n_b / denominator, 0.001), (vab / va - vb_n / vn) / greatest(1 - vb_n / vn, 0.001)) AS strength
@@ -509,20 +670,38 @@ SELECT * FROM (WITH {VB}, q AS (SELECT * FROM {VCOUNT} WHERE lift > 1 AND levera
 SELECT antecedents, consequents, array_to_string(items, ',') AS related_items, round(reach, 6) AS reach, round(strength, 6) AS strength, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY items ORDER BY score DESC, antecedents, consequents) AS r FROM (
   SELECT *, reach * strength * least(vab / 20, 1) AS score, list_sort(list_concat(a, b)) AS items FROM s WHERE reach >= 0.002)) WHERE r = 1)
-""")
+"""
+
+
+@check("k02_pairings", PAIRINGS)
 def _(spark, d):
     return r.pairings(counted(spark, d), month_items(spark, d))
 
 
-@check("k03_followup_action", f"""
+FOLLOWUP = f"""
 SELECT 'customer-followup' AS strategy, round(n / total::DOUBLE * 0.25, 6) AS score FROM (SELECT count(*) AS n FROM {REGULAR}), (SELECT count(DISTINCT customer_id) AS total FROM rtimes)
 WHERE n >= greatest(10, 0.01 * total)
-""")
+"""
+
+
+@check("k03_followup_action", FOLLOWUP)
 def _(spark, d):
     return r.followup_action(regular_summary(spark, d), customers(spark, d))
 
 
-@check("k04_combine")
+@check("k04_combine", f"""
+SELECT CAST(place AS INTEGER) AS place, id, strategy, round(score, 6) AS score FROM (WITH RECURSIVE cand AS MATERIALIZED (
+    SELECT 'action:' || item_id AS id, CASE WHEN item_type = 'physical' THEN 'procurement-' ELSE 'sales-' END || signal AS strategy,
+      least(impact / (SELECT sum(amount) FROM items), 1) * 0.8 AS score, [item_id] AS items FROM ({actions_sql(MOVES, 1, "monthly", "").replace("round(impact, 6)", "impact")})
+    UNION ALL SELECT 'pairing:' || replace(related_items, ',', '|'), 'pairing', exact, string_split(related_items, ',') FROM ({PAIRINGS.replace("round(score, 6) AS score", "score AS exact")})
+    UNION ALL SELECT 'customer:followup', strategy, exact, []::VARCHAR[] FROM ({FOLLOWUP.replace("round(n / total::DOUBLE * 0.25, 6) AS score", "n / total::DOUBLE * 0.25 AS exact")})),
+  walk AS (SELECT 0 AS place, ''::VARCHAR AS id, []::VARCHAR[] AS done, []::VARCHAR[] AS covered, ''::VARCHAR AS strategy, 0::DOUBLE AS score
+    UNION ALL SELECT place + 1, id, list_append(done, strategy), list_concat(covered, items), strategy, score
+    FROM (SELECT w.place, w.done, w.covered, c.id, c.strategy, c.score::DOUBLE AS score, c.items,
+        row_number() OVER (ORDER BY c.score * (1 - 0.6 * coalesce(len(list_intersect(c.items, w.covered)) / nullif(len(list_distinct(c.items)), 0)::DOUBLE, 0)) DESC, c.id) AS r
+      FROM walk w JOIN cand c ON NOT list_contains(w.done, c.strategy) WHERE w.place < 3) WHERE r = 1)
+SELECT * FROM walk WHERE place > 0)
+""")
 def _(spark, d):
     items = month_items(spark, d)
     total = items.agg(F.sum("amount")).first()[0]

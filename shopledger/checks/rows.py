@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..config import Report
@@ -30,6 +31,11 @@ def resolved(spark, d, mode="line_amount", scope=SCOPE):
     return base, o.resolve_orders(base, mapping(mode), POLICY, scope)
 
 
+COPIES = """(SELECT source_row_id AS copy_id, row_number() OVER (PARTITION BY order_id, item_id, item_name, customer_id, event_time,
+  quantity, unit_price, line_amount, order_amount, currency, record_status, country, category, item_type
+  ORDER BY source_row_id) AS copy_no FROM lines)"""
+
+
 # --- sources -------------------------------------------------------------------------------------
 
 CUSTOMER_TEXT = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
@@ -48,11 +54,22 @@ def _(spark, d):
     return readers.read_csv(spark, path, source.columns, sep=";")
 
 
-@check("a03_blank_rows", """
+BLANK_ROWS = """
 SELECT count(*) FILTER (WHERE b) AS blank_rows, count(*) AS rows
 FROM (SELECT NOT (coalesce(length(trim(CASE WHEN l_orderkey % 50 = 0 THEN '  ' ELSE l_returnflag END)) > 0, FALSE)
   OR coalesce(length(trim(CASE WHEN l_orderkey % 25 = 0 THEN NULL ELSE l_linestatus END)) > 0, FALSE)) AS b FROM lineitem)
-""")
+"""
+
+
+@check("a03_observed_blank_rows", BLANK_ROWS)
+def _(spark, d):
+    """Counted by the pass that writes the rows."""
+    seen = Observation("blanks")
+    readers.blanks_to_null(blanked(spark, d), ("row_id",), seen).write.format("noop").mode("overwrite").save()
+    return readers.counts_seen(spark, seen)
+
+
+@check("a03_blank_rows", BLANK_ROWS)
 def _(spark, d):
     return readers.blank_row_count(blanked(spark, d), keep=("row_id",))
 
@@ -147,6 +164,18 @@ def _(spark, d):
     return readers.time_conformance(canonical(spark, d), LINE)
 
 
+@check("a09_observed_counts", f"""
+SELECT (SELECT count(*) FROM lines) AS rows, count(time_text) AS given, count(*) FILTER (WHERE time_text IS NOT NULL AND event_time IS NULL) AS not_conforming,
+  (SELECT count(*) FROM {COPIES} WHERE copy_no > 1) AS duplicate_candidates FROM norm
+""")
+def _(spark, d):
+    """Counted by the pass that writes the paired rows."""
+    seen = Observation("counts")
+    pairs = o.pair_raw(canonical(spark, d), raw_view(spark, d))
+    readers.with_counts(pairs, LINE, seen).write.format("noop").mode("overwrite").save()
+    return readers.counts_seen(spark, seen)
+
+
 @check("a10_source_calendar", """
 SELECT CAST(min(day) AS VARCHAR) AS start, CAST(max(day) AS VARCHAR) AS "end",
   string_agg(DISTINCT strftime(day, '%Y-%m'), ',' ORDER BY strftime(day, '%Y-%m')) AS months,
@@ -170,6 +199,22 @@ def _(spark, d):
     return readers.fingerprint(source_rows(spark, d).drop("issues", "source_no"))
 
 
+_TEXTS = ("source_row_id", "order_id", "item_id", "item_name", "customer_id", "event_time", "quantity", "unit_price", "line_amount", "order_amount",
+          "currency", "record_status", "country", "category", "item_type")
+
+
+@check("a11_text_fingerprint", f"""
+SELECT version_id, count(*) AS rows, bit_xor(h) AS hash_xor, CAST(sum(h % 2147483647) AS BIGINT) AS hash_sum
+FROM (SELECT version_id, CAST('0x' || substr(sha256(concat_ws(chr(1), {", ".join(f"coalesce({c}, chr(2))" for c in _TEXTS)})), 1, 15) AS BIGINT) AS h FROM src) GROUP BY 1
+""")
+def _(spark, d):
+    """The raw text of both sources."""
+    lines = raw_lines(spark, d)
+    early = lines.filter(F.col("order_day") < F.lit(date(2001, 3, 1))).withColumn("version_id", F.lit("v1"))
+    late = lines.filter(F.col("order_day") >= F.lit(date(2001, 1, 1))).withColumn("version_id", F.lit("v2"))
+    return readers.fingerprint(early.unionByName(late).select("version_id", *_TEXTS))
+
+
 @check("a11_repeated_sources", """
 SELECT 'first' AS first_source, 'second' AS last_source, CAST(2 AS BIGINT) AS copies, count(*) AS rows FROM orders
 """)
@@ -363,9 +408,6 @@ ROW_REASON = f"""CASE WHEN order_id IS NULL THEN 'missing_order' WHEN conflict T
   WHEN quantity <= 0 THEN 'nonpositive_quantity' WHEN copy_no > 1 THEN 'duplicate_removed'
   WHEN {IN_SCOPE} THEN 'included' ELSE 'filtered_out' END"""
 
-COPIES = """(SELECT source_row_id AS copy_id, row_number() OVER (PARTITION BY order_id, item_id, item_name, customer_id, event_time,
-  quantity, unit_price, line_amount, order_amount, currency, record_status, country, category, item_type
-  ORDER BY source_row_id) AS copy_no FROM lines)"""
 
 
 def order_sql(base: str) -> str:

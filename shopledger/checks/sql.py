@@ -253,14 +253,15 @@ FROM (SELECT p.item_id, p.date, p.actual, p.reference, i.quantity AS month, list
 WHERE n >= 14 AND selling >= n / 2 AND baseline > 0 AND mean > 0 AND std / mean <= 0.75 AND actual >= 3 * greatest(baseline, reference)
   AND actual - greatest(baseline, reference) >= greatest(3, month * 0.2)
 """
-# Steady daily sales of every brand in June 2001, with rising, falling and spiking ones among them.
-_NUMBER = "CAST(replace(item_id, 'Brand#', '') AS INTEGER)"
+# June's real sales of every item upon a steady level, with rising, falling and spiking items among them.
+_NUMBER = "CAST(replace(g.item_id, 'Brand#', '') AS INTEGER)"
+BLOCKS["plevel"] = "SELECT item_id, floor(avg(coalesce(quantity, 0))) + 1 AS level FROM grid WHERE day >= DATE '2001-06-01' GROUP BY item_id"
 BLOCKS["pgrid"] = f"""
-SELECT item_id, day, CAST(10 + ({_NUMBER} * 7 + dom * 3) % 4 + CASE {_NUMBER} % 4 WHEN 1 THEN 8 * greatest(0, (dom - 3) // 7) WHEN 2 THEN 8 * (3 - greatest(0, (dom - 3) // 7))
-  WHEN 3 THEN CASE WHEN dom = 20 THEN 140 ELSE 0 END ELSE 0 END AS DOUBLE) AS quantity
-FROM (SELECT item_id, CAST(day AS DATE) AS day, CAST(day(day) AS INTEGER) AS dom FROM (SELECT DISTINCT p_brand AS item_id FROM part), UNNEST(generate_series(TIMESTAMP '2001-06-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY)) AS days(day))
+SELECT g.item_id, g.day, coalesce(quantity, 0) + level * (10 + CASE {_NUMBER} % 4 WHEN 1 THEN 8 * greatest(0, (day(g.day) - 3) // 7) WHEN 2 THEN 8 * (3 - greatest(0, (day(g.day) - 3) // 7))
+  WHEN 3 THEN CASE WHEN day(g.day) = 20 THEN 140 ELSE 0 END ELSE 0 END) AS quantity
+FROM grid g JOIN plevel p ON p.item_id = g.item_id WHERE g.day >= DATE '2001-06-01'
 """
-BLOCKS["panoms"] = f"SELECT item_id, day AS date, quantity AS actual, 11.0::DOUBLE AS reference FROM pgrid WHERE {_NUMBER} % 4 = 3 AND day = DATE '2001-06-20'"
+BLOCKS["panoms"] = f"SELECT g.item_id, g.day AS date, g.quantity AS actual, 11 * level AS reference FROM pgrid g JOIN plevel p ON p.item_id = g.item_id WHERE {_NUMBER} % 4 = 3 AND g.day = DATE '2001-06-20'"
 BLOCKS["pitems"] = "SELECT item_id, sum(quantity) AS quantity FROM pgrid GROUP BY item_id"
 
 
@@ -325,7 +326,7 @@ FROM (SELECT *, list_reduce(sold, lambda a, x: [a[1] + 0.1 * (x[1] - a[1]), a[2]
 BLOCKS["errs"] = """
 SELECT item_id, origin, split, stratum, actual, unnest(['last_week', 'four_week_mean', 'exponential_smoothing', 'croston_sba']) AS method,
   unnest([1, 2, 3, 4]) AS place, abs(unnest([last_week, four_week_mean, exponential_smoothing, croston_sba]) - actual) AS off,
-  unnest([last_week, four_week_mean, exponential_smoothing, croston_sba]) - actual AS bias FROM btest
+  unnest([last_week, four_week_mean, exponential_smoothing, croston_sba]) - actual AS bias FROM btested
 """
 BLOCKS["sums"] = """
 SELECT stratum, method, place, sum(off) AS off, count(*) AS n, count(DISTINCT origin) AS origins FROM errs WHERE split = 'validation' GROUP BY ALL
@@ -355,7 +356,7 @@ BLOCKS["picked"] = """
 SELECT b.*, coalesce(p.selected, (SELECT selected FROM policy WHERE stratum = 'all')) AS selected_method,
   CASE coalesce(p.selected, (SELECT selected FROM policy WHERE stratum = 'all')) WHEN 'last_week' THEN last_week WHEN 'four_week_mean' THEN four_week_mean
     WHEN 'exponential_smoothing' THEN exponential_smoothing ELSE croston_sba END AS chosen_value
-FROM btest b LEFT JOIN policy p ON p.stratum = b.stratum
+FROM btested b LEFT JOIN policy p ON p.stratum = b.stratum
 """
 BLOCKS["bpairs"] = """
 SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS order_id, p_brand AS item_id FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -364,9 +365,9 @@ BLOCKS["btimes"] = """
 SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderdate AS tm, CAST(o_custkey AS VARCHAR) AS customer_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 """
 BLOCKS["rtimes"] = """
-SELECT 'r' || c_custkey || '-' || k AS order_id, CAST(DATE '2001-03-20' AS TIMESTAMP) + to_days(CAST(20 * k AS INTEGER)) AS tm, CAST(c_custkey AS VARCHAR) AS customer_id
+SELECT 'r' || c_custkey || '-' || k AS order_id, CAST(DATE '2001-03-20' AS TIMESTAMP) + to_days(CAST(20 * k AS INTEGER)) AS tm, CAST(-c_custkey AS VARCHAR) AS customer_id
 FROM customer, UNNEST([0, 1, 2, 3, 4]) AS visits(k) WHERE c_custkey % 10 = 0
-UNION ALL SELECT * FROM btimes WHERE CAST(customer_id AS BIGINT) % 10 <> 0
+UNION ALL SELECT * FROM btimes
 """
 BLOCKS["bcuts"] = """
 SELECT max(tm) FILTER (WHERE r = least(n - 1, floor(n * 0.6::DOUBLE))) AS c0, max(tm) FILTER (WHERE r = least(n - 1, floor(n * 0.8::DOUBLE))) AS c1
@@ -398,6 +399,29 @@ JOIN (SELECT items AS i1, n FROM sets) x ON x.i1 = s.a JOIN (SELECT items AS i2,
   (SELECT CAST(total AS DOUBLE) AS total, 1.959963984540054::DOUBLE AS z, 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE AS zz FROM bneed)
 WHERE n_ab / x.n >= 0.1
 """
+BLOCKS["bheld"] = """
+SELECT order_id, item_id AS target FROM (SELECT p.order_id, item_id, count(*) OVER (PARTITION BY p.order_id) AS size,
+  row_number() OVER (PARTITION BY p.order_id ORDER BY substr(md5(p.order_id || ':' || item_id || ':43'), 1, 15), item_id) AS r
+  FROM bpairs p JOIN bsplit s ON s.order_id = p.order_id WHERE split = 'test') WHERE r = 1 AND size >= 2
+"""
+BLOCKS["bseen"] = "SELECT p.* FROM bpairs p JOIN bheld h ON h.order_id = p.order_id WHERE p.item_id <> h.target"
+BLOCKS["reclists"] = """
+SELECT order_id, list(item_id ORDER BY r) AS recs FROM (SELECT order_id, item_id, row_number() OVER (PARTITION BY order_id ORDER BY s.cl DESC, s.l DESC, s.n DESC, item_id) AS r
+  FROM (SELECT order_id, item_id, max(s) AS s FROM (SELECT order_id, basket, unnest(b) AS item_id, {'cl': confidence_lower, 'l': lift, 'n': n_ab} AS s
+    FROM (SELECT order_id, list(item_id) AS basket FROM bseen WHERE item_id IN (SELECT item_id FROM train) GROUP BY 1) JOIN mined ON list_has_all(basket, a))
+    WHERE NOT list_contains(basket, item_id) GROUP BY ALL)) WHERE r <= 5 GROUP BY 1
+"""
+BLOCKS["poplists"] = """
+SELECT order_id, list(item_id ORDER BY r) AS pops FROM (SELECT o.order_id, p.item_id, row_number() OVER (PARTITION BY o.order_id ORDER BY p.n DESC, p.item_id) AS r
+  FROM (SELECT DISTINCT order_id FROM bseen) o CROSS JOIN (SELECT item_id, count(*) AS n FROM train GROUP BY 1) p
+  WHERE NOT EXISTS (SELECT 1 FROM bseen v WHERE v.order_id = o.order_id AND v.item_id = p.item_id)) WHERE r <= 5 GROUP BY 1
+"""
+BLOCKS["bcases"] = """
+SELECT *, list_contains(recs, target)::INT AS hit, list_contains(pops, target)::INT AS popular_hit,
+  list_concat(recs, list_filter(pops, lambda x: NOT list_contains(recs, x)))[1:5] AS hybrid
+FROM (SELECT h.order_id, target, coalesce(recs, []::VARCHAR[]) AS recs, coalesce(pops, []::VARCHAR[]) AS pops
+  FROM bheld h LEFT JOIN reclists r ON r.order_id = h.order_id LEFT JOIN poplists p ON p.order_id = h.order_id)
+"""
 
 
 def query(text: str) -> str:
