@@ -38,6 +38,7 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
     effects = staged(items.price_volume(daily, report), "effects")
     totals = sales.month_totals(labelled, mapping, report)
     out = {
+        "rows": rows,
         "audit": sales.sales_audit(labelled),
         "quality": sales.quality_block(labelled),
         "reasons": sales.reason_histogram(labelled),
@@ -48,25 +49,37 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
         "bands": items.abc(month_items),
         "effects": effects.filter("false") if not (comparable and by_line) else effects,
     }
+    shown = out["effects"]
+    none = evidence_schema(labelled)
     if monthly:
         change = items.month_change(effects, report, comparable)
-        none = evidence_schema(labelled)
-        flagged = items.flags(month_items, change, out["bands"], none)
-        out["flags"] = flagged
-        out["actions"] = evidence.actions(month_items, effects, None, report)
-        return out
+        ranked = evidence.leaders(month_items, None, mapping.quantity_unit)
+        moved = evidence.month_signals(change)
+        return out | {
+            "flags": items.flags(month_items, change, out["bands"], none),
+            "focus": evidence.focus(evidence.focus_candidates(ranked, shown, None, moved, none)),
+            "actions": evidence.actions(month_items, shown, None, report),
+        }
     out["chart"] = sales.store_chart(daily, report, unknown)
+    series = staged(items.month_series(daily, names, report, unknown), "month-series")
+    ranked = evidence.leaders(month_items, series, mapping.quantity_unit)
     if not report.complete_month:
-        return out
+        # no day without a record is known to be empty, so nothing is compared, judged or forecast; what was sold still ranks
+        arrays = month_items.select("item_id")
+        return out | {
+            "flags": items.flags(month_items, items.week_change(series, report), out["bands"], none),
+            "anomaly_status": anomaly.anomaly_status(month_items, none.select("item_id"), none),
+            "focus": evidence.focus(evidence.focus_candidates(ranked, shown, None, None, none)),
+            "actions": evidence.actions(month_items, shown, evidence.daily_signals(evidence.no_signals(arrays), evidence.no_signals(arrays)), report),
+            "eligibility": forecast.eligibility(arrays, 0, forecast.report_blocker(report, mapping.record_kind)),
+        }
     grid = staged(items.item_day_grid(daily, names, report, unknown), "grid")
     measured = anomaly.measured_days(grid, report)
-    found = staged(anomaly.anomalies(measured, report) if not report.check_only else evidence_schema(labelled), "anomalies")
-    series = items.month_series(daily, names, report, unknown)
+    found = staged(anomaly.anomalies(measured, report) if not report.check_only else none, "anomalies")
     with_days = evidence.with_anomalies(series, found)
     trends, spikes = evidence.trend4(with_days, report), evidence.spike(with_days, month_items, report)
     flagged = items.flags(month_items, items.week_change(series, report), out["bands"], found)
-    ranked = evidence.leaders(month_items, series, mapping.quantity_unit)
-    focus = evidence.focus(evidence.focus_candidates(ranked, effects, trends, None, found))
+    focus = evidence.focus(evidence.focus_candidates(ranked, shown, trends, None, found))
     arrays, n = forecast.arrays_of(grid), forecast.calendar_length(report)
     eligible = forecast.eligibility(arrays, n, forecast.report_blocker(report, mapping.record_kind))
     out |= {
@@ -77,7 +90,7 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
         "flags": flagged,
         "focus": focus,
         "concentration": evidence.order_concentration(labelled, found, mapping),
-        "actions": evidence.actions(month_items, effects, evidence.daily_signals(trends, spikes), report),
+        "actions": evidence.actions(month_items, shown, evidence.daily_signals(trends, spikes), report),
         "eligibility": eligible,
     }
     if n >= 90 and not report.check_only:
