@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import LINE_MODES, Mapping, Report
-from ..operators import anomaly, evidence, forecast, items, normalize, sales
+from ..operators import anomaly, customers, evidence, forecast, items, normalize, sales
 from ..sources.stage import staged
 
 
 def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report, trees: int = 80) -> dict[str, DataFrame]:
-    """Totals, charts, item evidence, focus, actions, forecast and row audit of ``report.month``.
+    """Totals, charts, item evidence, focus, actions, groups of items, forecast and row audit of ``report.month``.
+
+    Summaries have no days: they compare whole months. A month that is not complete is counted and ranked only.
 
     ``sources`` are normalised rows with version_id and source_no. Rows, labels and the dense grid are
     written once, as several later tables read them. ``trees`` is the size of each boosted model (one per origin of the check and one
@@ -78,12 +81,14 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
     found = staged(anomaly.anomalies(measured, report) if not report.check_only else none, "anomalies")
     with_days = evidence.with_anomalies(series, found)
     trends, spikes = evidence.trend4(with_days, report), evidence.spike(with_days, month_items, report)
-    flagged = items.flags(month_items, items.week_change(series, report), out["bands"], found)
+    weekly = items.week_change(series, report)
+    flagged = items.flags(month_items, weekly, out["bands"], found)
+    profile = staged(items.item_profile(grid, report, unknown), "profile")
     focus = evidence.focus(evidence.focus_candidates(ranked, shown, trends, None, found))
     arrays, n = forecast.arrays_of(grid), forecast.calendar_length(report)
     eligible = forecast.eligibility(arrays, n, forecast.report_blocker(report, mapping.record_kind))
     out |= {
-        "profile": items.item_profile(grid, report, unknown),
+        "profile": profile,
         "anomalies": found,
         "anomaly_status": anomaly.anomaly_status(month_items, anomaly.probe_days(measured, report), found),
         "events": evidence.event_value(evidence.events_of(found), daily),
@@ -93,6 +98,12 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
         "actions": evidence.actions(month_items, shown, evidence.daily_signals(trends, spikes), report),
         "eligibility": eligible,
     }
+    out |= dict(zip(("highlights", "overview", "drivers"), items.overview(flagged, shown, focus), strict=True))
+    if not report.check_only:
+        measures = month_items.select("item_id", "amount").join(profile, "item_id").join(weekly.select("item_id", F.col("early_change").alias("change")), "item_id")
+        clusters = customers.item_clusters(measures)
+        if clusters is not None:
+            out |= {"clusters": clusters[0], "cluster_items": clusters[1]}
     if n >= 90 and not report.check_only:
         plan = forecast.Plan.for_days(n)
         tested, boosted, latest = eligible.filter("tested"), None, None
