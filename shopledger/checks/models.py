@@ -106,7 +106,7 @@ def _(spark, d):
     return f.test_support(backtest(spark, d), policy(spark, d))
 
 
-@check("l19_calibration_ranges", """
+RANGES = """
 SELECT stratum, origins, round(radius, 6) AS radius, round(coverage, 6) AS coverage, round(coalesce(held, 0), 6) AS heldout_coverage,
   origins >= 20 AND coverage >= 0.8 AND late <= greatest(1, 1.5 * early) AS range_ok
 FROM (SELECT r.*, (SELECT avg(CASE WHEN abs(chosen_value - actual) <= radius THEN 1.0 ELSE 0 END) FROM picked p WHERE split = 'calibration' AND p.stratum = r.stratum) AS coverage,
@@ -114,12 +114,34 @@ FROM (SELECT r.*, (SELECT avg(CASE WHEN abs(chosen_value - actual) <= radius THE
   FROM (SELECT stratum, count(*) AS origins, quantile_cont(m, 0.9) AS radius, avg(m) FILTER (WHERE rl <= 5) AS late, avg(m) FILTER (WHERE re <= 10) AS early
     FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY origin DESC) AS rl, row_number() OVER (PARTITION BY stratum ORDER BY origin) AS re
       FROM (SELECT stratum, origin, median(abs(chosen_value - actual)) AS m FROM picked WHERE split = 'calibration' GROUP BY ALL)) GROUP BY stratum) r)
-""")
+"""
+
+
+@check("l19_calibration_ranges", RANGES)
 def _(spark, d):
     return f.calibration_ranges(backtest(spark, d), policy(spark, d))
 
 
-@check("l19_publish")
+BLOCKS["npast"] = BLOCKS["past"].replace(", origins GROUP BY", ", (SELECT 912 AS origin) GROUP BY")
+BLOCKS["nbtest"] = BLOCKS["btest"].replace("FROM past)", "FROM npast)")
+_RANGED = "ok AND range_ok AND radius <= greatest(2, q)"
+PUBLISH = f"""
+SELECT item_id, code, CASE WHEN ok THEN method END AS method, stratum, CASE WHEN ok THEN round(q, 3) END AS quantity, CASE WHEN ok THEN round(mae, 3) END AS validation_mae,
+  CASE WHEN ok THEN round(test_mae, 3) END AS test_mae, CASE WHEN {_RANGED} THEN greatest(0, round(q - radius, 3)) END AS lower, CASE WHEN {_RANGED} THEN round(q + radius, 3) END AS upper,
+  '2001-07-01' AS start, '2001-07-07' AS "end"
+FROM (SELECT *, code IS NULL AS ok FROM (SELECT e.item_id, n.method, n.stratum, n.q, h.mae, x.test_mae, g.radius, g.range_ok,
+    CASE WHEN e.code IS NOT NULL THEN e.code WHEN coalesce(h.n, 0) = 0 THEN 'comparison_unavailable' WHEN h.mae > greatest(2, n.four_week_mean * 0.5) THEN 'validation_error' END AS code
+  FROM ({ELIGIBLE.replace("{grid}", "fgrid")}) e
+  LEFT JOIN (SELECT *, CASE method WHEN 'last_week' THEN last_week WHEN 'four_week_mean' THEN four_week_mean WHEN 'exponential_smoothing' THEN exponential_smoothing ELSE croston_sba END AS q
+    FROM (SELECT b.*, coalesce(p.selected, (SELECT selected FROM policy WHERE stratum = 'all')) AS method FROM nbtest b LEFT JOIN policy p ON p.stratum = b.stratum)) n ON n.item_id = e.item_id
+  LEFT JOIN (SELECT item_id, method, avg(off) FILTER (WHERE split = 'validation') AS mae, count(*) FILTER (WHERE split = 'validation') AS n FROM errs WHERE split IN ('validation', 'test') GROUP BY ALL) h
+    ON h.item_id = e.item_id AND h.method = n.method
+  LEFT JOIN (SELECT item_id, avg(abs(chosen_value - actual)) AS test_mae FROM picked WHERE split = 'test' GROUP BY 1) x ON x.item_id = e.item_id
+  LEFT JOIN ({RANGES.replace("round(radius, 6)", "radius")}) g ON g.stratum = n.stratum))
+"""
+
+
+@check("l19_publish", PUBLISH)
 def _(spark, d):
     return f.publish(backtest(spark, d), policy(spark, d), arrays(spark, d), eligible(spark, d), FORECAST)
 
@@ -711,21 +733,21 @@ def _(spark, d):
     return r.combine(sales.unionByName(pairs).unionByName(follow))
 
 
-@check("k05_stock_reference", """
-SELECT item_id, '2001-07-01' AS start, '2001-07-07' AS "end", CAST(q AS DOUBLE) AS quantity, ceil(greatest(0, q + reserve - available - incoming) / pack) * pack AS suggested_quantity
-FROM (SELECT i.item_id, CAST(i.quantity AS DECIMAL(18,2)) AS q, 5 AS reserve, CAST(length(i.item_id) AS INTEGER) * 10 AS available, 2 AS incoming, CAST(2.5 AS DECIMAL(18,6)) AS pack FROM items i
-  WHERE item_type NOT IN ('fee_service', 'accounting'))
+@check("k05_stock_reference", f"""
+SELECT item_id, start, "end", quantity, ceil(greatest(0, q + 5 - available - 2) / 2.5) * 2.5 AS suggested_quantity
+FROM (SELECT f.*, CAST(f.quantity AS DECIMAL(18,6)) AS q, CAST(length(f.item_id) AS INTEGER) * 3 AS available FROM ({PUBLISH}) f LEFT JOIN items i ON i.item_id = f.item_id
+  WHERE f.quantity IS NOT NULL AND coalesce(i.item_type, 'unknown') NOT IN ('fee_service', 'accounting'))
 """)
 def _(spark, d):
-    """Month quantities stand for the forecast; stock figures follow from the item's id."""
-    items = month_items(spark, d)
-    forecast = items.select("item_id", "quantity", F.lit(date(2001, 7, 1)).alias("start"), F.lit(date(2001, 7, 7)).alias("end"))
-    stock = items.select(
-        "item_id", F.lit(date(2001, 7, 1)).alias("snapshot_date"), F.lit(5.0).alias("reserve"), (F.length("item_id") * 10.0).alias("available"),
+    """The published forecast; stock figures follow from the item's id."""
+    own = arrays(spark, d)
+    forecast = f.publish(backtest(spark, d), policy(spark, d), own, eligible(spark, d), FORECAST)
+    stock = own.select(
+        "item_id", F.lit(date(2001, 7, 1)).alias("snapshot_date"), F.lit(5.0).alias("reserve"), (F.length("item_id") * 3.0).alias("available"),
         F.lit(2.0).alias("incoming"), F.lit(date(2001, 7, 3)).alias("arrival_date"), F.lit(2.5).alias("pack_size"),
         F.lit(True).alias("confirmed"), F.lit(True).alias("physical_confirmed"),
     )
-    return r.stock_reference(forecast, stock, items)
+    return r.stock_reference(forecast.select("item_id", "quantity", "start", "end"), stock, month_items(spark, d))
 
 
 @check("j13_with_stock", "SELECT o_orderkey AS item_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start FROM orders WHERE o_orderkey % 2 = 0")
