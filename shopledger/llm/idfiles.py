@@ -10,7 +10,8 @@ Reading one short document costs the index and one frame. ``manifest`` (a Parque
 the files in order with their counts, so that the position of any document in the whole stream is known.
 
 Texts are split at spaces and line feeds before encoding: the vocabulary's pattern never lets a token span white
-space, so every distinct word is encoded once per worker.
+space, so words are encoded once and kept, as many as fit a table. A vocabulary that does not give the same ids for probing texts in this way is
+run over whole texts.
 
 Null or empty texts encode to the end id alone. Repeated rows are written as often as they occur. Other columns
 are not read. An empty table gives no file and an empty manifest. Tasks write to a name of their own and then
@@ -37,8 +38,14 @@ from .common import WordTable, fresh_path
 
 FOOTER = "<QQ32s"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, dictionary string"
-#: Rows the dictionary is trained on at most (those of the smallest hash) and its size; both are parameters below.
-TRAINING_ROWS, DICTIONARY_BYTES = 2_000, 64 << 10
+#: Documents the dictionary is trained on at most (those of the smallest hash), and its size; both are parameters below. Of a longer document
+#: that many ids are taken, from a place its hash decides.
+TRAINING_ROWS, DICTIONARY_BYTES, TRAINING_IDS = 2_000, 64 << 10, 8_192
+#: Words and parts of words that a worker keeps.
+KEPT_WORDS = 300_000
+#: Symbols that end a word are one piece to the vocabulary's pattern. Apostrophes and the signs of control tokens are not among them.
+SYMBOLS = ".,!?;:#$%&*()\"-/@+=[]{}~^_`\\"
+PROBES = ("Hello, World's 12.5 caf\u00e9!! na\u00efve\n\n x.y $$$ a$b&&& it's... I'LL (see) [1] don't-stop, \u6f22\u5b57 \u00df\u0130, 3rd%%%", "", "  two  spaces ", "end<|endoftext|>!! a_b__ -- \u2026")
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,7 +58,7 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """text -> little-endian uint32 ids as bytes, with the end id; for lists of texts. One per worker.
 
-    The library's pipeline is run word by word. Full stops and commas at the end of a letter are tokens of their own for the
+    The library's pipeline is run word by word. Symbols behind a letter are a piece of their own for the
     vocabulary's pattern; a word of composed Latin letters alone is one piece to it, which its model encodes directly.
     """
 
@@ -65,7 +72,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.cores, self.words = WordTable(self.encode_core, limit=150_000), WordTable(self.encode_word)
+        self.cores, self.words = WordTable(self.encode_core, limit=KEPT_WORDS), WordTable(self.encode_word, limit=KEPT_WORDS)
+        self.by_word = all(self.joined(t) == self.whole(t) for t in PROBES)
 
     def encode_core(self, w: str) -> bytes:
         if w.isascii() and w.isalpha():
@@ -77,16 +85,22 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_word(self, w: str) -> bytes:
-        core = w.rstrip(".,")
+        core = w.rstrip(SYMBOLS)
         if not core[-1:].lower().isalpha():
             return self.encode_core(w)
         known = self.cores[core.lower() if core.isascii() else core]
         return known if len(core) == len(w) else known + self.cores[w[len(core) :]]
 
+    def joined(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self.words
+        encode = self.joined if self.by_word else self.whole
         for t in texts:
-            yield b"".join([known[w] for w in (t or "").replace("\n", " ").split(" ")]) + self.end
+            yield encode(t or "") + self.end
 
 
 @functools.lru_cache(maxsize=2)
@@ -101,17 +115,29 @@ def open_folder(uri: str):
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, rows: int = TRAINING_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the id arrays of at most ``rows`` documents; empty if they are too few to train on.
+    """A zstandard dictionary from serialized id arrays of at most ``rows`` documents, encoded in tasks; empty if they are too few to train on.
 
-    Texts of the sample are cut for training alone; what is written never is.
+    A document longer than TRAINING_IDS gives that many ids, from a place its hash decides. Only the compression depends on this; what is written is whole.
     """
     import zstandard
 
     drawn = F.xxhash64(F.lit("dictionary"), "doc_id")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, most = word_encoder(tokenizer_path, end_id), 4 * TRAINING_IDS
+        for b in batches:
+            out = []
+            for h, ids in zip(b.column(0).to_pylist(), run(b.column(1).to_pylist()), strict=True):
+                start = 4 * (h % max(1, (len(ids) - most) // 4 + 1)) if len(ids) > most else 0
+                out.append(ids[start : start + most])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["h", "ids"])
+
     # hashes alone are sorted; the texts of the smallest follow in a second step
     most = docs.select(drawn.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
-    texts = [r.text for r in docs.filter(drawn <= most).select(F.substring("text", 1, 8_000).alias("text")).limit(rows).collect()] if most is not None else []
-    samples = list(word_encoder(tokenizer_path, end_id)(texts))
+    if most is None:
+        return b""
+    chosen = docs.filter(drawn <= most).select(drawn.alias("h"), "text").mapInArrow(encode, "h long, ids binary")
+    samples = [r.ids for r in chosen.orderBy("h", "ids").limit(rows).collect()]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -182,7 +208,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, ro
         f.write(dictionary.value)
     encoded = docs.mapInArrow(encode, "shard int, doc_id long, n_tokens long, crc long, frame binary")
     # each file belongs to one task; a task keeps no more than one batch and the index of the open file
-    placed = encoded.repartition(files, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "crc").drop("crc")
+    placed = encoded.repartitionById(files, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "crc").drop("crc")
     placed.mapInPandas(put, MANIFEST).write.parquet(f"{folder}/manifest")
     listed = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # one row a file
