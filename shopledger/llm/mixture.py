@@ -154,6 +154,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float
 def repeated(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` as often as ``mix`` (from ``mixed``) takes them; only the key and the copies meet the texts. Rows without a key stay once."""
     times = mix.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("copies").alias("__copies"))
-    met = docs.join(written(times, "mixture-copies"), key, "left")
+    # the table of copies grows with the documents: a sort-merge join at every size, never a broadcast
+    met = docs.join(written(times, "mixture-copies").hint("merge"), key, "left")
     copies = F.when(F.col(key).isNull(), F.lit(1)).otherwise(F.coalesce("__copies", F.lit(0)))
     return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,6 +12,9 @@ are tested against the smallest of them first; subtrees of a single component ar
 record of every other component, and at last all pairs between components that no test has refuted. So no link between different
 components is lost, and a large group of copies costs about one test per member.
 
+The dealt trie is replaced by a prefix filter: postings of the first n-grams take the place of stored nodes, and no overlap is carried along
+shared paths.
+
 Global order: an n-gram's frequency class comes from counts over all documents; a task reports those that ``LOCAL`` of its documents have, and the classes decide speed only, never
 a result. Sets are compared by 64-bit hashes.
 
@@ -387,4 +390,5 @@ def joined(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with the smallest document of every component; rows without doc_id stay."""
     others = joined(docs).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(key))
-    return docs.join(written(others, "near-copies"), key, "left_anti")
+    # the list of copies grows with the documents: a sort-merge join at every size, never a broadcast
+    return docs.join(written(others, "near-copies").hint("merge"), key, "left_anti")
