@@ -17,8 +17,10 @@ never closes loses only its tag. Rows are handled one by one, so repeated rows r
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,27 +41,109 @@ FLOW_COST, LEAST_COST, MARKED_COST = 3.0, 0.01, 20.0
 #: Labelled pages counted at most (those of the smallest hash), and pages a tag must be on for a weight of its own.
 LABELLED_PAGES, LEAST_PAGES = 2_000, 3
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?([a-zA-Z][a-zA-Z0-9:-]*))")
+_RAW = frozenset(RAW.split("|"))
+_ENDING = re.compile("[\"'>]")
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+class Endings:
+    """Where tags end: at the first ``>`` outside quotes. Worked out once per page from its end, so that tags that never end cost nothing more."""
+
+    def __init__(self, page: str):
+        self.places, kinds = [], []
+        for m in _ENDING.finditer(page):
+            self.places.append(m.start())
+            kinds.append(m[0])
+        # per quote or bracket, the end of a tag that reaches it outside quotes
+        self.ends, quote = [-1] * (len(kinds) + 1), {'"': -1, "'": -1}
+        for k in range(len(kinds) - 1, -1, -1):
+            if kinds[k] == ">":
+                self.ends[k] = self.places[k]
+            else:
+                partner = quote[kinds[k]]
+                self.ends[k] = self.ends[partner + 1] if partner >= 0 else -1
+                quote[kinds[k]] = k
+
+    def of(self, at: int) -> int:
+        """The closing bracket of a tag whose name ends at ``at``; -1 if there is none."""
+        return self.ends[bisect_left(self.places, at)]
+
+
 def tokens(page: str) -> list[tuple]:
-    """("text", raw text), ("tag", name, closing?, words of class and id) and ("gap",) for what holds no text, in page order."""
-    out, at = [], 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            out.append(("text", page[at : m.start()]))
-        at = m.end()
-        if m[3]:
-            named = _NAMED.findall(m[4]) if "=" in m[4] else ()
-            out.append(("tag", m[3].lower(), bool(m[2]), frozenset(w for n in named for w in re.split(r"[^a-z0-9]+", "".join(n).lower()) if w)))
-        elif m[1]:
-            out.append(("gap",))
-    if at < len(page):
-        out.append(("text", page[at:]))
+    """("text", raw text), ("tag", name, closing?, words of class and id) and ("gap",) for what holds no text, in page order.
+
+    One pass forward: a bracket that opens nothing is text, and nothing behind it is looked at twice, so malformed pages take time in proportion to
+    their length too. A comment, or an element of raw content, that never closes reaches to the end of the page.
+    """
+    out, at, seek, endings = [], 0, 0, None
+    absent: set[str] = set()  # closing strings that do not occur any more
+
+    def found(what: str, start: int) -> int:
+        if what in absent:
+            return -1
+        k = page.find(what, start)
+        if k < 0:
+            absent.add(what)
+        return k
+
+    def text(until: int) -> None:
+        if until > at:
+            out.append(("text", page[at:until]))
+
+    while m := _OPEN.search(page, seek):
+        here, name = m.start(), (m[1] or "").lower()
+        if not name:
+            if m[0] == "<!--":
+                end = found("-->", m.end())
+                end = len(page) if end < 0 else end + 3
+            else:
+                end = found("]]>", m.end()) + 3 if m[0] == "<![CDATA[" else 2
+                if end == 2:
+                    end = found(">", here + 2) + 1
+            if end <= 0:
+                seek = m.end()
+                continue
+            text(here)
+            at = seek = end
+            continue
+        opens = m[0][1] != "/"
+        if opens and name in _RAW:
+            close = found(">", m.end())
+            if close >= 0:
+                text(here)
+                out.append(("gap",))
+                end = raw_end(page, name, close + 1, absent)
+                at = seek = end
+                continue
+        endings = endings or Endings(page)
+        close = endings.of(m.end())
+        if close < 0:
+            seek = m.end()
+            continue
+        text(here)
+        rest = page[m.end() : close]
+        named = _NAMED.findall(rest) if "=" in rest else ()
+        out.append(("tag", name, not opens, frozenset(w for n in named for w in re.split(r"[^a-z0-9]+", "".join(n).lower()) if w)))
+        at = seek = close + 1
+    text(len(page))
     return out
 
 
+@functools.cache
+def _raw_close(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def raw_end(page: str, name: str, start: int, absent: set[str]) -> int:
+    """Behind the closing tag of an element of raw content; the page's end if it has none."""
+    m = None if "</" + name in absent else _raw_close(name).search(page, start)
+    if m is None:
+        absent.add("</" + name)
+        return len(page)
+    return m.end()
+
+
 def closings(tokens_: list[tuple]) -> dict[int, int]:
     """Place of the closing tag per place of an opening one; without those that never close."""
     open_, out = {}, {}

@@ -1,5 +1,6 @@
 """Quality rules, SentencePiece Viterbi and token-id files against plain versions."""
 
+import time
 import zlib
 
 import numpy as np
@@ -157,3 +158,49 @@ def test_bands_decide_on_short_long_and_copied_texts(spark):
     assert kept[-4] and not kept[-5]
     # copies change no verdict
     assert {i: k for i, k in out["copied"].items() if i > -10} == kept and not out["copied"][-10]
+
+
+@pytest.mark.parametrize("piece", ['<div class="a ', "<a x ", "<![CDATA[ ", "<p 'x", "<!-- ", "<script ", "<", "</", '<b a="', "<!x "])
+def test_malformed_pages_take_linear_time(piece):
+    from shopledger.llm import mainsegment
+
+    def seconds(times):
+        page = piece * times
+        began = time.perf_counter()
+        mainsegment.tokens(page)
+        return time.perf_counter() - began
+
+    # fifty times the page; a square would be 2,500 times the seconds
+    assert seconds(100_000) < 200 * max(seconds(2_000), 0.002)
+
+
+def test_tags_end_outside_quotes():
+    from shopledger.llm.mainsegment import tokens
+
+    names = [t[1] if t[0] == "tag" else t[0] for t in tokens("a<p title='>' x=\">\">b</p><em>e</em><!-- > --><script>x</p></script>f<style>g")]
+    assert names == ["text", "p", "text", "p", "em", "text", "em", "gap", "gap", "text", "gap"]
+    assert tokens("<p") == [("text", "<p")] and tokens("x < y") == [("text", "x < y")] and tokens("") == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aZé'st.,!?$%&*()|#-_ \n1ß…\"<>", max_size=24))
+def test_symbols_behind_words_are_pieces_of_their_own(text):
+    assert list(idfiles.word_encoder(WORDS, 2)([text])) == [x.tobytes() for x in whole_text_ids([text])]
+
+
+def test_another_vocabulary_is_run_over_whole_texts():
+    from tokenizers import Tokenizer
+
+    path, texts = P.path("byte_bpe_50k.json"), ["Hello, World\n two  spaces", "it's $$$", None]
+    encoder = idfiles.WordEncoder(path, 2)
+    want = [np.array([*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert not encoder.by_word and list(encoder(texts)) == want
+
+
+def test_the_dictionary_is_trained_on_any_part_of_documents(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(idfiles, "TRAINING_IDS", 50)
+    docs = table(spark, SMALL, "documents")
+    one, two = (idfiles.train_dictionary(docs.repartition(k), WORDS, 2, rows=100, size=2_000) for k in (1, 5))
+    assert one == two and len(one) > 0
+    assert idfiles.train_dictionary(docs.limit(0), WORDS, 2) == b""
