@@ -44,7 +44,9 @@ def test_fertility_measures(spark):
 
 def test_bands_catch_foreign_junk_and_keep_clean_rows(spark):
     ship(spark)
-    clean = table(spark, SMALL, "documents").filter("lang = 'en' and n_chars between 300 and 3000")
+    # rows labelled as junk are not among the clean ones
+    bad = table(spark, SMALL, "labels").filter("quality = 0").select("doc_id")
+    clean = table(spark, SMALL, "documents").filter("lang = 'en' and n_chars between 300 and 3000").join(bad, "doc_id", "left_anti")
     junk = spark.createDataFrame([(-1, " ".join(f"䷀{chr(0x4DC0 + k % 60)}漢{k}" for k in range(100)), "en")], "doc_id long, text string, lang string")
     rows = clean.select("doc_id", "text", "lang").union(junk).withColumn("facts", fertility.facts(F.col("text"), PIECES)).cache()
     out = {r.doc_id: r for r in fertility.judged(rows, "facts").collect()}
@@ -178,7 +180,7 @@ def test_tags_end_outside_quotes():
     from shopledger.llm.mainsegment import tokens
 
     names = [t[1] if t[0] == "tag" else t[0] for t in tokens("a<p title='>' x=\">\">b</p><em>e</em><!-- > --><script>x</p></script>f<style>g")]
-    assert names == ["text", "p", "text", "p", "em", "text", "em", "gap", "gap", "text", "gap"]
+    assert names == ["text", "p", "text", "p", "em", "text", "em", "gap", "text", "gap"]
     assert tokens("<p") == [("text", "<p")] and tokens("x < y") == [("text", "x < y")] and tokens("") == []
 
 
