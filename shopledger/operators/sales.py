@@ -97,11 +97,14 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return mark_repeats(rows, content, list(ROW_ORDER), "duplicate_candidate")
 
 
-def label(rows: DataFrame, mapping: Mapping, report: Report) -> DataFrame:
-    """Give every row its one reason. Later rules override earlier ones."""
+def label(rows: DataFrame, mapping: Mapping, report: Report, ranges: DataFrame | None = None) -> DataFrame:
+    """Give every row its one reason. Later rules override earlier ones.
+
+    ``ranges`` (see source_ranges) are given where ``rows`` are only some of the sources' rows.
+    """
     marked = duplicates(rows)
     if report.merge_mode == "replace_overlap":
-        marked = tag_replaced(marked, source_ranges(rows))
+        marked = tag_replaced(marked, source_ranges(rows) if ranges is None else ranges)
     else:
         marked = marked.withColumn("replaced", F.lit(False))
     conflicts = order_conflicts(rows, mapping, report)
