@@ -576,6 +576,22 @@ def groups(spark, d):
 _GROUPS: dict = {}
 
 
+@check("l10_silhouette", """
+SELECT * FROM (WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_nationkey % 5 AS cl, CAST(c_acctbal AS DOUBLE) / 1000 AS x, CAST(c_nationkey % 7 AS DOUBLE) AS y FROM customer
+    ORDER BY substr(md5(c_custkey || ':42'), 1, 15) LIMIT 2000),
+  d AS (SELECT a.id, a.cl = b.cl AS own, b.cl, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS t, count(*) AS n FROM s a CROSS JOIN s b GROUP BY ALL),
+  p AS (SELECT id, max(t / nullif(n - 1, 0)) FILTER (WHERE own) AS inside, min(t / n) FILTER (WHERE NOT own) AS outside FROM d GROUP BY id)
+SELECT 5 AS k, round(avg(coalesce((outside - inside) / nullif(greatest(inside, outside), 0), 0)), 6) AS silhouette FROM p)
+""")
+def _(spark, d):
+    """Customers by the fifth part of nations, on two plain measures."""
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("customer_id"), F.lit(5).alias("k"), (F.col("c_nationkey") % 5).cast("int").alias("cluster"),
+        (F.col("c_acctbal").cast("double") / 1000).alias("x"), (F.col("c_nationkey") % 7).cast("double").alias("y"),
+    )
+    return c.silhouette(rows, "customer_id", ["x", "y"], 42)
+
+
 @check("l12_choose_k")
 def _(spark, d):
     return groups(spark, d)[0]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Analysis
+from ..functions.draws import draw
 from ..functions.money import PRODUCT
 from ..functions.spread import exact_quantiles
 from ..sources.stage import staged
@@ -256,8 +257,8 @@ def ari(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def silhouette(labelled: DataFrame, key: str, columns: Sequence[str], seed: int, n: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """Mean Euclidean silhouette per k on at most n hashed customers, the same ones for each k."""
-    ranked = labelled.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(key, F.lit(seed)), key)))
+    """Mean Euclidean silhouette per k on at most n customers (those of the smallest draws), the same ones for each k."""
+    ranked = labelled.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy(draw(key, seed=seed), key)))
     sample = ranked.filter(F.col("_r") <= n).select("k", "cluster", *columns)
 
     def score(group: pd.DataFrame) -> pd.DataFrame:

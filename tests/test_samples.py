@@ -102,3 +102,23 @@ def test_draws_are_digits_of_md5(spark):
     got = spark.createDataFrame([("a", 7), (None, 8)], "x string, y int").select(draws.draw("x", "y", seed=3).alias("d")).collect()
     assert [r.d for r in got] == [int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in ("a:7:3", "8:3")]
     assert abs(np.mean([draws.poisson_weights(str(i), 50, 1).mean() for i in range(200)]) - 1) < 0.05
+
+
+def test_popular_lists_and_triples_do_not_need_broadcasts(spark, monkeypatch):
+    pairs = spark.createDataFrame([(f"o{o}", f"i{i:02}") for o in range(60) for i in range(12) if (o * i + o + i) % 3], "order_id string, item_id string").cache()
+    popular, settings = baskets.popularity(pairs), Analysis(min_support=0.05, min_count=3)
+    lists = sorted(map(tuple, baskets.popular_for(pairs, popular).collect()))
+    sets = sorted((tuple(r["items"]), r.n) for r in baskets.itemsets(pairs, 60, settings).collect())
+    monkeypatch.setattr(baskets, "SHIPPED_RANKS", 0)
+    monkeypatch.setattr(baskets, "SHIPPED_PAIRS", 0)
+    assert sorted(map(tuple, baskets.popular_for(pairs, popular).collect())) == lists
+    assert sorted((tuple(r["items"]), r.n) for r in baskets.itemsets(pairs, 60, settings).collect()) == sets
+    held = {}
+    for r in pairs.collect():
+        held.setdefault(r.order_id, set()).add(r.item_id)
+    counts = {s: sum(set(s) <= b for b in held.values()) for s, _ in sets}
+    assert counts == dict(sets) and any(len(s) == 3 for s in counts)
+    ranks = {r.item_id: -r.orders for r in popular.collect()}
+    for o, b in held.items():
+        want = sorted((i for i in ranks if i not in b), key=lambda i: (ranks[i], i))[:5]
+        assert [i for x, i, _ in sorted(lists, key=lambda t: t[2]) if x == o] == want
