@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -14,12 +14,15 @@ from ..operators import evidence as e
 from ..operators import forecast as f
 from ..operators import items as i
 from ..operators import recommend as r
+from ..plans.monthly import monthly_report
+from ..plans.steps import next_steps
 from ..sources.readers import weekly_long
+from ..sources.stage import fresh_path as scratch
 from .months import MOVES, actions_sql, effects, month_items
 from .registry import check
 from .rows import MERCH, WEEKLY_SQL, WEEKS, weekly_wide
 from .sql import BLOCKS
-from .tables import FORECAST, REPORT, forecast_grid, grid, order_items, order_times, regular_times, stored, table
+from .tables import FORECAST, REPORT, forecast_grid, grid, mapping, order_items, order_times, regular_times, source_rows, stored, table
 
 DAYS = f.calendar_length(FORECAST)
 PLAN = f.Plan.for_days(DAYS)
@@ -773,3 +776,36 @@ def _(spark, d):
     return r.with_stock(orders, stock).select("item_id", "start")
 
 
+
+
+def own_steps(spark, d):
+    """The whole way of the shared report: month, admitted orders, both analyses, their runs, next steps."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STEPS:
+        rows = source_rows(spark, d)
+        parts = [(rows.filter(F.col("version_id") == v), mapping()) for v in ("v1", "v2")]
+        month = monthly_report(parts, FORECAST, trees=0)
+        _STEPS[key] = next_steps(month, [mapping(), mapping()], FORECAST, scratch(spark, "runs"), datetime(2001, 7, 1), Analysis(min_confidence=0.1, k_max=4, n_init=3))
+    return _STEPS[key]
+
+
+_STEPS: dict = {}
+
+
+@check("k01_runs_of_the_report")
+def _(spark, d):
+    """The runs that the plan entered in its ledger and that the guard lets join the report."""
+    return own_steps(spark, d)["runs"].drop("run_id", "version_id", "mapping_revision")
+
+
+@check("k04_steps_of_the_report")
+def _(spark, d):
+    return own_steps(spark, d)["steps"]
+
+
+@check("j09_admitted_rows", """
+SELECT version_id, source_row_id, CASE WHEN reason = 'order_conflict' THEN 'unknown' ELSE record_status END AS record_status FROM lab
+WHERE reason NOT IN ('outside_scope', 'replaced_range', 'duplicate_removed')
+""")
+def _(spark, d):
+    return own_steps(spark, d)["admitted"].select("version_id", "source_row_id", "record_status")
