@@ -11,7 +11,7 @@ gives no rows. ``placed`` reads only the columns it names, so other columns cann
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranked, source_key, unit
@@ -39,7 +39,29 @@ def sharded(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFrame:
     return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+#: What tells a document's place apart: id, source, size and checksum. Rows that agree in all of them are interchangeable.
+MATCH = ["__null", "__id", "__nosource", "__source", "__size", "__crc"]
+
+
+def numbered(rows: DataFrame, order: list[str], label: str) -> DataFrame:
+    """``rows`` with a number among those that agree in MATCH, so that repeated rows find a place each."""
+    return ranked(rows, MATCH, order, label).withColumnRenamed("_rank", "__copy").drop("_n")
+
+
+def matching(doc_id: Column, source: Column, size: Column, crc: Column) -> list[Column]:
+    values = doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), source.isNull(), F.coalesce(source, F.lit("")), size, crc
+    return [v.alias(name) for v, name in zip(values, MATCH, strict=True)]
+
+
 def write(docs: DataFrame, places: DataFrame, folder: str) -> None:
-    """Store the documents below ``folder`` by shard, each shard in slot order; documents are matched by doc_id."""
-    whole = docs.join(places.select("doc_id", "shard", "slot"), "doc_id")
-    whole.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    """Store the documents below ``folder`` by shard, each shard's files in slot order; ``places`` come from ``sharded``.
+
+    Rows are matched one to one, null and repeated ids included. A large shard is several files, by ranges of its slots.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = matching(F.col("doc_id"), F.col("source"), (F.octet_length(text) + 16).cast("long"), F.crc32(text.cast("binary")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *own, F.monotonically_increasing_id().alias("__n"))
+    there = places.select("shard", "slot", *matching(*[F.col(c) for c in ("doc_id", "source", "size", "text_crc32")]))
+    met = numbered(rows, ["__n"], "shards-rows").join(numbered(there, ["shard", "slot"], "shards-places").hint("merge"), [*MATCH, "__copy"])
+    whole = met.select(F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), "__row").repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    whole.select("__row.*", F.col("__slot").alias("slot"), F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(folder)

@@ -90,6 +90,20 @@ def test_sharding(docs):
     assert sharding.sharded(docs.limit(0), 4).count() == 0
 
 
+def test_shards_hold_every_row_once(spark, docs, tmp_path):
+    own = docs.drop("shard", "slot").unionByName(docs.drop("shard", "slot").limit(3).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.drop("shard", "slot").filter("doc_id = 5")).cache()
+    places = sharding.sharded(own, 4)
+    sharding.write(own, places, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    want = sorted(map(str, own.collect()))
+    assert sorted(map(str, back.select(*own.columns).collect())) == want
+    assert sorted((r.shard, r.slot, r.doc_id) for r in back.collect() if r.doc_id is not None) == sorted((r.shard, r.slot, r.doc_id) for r in places.collect() if r.doc_id is not None)
+    held = {}
+    for r in back.collect():
+        held.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in held.values()) and set(held) == {0, 1, 2, 3}
+
+
 def test_secrets(spark, docs):
     model = secretscan.fit(secretscan.practice(spark))
     out = secretscan.masked(docs, model)
