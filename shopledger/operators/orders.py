@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import LINE_MODES, Mapping, Policy, Scope
 from ..functions.money import PRODUCT, money, multiply
-from ..functions.spread import any_of, attach, mark_repeats
+from ..functions.spread import any_of, attach, mark_repeats, repeated, row_text, sifted
+from ..sources.stage import staged
 from .normalize import primary_reason, tags
 
 CONFLICT_FIELDS = ("customer_id", "event_time", "currency")
@@ -28,6 +29,26 @@ def raw_duplicates(raw: DataFrame, row_id: str = "source_row_id", order=("source
     return mark_repeats(raw, [c for c in raw.columns if c != row_id], list(order), "duplicate_candidate")
 
 
+def with_print(raw: DataFrame, row_id: str = "source_row_id") -> DataFrame:
+    """Raw rows with a print of their content: copies have the same ``_print``, whatever their id."""
+    return raw.withColumn("_print", F.unhex(F.md5(row_text([c for c in raw.columns if c != row_id]))))
+
+
+def pair_printed(rows: DataFrame) -> DataFrame:
+    """Rows that carry the print of their raw row (see with_print), with its duplicate mark; as if joined to the marks on the row id.
+
+    Only rows that may share a print or an id are moved and stored; the others have no copy and are marked where they are read.
+    """
+    copies, same = (staged(repeated(rows, [c]), "sieve") for c in ("_print", "source_row_id"))
+    parted = sifted(sifted(rows, copies, ["_print"], "_copied"), same, ["source_row_id"], "_again")
+    odd = F.col("_copied") | F.col("_again")
+    few = staged(parted.filter(odd).drop("_copied", "_again"), "odd-rows")
+    marks = raw_duplicates(few.select("source_row_id", "_print")).select("source_row_id", "duplicate_candidate")
+    alone = parted.filter(~odd & F.col("source_row_id").isNotNull()).drop("_copied", "_again")
+    paired = staged(few.join(marks, "source_row_id"), "paired-rows")
+    return paired.unionByName(alone.withColumn("duplicate_candidate", F.lit(False))).drop("_print")
+
+
 def pair_raw(canonical: DataFrame, raw: DataFrame) -> DataFrame:
     """Canonical rows with their raw row's duplicate mark, one to one on the row id; a row that only one side has is an error."""
     marks = raw_duplicates(raw).select("source_row_id", "duplicate_candidate")
@@ -108,6 +129,7 @@ def order_state(rows: DataFrame, mapping: Mapping, policy: Policy, scope: Scope
         "_unscoped": primary_reason(policy, Scope(), F.lit(False)) == "included",
         "_selected": primary_reason(policy, scope, F.lit(False)) == "included",
         "_broken": any_of(has(t) for t in ("missing_item", "invalid_quantity", "unknown_status")),
+        "_bad_total": has("invalid_order_amount"),
     })
     kept = lambda c: F.when(F.col("_kept"), c)
     chosen = lambda c: F.when(F.col("_selected"), c)
@@ -124,7 +146,7 @@ def order_state(rows: DataFrame, mapping: Mapping, policy: Policy, scope: Scope
         F.coalesce(
             F.min(kept(F.col("order_amount"))) != F.max(kept(F.col("order_amount"))), F.lit(False)
         ).alias("total_conflict"),
-        F.bool_or(F.col("_kept") & has("invalid_order_amount")).alias("total_invalid"),
+        F.bool_or(F.col("_kept") & F.col("_bad_total")).alias("total_invalid"),
         F.bool_or(F.col("_kept") & F.col("_differs")).alias("lines_differ"),
         F.coalesce(F.bool_and(kept(F.col("_good"))), F.lit(True)).alias("lines_complete"),
         F.coalesce(F.sum(kept(F.when(F.col("_good"), F.col("_value")))), F.lit(0)).alias("line_sum"),
@@ -214,7 +236,8 @@ def complete_customers(orders: DataFrame) -> DataFrame:
 
 
 def resolve_orders(rows: DataFrame, mapping: Mapping, policy: Policy, scope: Scope = Scope()) -> DataFrame:
-    return complete_customers(finalize_orders(order_state(rows, mapping, policy, scope), mapping, policy))
+    orders = staged(finalize_orders(order_state(rows, mapping, policy, scope), mapping, policy), "order-states")  # read twice
+    return complete_customers(orders)
 
 
 def selected(orders: DataFrame) -> DataFrame:

@@ -17,15 +17,15 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
 
     Summaries have no days: they compare whole months. A month that is not complete is counted and ranked only.
 
-    ``sources`` are normalised rows with version_id and source_no. Rows, labels and the dense grid are
-    written once, as several later tables read them. ``trees`` is the size of each boosted model (one per origin of the check and one
+    ``sources`` are normalised rows with version_id and source_no. Rows and the dense grid are
+    written once, as several later tables read them; labels are added where rows are read. ``trees`` is the size of each boosted model (one per origin of the check and one
     for publication); 0 leaves that method out.
     """
     rows = staged(sales.append(sources), "source-rows")
     mapping = sources[-1][1]
     if report.merge_mode == "append":
         sales.check_append(sales.source_ranges(rows))
-    labelled = staged(sales.label(rows, mapping, report), "labelled")
+    labelled = sales.label(rows, mapping, report)
     sales.check_currency(labelled, mapping)
     daily = staged(sales.daily_fact(labelled, mapping), "daily")
     monthly = mapping.record_kind == "monthly_summary"
