@@ -1,13 +1,16 @@
 """Rows that may have a copy, share an id or belong to a conflicting order are set apart; all others stay where they are."""
 
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shopledger.checks import tables
 from shopledger.config import Report
 from shopledger.functions import spread
-from shopledger.operators import orders, sales
+from shopledger.functions.times import parse_time
+from shopledger.operators import customers, orders, sales
 
 LINE = "version_id string, source_no int, source_row_id string, order_id string, item_id string, customer_id string, quantity decimal(18,6), day date"
 TEXTS = ["item_name", "quantity_text", "unit_price_text", "line_amount_text", "order_amount_text", "currency", "country", "category", "item_type"]
@@ -75,3 +78,24 @@ def test_pairing_builds_the_raw_view_once(spark, monkeypatch):
     monkeypatch.setattr(tables, "_STORED", {})
     assert tables.paired(spark, "/root/testdata/sf0.001").count() > 6000
     assert len(calls) == 1
+
+
+def test_nearest_centres_need_no_table_of_all_gaps():
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(100_000, 3)), rng.normal(size=(48, 3))
+    centres[40] = centres[2]  # the first of equal centres is named
+    tracemalloc.start()
+    label, least = customers._nearest(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gaps = ((x[:2000, None, :] - centres[None]) ** 2).sum(2)
+    assert (label[:2000] == gaps.argmin(1)).all() and (least[:2000] == gaps.min(1)).all()
+    assert peak < 20e6
+
+
+def test_clock_changes_are_checked_in_generated_code(spark):
+    walls = ["2001-03-25 01:30:00", "2001-10-28 01:30:00", "2001-10-28 02:00:00", "2001-07-01 12:00:00", "not a time", None]
+    rows = spark.createDataFrame([(w,) for w in walls], "w string")
+    parsed = rows.select(parse_time(F.col("w"), "%Y-%m-%d %H:%M:%S", "Europe/London").cast("string").alias("t"))
+    assert [r.t for r in parsed.collect()] == [None, None, "2001-10-28 02:00:00", "2001-07-01 11:00:00", None, None]
+    assert "lambda" not in parsed._jdf.queryExecution().optimizedPlan().toString()
