@@ -81,6 +81,24 @@ def test_search_ties_and_unusable_vectors(spark):
     assert onebit.nearest(v.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_search_hands_over_k_rows_a_slice(spark, monkeypatch):
+    """However many blocks a slice has, a query leaves it with its best k: rows handed over grow with the queries, not with the vectors."""
+    ship(spark)
+    x = np.random.default_rng(8).standard_normal((3 * onebit.BLOCK_ROWS, 8)).astype(np.float32).astype(float)
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    handed, search = [], onebit.searched
+    monkeypatch.setattr(onebit, "searched", lambda *a: handed.append(search(*a)) or handed[0])
+    monkeypatch.setattr(onebit, "SLICES", 1)
+    got = onebit.nearest(v, F.col("id") % 300 == 0, 20).collect()
+    queries = range(0, len(x), 300)
+    assert handed[0].count() == 20 * len(queries) == len(got)
+    for q in queries:
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -score))[:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, score[i]) for i in best]
+
+
 def planted(n=60, copies=70):
     """Unrelated texts that share a passage, a family of near copies, a chain of links, and short texts."""
     draw = np.random.default_rng(4)
