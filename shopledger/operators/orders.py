@@ -431,13 +431,29 @@ def with_capability_states(summary: DataFrame, source_orders: DataFrame) -> Data
     })
 
 
+# Reasons that keep a row out of the analyses that follow a sales report.
+LEFT_OUT = ("outside_scope", "replaced_range", "duplicate_removed")
+
+
 def admit(canonical: DataFrame, audit: DataFrame) -> DataFrame:
     """Rows a sales report admits to follow-up analyses; members of a conflicting order are unknown."""
-    left_out = ("outside_scope", "replaced_range", "duplicate_removed")
-    kept = audit.filter(~F.col("reason").isin(*left_out)).select(
+    kept = audit.filter(~F.col("reason").isin(*LEFT_OUT)).select(
         "version_id", "source_row_id", (F.col("reason") == "order_conflict").alias("_conflict")
     )
     joined = canonical.join(kept, ["version_id", "source_row_id"])
     return joined.withColumn(
         "record_status", F.when(F.col("_conflict"), "unknown").otherwise(F.col("record_status"))
     ).drop("_conflict")
+
+
+def admit_labelled(canonical: DataFrame, labelled: DataFrame) -> DataFrame:
+    """As ``admit`` with the audit of ``labelled``, which are the canonical rows with their reason.
+
+    Only rows that may share their id are moved and meet the audit; the others carry the reason of their id and stay where they are.
+    """
+    key, names = ["version_id", "source_row_id"], canonical.columns
+    parted = sifted(labelled.select(*names, "reason"), staged(repeated(canonical, key), "sieve"), key, "_again")
+    few = staged(parted.filter("_again").drop("_again"), "odd-rows")
+    alone = parted.filter(~F.col("_again") & F.col("version_id").isNotNull() & F.col("source_row_id").isNotNull() & ~F.col("reason").isin(*LEFT_OUT))
+    status = F.when(F.col("reason") == "order_conflict", "unknown").otherwise(F.col("record_status"))
+    return admit(few.select(*names), few.select(*key, "reason")).select(*names).unionByName(alone.withColumn("record_status", status).select(*names))

@@ -42,6 +42,7 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
     totals = sales.month_totals(labelled, mapping, report)
     out = {
         "rows": rows,
+        "labelled": labelled,
         "audit": sales.sales_audit(labelled),
         "quality": sales.quality_block(labelled),
         "reasons": sales.reason_histogram(labelled),

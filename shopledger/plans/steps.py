@@ -55,7 +55,11 @@ def record(spark: SparkSession, ledger: str, runs: Sequence[tuple]) -> None:
 
 def admitted(rows: DataFrame, audit: DataFrame) -> DataFrame:
     """Normalised rows that the report admits; members of a conflicting order are of unknown status, duplicates are decided already."""
-    kept = orders.admit(rows, audit)
+    return decided(orders.admit(rows, audit))
+
+
+def decided(kept: DataFrame) -> DataFrame:
+    """Admitted rows with issues that follow their status, and no duplicates left to find."""
     clash = F.col("record_status") == "unknown"
     plain = F.array_except("issues", F.array(F.lit("cancelled"), F.lit("returned")))
     issues = F.when(clash, F.array_union(plain, F.array(F.lit("unknown_status")))).otherwise(F.col("issues"))
@@ -74,7 +78,7 @@ def next_steps(
     spark, mapping = month["rows"].sparkSession, mappings[-1]
     version, revision = signature(month["rows"], mappings)
     scope, policy = Scope(date_start=report.coverage_start, date_end=report.month_end), Policy(duplicates=report.duplicates)
-    rows = staged(admitted(month["rows"], month["audit"]), "admitted")
+    rows = staged(decided(orders.admit_labelled(month["rows"], month["labelled"])), "admitted")
     resolved = staged(orders.resolve_orders(rows, mapping, policy, scope), "orders")
     baskets = staged(orders.basket_items(rows, resolved, policy, scope), "baskets")
     view = staged(orders.order_views(resolved)["rf_orders"], "customer-orders")
