@@ -288,8 +288,8 @@ def grown(x: np.ndarray, label: np.ndarray, raw: np.ndarray, settings: Boosting)
 TREE = "key long, number int, feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>"
 
 
-def fit_local(rows: DataFrame, width: int, settings: Boosting) -> dict[int, list[Tree]]:
-    """The trees of every key, each grown in one task."""
+def fit_local(rows: DataFrame, keys: int, width: int, settings: Boosting) -> dict[int, list[Tree]]:
+    """The trees of every one of the ``keys`` keys, each grown in one task and once."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         # the order of the rows decides rounding only; it is fixed so that reruns agree
@@ -299,8 +299,11 @@ def fit_local(rows: DataFrame, width: int, settings: Boosting) -> dict[int, list
         rows = [(pdf["key"].iloc[0], i, *[a.tolist() for a in (t.feature, t.cut, t.left, t.right, t.value)]) for i, t in enumerate(trees)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TREE.split(", ")])
 
+    # a stated number of partitions: small models must not be put into one task, however few bytes their rows have. The trees are
+    # put in order here, as a sort in the cluster would grow them once more for its sample.
+    apart = rows.repartition(max(1, keys), "key").groupBy("key").applyInPandas(grow, TREE)
     found: dict[int, list[Tree]] = {}
-    for r in rows.groupBy("key").applyInPandas(grow, TREE).orderBy("key", "number").collect():
+    for r in sorted(apart.collect(), key=lambda r: (r["key"], r["number"])):
         whole = [np.array(r[c], np.int32) for c in ("feature", "cut", "left", "right")]
         found.setdefault(r["key"], []).append(Tree(*whole, np.array(r["value"])))
     return found
@@ -314,7 +317,7 @@ def fit(train: DataFrame, key: str, features: Sequence[str], label: str, setting
     rows = staged(binned(train, key, features, label, models), "boosting-rows")
     small = [k for k in models if sizes[k] <= LOCAL_ROWS]
     if small:
-        for k, trees in fit_local(rows.filter(F.col("key").isin(small)), len(features), settings).items():
+        for k, trees in fit_local(rows.filter(F.col("key").isin(small)), len(small), len(features), settings).items():
             models[k].trees += trees
     large = {k: m for k, m in models.items() if k not in set(small)}
     fit_in_passes(rows, large, len(features), settings)

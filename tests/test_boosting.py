@@ -99,3 +99,21 @@ def test_windows_end_before_their_origin(spark):
     want = {o: 3 * len(range(max(28, o - 180), o - 6, 7)) for o in (100, 107, 140)}
     assert {r.origin: r["count"] for r in got} == want
     assert forecast.boosted_forecasts(features, keys.limit(0), [100]) is None
+
+
+def test_small_models_are_grown_once_and_apart(spark, tmp_path, monkeypatch):
+    plain, log = boosting.grown, str(tmp_path / "grown")
+
+    def noted(x, label, raw, settings):
+        from pyspark import TaskContext
+
+        with open(log, "a") as f:
+            f.write(f"{TaskContext.get().partitionId()}\n")
+        yield from plain(x, label, raw, settings)
+
+    monkeypatch.setattr(boosting, "grown", noted)
+    table = [(k, *map(float, r), float(v)) for k in range(12) for r, v in zip(*rows_of(60, k), strict=True)]
+    models = boosting.fit(spark.createDataFrame(table, "k int, a double, b double, c double, y double"), "k", FEATURES, "y", boosting.Boosting(trees=2, leaves=3))
+    tasks = open(log).read().split()
+    assert len(tasks) == len(models) == 12 and len(set(tasks)) > 3
+    assert all(len(m.trees) == 2 for m in models.values())

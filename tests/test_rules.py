@@ -53,6 +53,28 @@ def test_wall_times(spark, text, zone, expected):
     assert row.t == expected
 
 
+def test_rows_are_typed_in_generated_code(spark):
+    """Clocks are converted once a row, tags need no lambda, and odd values are typed as ever."""
+    zoned = Mapping(time_format="%Y-%m-%d %H:%M:%S", timezone="Europe/London", status_rule="status_column", status_values={"N": "forward"})
+    rows = [
+        {"event_time": "2026-07-01 12:00:00", "quantity": "0012.50", "currency": " usd"}, {"event_time": "2026-3-29 01:30:00", "quantity": "1_0"},
+        {"event_time": "2026-10-25 01:30:00", "quantity": "+3", "currency": "U\u0131a"}, {"event_time": "2026-10-25 01:30", "quantity": "-01", "currency": "us"},
+        {"event_time": None, "quantity": None, "currency": None, "record_status": None, "item_id": " "}, {"event_time": "2026-02-30 01:00:00", "quantity": "0"},
+    ]
+    typed = normalize(canonical(spark, rows, record_status="N", order_id="o", customer_id="c"), zoned)
+    found = typed.orderBy("source_row_id").select(F.col("event_time").cast("string"), F.col("day").cast("string"), "quantity_text", F.col("quantity").cast("double"), "currency", "issues").collect()
+    assert [tuple(r) for r in found] == [
+        ("2026-07-01 11:00:00", "2026-07-01", "12.50", 12.5, "USD", []), (None, None, "10", 10, "CNY", ["invalid_time"]),
+        (None, None, "3", 3, "UIA", ["invalid_time"]), (None, None, "-1", -1, None, ["invalid_time", "nonpositive_quantity", "unknown_currency"]),
+        (None, None, None, None, None, ["missing_item", "invalid_time", "unknown_status", "invalid_quantity", "unknown_currency"]),
+        (None, None, "0", 0, "CNY", ["invalid_time", "nonpositive_quantity"]),
+    ]
+    assert "lambda" not in typed._jdf.queryExecution().executedPlan().toString()
+    stages = spark.range(1).select(parse_time(F.col("id").cast("string"), "%Y-%m-%d %H:%M:%S", "Europe/London").alias("t"))._jdf.queryExecution().debug().codegenToSeq()
+    code = "".join(stages.apply(i)._2() for i in range(stages.size()))
+    assert code.count(".convertTz(") == 4
+
+
 def test_unknown_is_not_zero(spark):
     open_month = Report("2026-09")
     rows, setting = label(spark, [{"line_amount": "0.30"}], open_month)
