@@ -121,3 +121,26 @@ def test_admitted_rows_equal_a_join_to_the_audit(spark, monkeypatch):
     got = orders.admit_labelled(canonical, labelled)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
     assert got.columns == canonical.columns and 0 < met[0] < 75
+
+
+def test_lines_are_sorted_by_order_only(spark, tmp_path):
+    """Lines meet parts without a sort; a part that comes twice doubles its lines, lines without a partner are absent."""
+    made = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string", [
+            (1, 10, 1, 1, 2.0, 9.5, "N"), (1, 11, 1, 2, 1.0, 3.0, "A"), (2, None, 1, 1, 1.0, 1.0, "N"), (3, 10, 1, 1, 1.0, 1.0, "N"), (None, 10, 1, 1, 1.0, 1.0, "N"), (163, 10, 1, 1, 1.0, 1.0, "N"),
+        ]),
+        "orders": ("o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz", None),
+        "part": ("p_partkey long, p_brand string, p_type string, p_retailprice double", [(10, "Brand#1", "T", 1.0), (11, "Brand#2", "T", 2.0), (11, "Brand#3", "T", 2.0), (None, "Brand#4", "T", 2.0)]),
+        "customer": ("c_custkey long, c_nationkey int", [(5, 0), (None, 0)]),
+        "nation": ("n_nationkey int, n_name string", [(0, "X")]),
+    }
+    for name, (schema, rows) in made.items():
+        df = spark.createDataFrame(rows, schema) if rows else spark.sql(
+            "SELECT col1 AS o_orderkey, col2 AS o_custkey, 5.0D AS o_totalprice, TIMESTAMP'2001-02-03 00:00:00' AS o_orderdate FROM VALUES (1L, 5L), (2L, 5L), (3L, CAST(NULL AS BIGINT)), (163L, 5L)"
+        )
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    lines_ = tables.raw_lines(spark, str(tmp_path))
+    found = sorted((r.order_id, r.item_name) for r in lines_.collect())
+    assert found == [("1", "Item Brand#1"), ("1", "Item Brand#2"), ("1", "Item Brand#3"), ("163", "Item Brand#1"), ("163", "Item Brand#1")]
+    plan = lines_._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("ShuffledHashJoin") == 2
