@@ -12,20 +12,21 @@ from ..operators import anomaly, customers, evidence, forecast, items, normalize
 from ..sources.stage import staged
 
 
-def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report, trees: int = 80) -> dict[str, DataFrame]:
+def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report, trees: int = 80, stored: DataFrame | None = None) -> dict[str, DataFrame]:
     """Totals, charts, item evidence, focus, actions, groups of items, forecast and row audit of ``report.month``.
 
     Summaries have no days: they compare whole months. A month that is not complete is counted and ranked only.
 
-    ``sources`` are normalised rows with version_id and source_no. Rows and the dense grid are
-    written once, as several later tables read them; labels are added where rows are read. ``trees`` is the size of each boosted model (one per origin of the check and one
-    for publication); 0 leaves that method out.
+    ``sources`` are normalised rows with version_id and source_no. Labelled rows and the dense grid are
+    written once, as several later tables read them. So are the rows, which the labels read several times, unless ``stored`` is a stored table of them all.
+    ``trees`` is the size of each boosted model (one per origin of the check and one for publication); 0 leaves that method out.
     """
-    rows = staged(sales.append(sources), "source-rows")
+    appended = sales.append(sources)
+    rows = staged(appended, "source-rows") if stored is None else stored.select(*appended.columns)
     mapping = sources[-1][1]
     if report.merge_mode == "append":
         sales.check_append(sales.source_ranges(rows))
-    labelled = sales.label(rows, mapping, report)
+    labelled = staged(sales.label(rows, mapping, report), "labelled")
     sales.check_currency(labelled, mapping)
     daily = staged(sales.daily_fact(labelled, mapping), "daily")
     monthly = mapping.record_kind == "monthly_summary"
@@ -35,13 +36,14 @@ def monthly_report(sources: Sequence[tuple[DataFrame, Mapping]], report: Report,
     unknown = sorted({*report.missing_dates, *gaps})
     comparable = report.comparative(gaps)
     by_line = mapping.amount_mode in LINE_MODES
-    names = sales.item_names(labelled)
+    names = staged(sales.item_names(labelled), "names")
     types = normalize.item_types(labelled.filter("reason = 'included'"), report, all(m.status_rule == "uci_cancel_prefix" for _, m in sources))
     month_items = staged(items.item_month(daily, names, types, mapping, report, comparable), "items")
     effects = staged(items.price_volume(daily, report), "effects")
     totals = sales.month_totals(labelled, mapping, report)
     out = {
-        "rows": rows,
+        # a table of all sources without their labels, unless these replaced a column of theirs
+        "rows": labelled.select(*rows.columns) if {"duplicate_candidate", "reason"}.isdisjoint(rows.columns) else rows,
         "labelled": labelled,
         "audit": sales.sales_audit(labelled),
         "quality": sales.quality_block(labelled),

@@ -38,12 +38,14 @@ def association(items: DataFrame, params: Analysis = Analysis()) -> dict[str, Da
     """Rules mined on the training split, qualified on validation, evaluated on both held-out parts."""
     labels = staged(baskets.split(items, params.random_state), "split")
     pairs = staged(baskets.baskets(items), "pairs")
-    part = lambda name: pairs.join(labels.filter(F.col("split") == name).select("order_id"), "order_id")
-    train = staged(part("train"), "train")
+    part = {
+        name: staged(pairs.join(labels.filter(F.col("split") == name).select("order_id"), "order_id"), name) for name in ("train", "validation", "test")
+    }
+    train = part["train"]
     n = train.select("order_id").distinct().count()
     sets = staged(baskets.itemsets(train, n, params), "itemsets")
     mined = baskets.rules(sets, n, params.min_confidence)
-    qualified = staged(baskets.qualify(mined, part("validation")), "rules")
+    qualified = staged(baskets.qualify(mined, part["validation"]), "rules")
     popular = baskets.popularity(train)
     head = baskets.popular_head(popular)
     owners, block = bootstrap_block(items, labels)
@@ -51,7 +53,7 @@ def association(items: DataFrame, params: Analysis = Analysis()) -> dict[str, Da
     shown = raw_cards(cards, qualified)
     out = {"split": labels, "itemsets": sets, "rules": qualified, "cards": cards, "shown": shown}
     for name, seed in (("validation", 42), ("test", 43)):
-        cases = staged(baskets.completion_cases(part(name), popular, qualified, popular, seed), f"cases-{name}")
+        cases = staged(baskets.completion_cases(part[name], popular, qualified, popular, seed), f"cases-{name}")
         out[f"{name}_metrics"] = baskets.basket_metrics(cases)
         out[f"{name}_strata"] = baskets.strata_metrics(cases, head)
         out[f"{name}_interval"] = baskets.bootstrap(cases.join(owners, "order_id"), block, seed=seed + 1000)
@@ -85,7 +87,7 @@ def customer_groups(view: DataFrame, kind: str, reference, params: Analysis = An
     total = features.count()
     gate = best.first()
     publishable = bool(gate and gate["publishable"] and total >= 50)
-    late = customers.followups(view, reference, publishable)
+    late = staged(customers.followups(view, reference, publishable), "followups")
     return {
         "features": features,
         "candidates": candidates,

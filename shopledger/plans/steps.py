@@ -78,14 +78,14 @@ def next_steps(
     spark, mapping = month["rows"].sparkSession, mappings[-1]
     version, revision = signature(month["rows"], mappings)
     scope, policy = Scope(date_start=report.coverage_start, date_end=report.month_end), Policy(duplicates=report.duplicates)
-    rows = staged(decided(orders.admit_labelled(month["rows"], month["labelled"])), "admitted")
+    rows = decided(orders.admit_labelled(month["rows"], month["labelled"]))  # read from the stored labels, each time the columns that are asked for
     resolved = staged(orders.resolve_orders(rows, mapping, policy, scope), "orders")
     baskets = staged(orders.basket_items(rows, resolved, policy, scope), "baskets")
     view = staged(orders.order_views(resolved)["rf_orders"], "customer-orders")
     reference = report.month_end + timedelta(days=1)
     pairs = association(baskets, params)
     groups = customer_groups(view, "rf", reference, params)
-    late = groups["followups"] if publishable is None else customers.followups(view, reference, publishable)
+    late = groups["followups"] if publishable is None else staged(customers.followups(view, reference, publishable), "followups")
     people = view.select("customer_id").distinct().count()
     summary = customers.followup_summary(late, people)
     latest = rows.filter("record_status = 'forward'").agg(F.max(F.when(F.col("day") <= F.lit(report.month_end), F.col("day")))).first()[0]
