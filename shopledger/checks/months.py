@@ -20,13 +20,18 @@ LINE = mapping()
 
 def month_items(spark, d):
     def build():
-        rows, daily, names = facts(spark, d)
-        types = n.item_types(rows.filter("reason = 'included'"), REPORT)
-        return i.item_month(daily, names, types, LINE, REPORT, comparable=True)
+        rows = included(spark, d)
+        return i.item_month(s.daily_fact(rows, LINE), s.item_names(rows), n.item_types(rows, REPORT), LINE, REPORT, comparable=True)
 
     return stored(spark, ("items", d), build)
 
 
+def included(spark, d):
+    """The included rows with what days, names and kinds of items read; labelled once for the three."""
+    columns = ("day", "item_id", "quantity", "line_amount", "currency", "issues", "reason", "item_name", "category", "item_type", *s.ROW_ORDER)
+    return stored(spark, ("included", d), lambda: facts(spark, d)[0].filter("reason = 'included'").select(*columns))
+
+
 def effects(spark, d):
     return stored(spark, ("effects", d), lambda: i.price_volume(facts(spark, d)[1], REPORT))
 
