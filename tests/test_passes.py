@@ -12,8 +12,6 @@ from shopledger.config import Report
 from shopledger.operators import normalize, sales
 from shopledger.plans import monthly
 
-SMALL = "/root/testdata/sf0.001"
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -37,12 +35,29 @@ def test_labels_of_a_report_are_written_once(spark, monkeypatch):
     assert month["rows"].columns == whole.columns and month["rows"].count() == whole.count()
 
 
-def test_rows_of_the_month_and_follow_ups_are_read_from_files(spark):
-    items = months.included(spark, SMALL)
+def shop(spark, folder):
+    """Some hundred orders of three lines each, from the start of 2001 on."""
+    made = {
+        "nation": spark.range(3).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name"),
+        "customer": spark.range(40).selectExpr("id AS c_custkey", "CAST(id % 3 AS INT) AS c_nationkey"),
+        "part": spark.range(8).selectExpr("id AS p_partkey", "concat('Brand#', id) AS p_brand", "'T' AS p_type", "10.0D AS p_retailprice"),
+        "orders": spark.range(1, 400).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey", "30.0D AS o_totalprice", "CAST(date_add(DATE '2001-01-01', CAST(id % 200 AS INT)) AS TIMESTAMP) AS o_orderdate"),
+        "lineitem": spark.range(1, 400).selectExpr("id AS l_orderkey", "explode(array(0, 1, 2)) AS k").selectExpr(
+            "l_orderkey", "(l_orderkey + k * k) % 8 AS l_partkey", "1L AS l_suppkey", "CAST(k + 1 AS INT) AS l_linenumber", "2.0D AS l_quantity", "10.0D + k AS l_extendedprice", "'N' AS l_returnflag",
+        ),
+    }
+    for name, rows in made.items():
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_rows_of_the_month_and_follow_ups_are_read_from_files(spark, tmp_path):
+    folder = shop(spark, tmp_path)
+    items = months.included(spark, folder)
     assert "Join" not in plan(items) and items.inputFiles()
-    assert items.count() == tables.labelled(spark, SMALL).filter("reason = 'included'").count() > 0
-    assert "lag(" not in plan(models.regular_summary(spark, SMALL))
-    for df in (models.counted(spark, SMALL), models.split_pairs(spark, SMALL, "train"), tables.order_times(spark, SMALL)):
+    assert items.count() == tables.labelled(spark, folder).filter("reason = 'included'").count() > 0
+    assert "lag(" not in plan(models.regular_summary(spark, folder))
+    for df in (models.counted(spark, folder), models.split_pairs(spark, folder, "train"), tables.order_times(spark, folder)):
         assert "Join" not in plan(df)
 
 
